@@ -36,30 +36,36 @@ def clean_cuts(cuts: Sequence[float] | None) -> list[float]:
     return found + [float("inf")] * (CUTS - len(found))
 
 
-def bucket(value: Column, cuts: Column | Sequence[float]) -> Column:
-    """Number of cut points at or below a value, by halving the (fixed length) list of cuts."""
+def with_bucket(df: DataFrame, value: str, cuts: Column | Sequence[float], into: str = "_bucket") -> DataFrame:
+    """Add the number of cut points at or below a value, by halving the list of cuts.
+
+    One projection per halving: each step is computed once, where a single expression would
+    repeat every earlier step.
+    """
     points = cuts if isinstance(cuts, Column) else F.lit([float(c) for c in cuts])
-    place, step = F.lit(0), (CUTS + 1) // 2
+    df, step = df.withColumn(into, F.lit(0)), (CUTS + 1) // 2
     while step:
-        place = place + F.when(F.get(points, place + (step - 1)) <= value, step).otherwise(0)
+        above = F.get(points, F.col(into) + (step - 1)) <= F.col(value)
+        df = df.withColumn(into, F.col(into) + F.when(above, step).otherwise(0))
         step //= 2
-    return place
+    return df
 
 
 def exact_quantiles(
-    counts: DataFrame,
+    placed: DataFrame,
     keys: Sequence[str],
     probs: dict[str, float],
-    bucket_column: Column,
     method: str = "linear",
+    few_keys: bool = False,
 ) -> DataFrame:
-    """Quantiles per key out of ``keys + (value, n)`` rows, one output column per prob.
+    """Quantiles per key out of ``keys + (value, n, _bucket)`` rows, one output column per prob.
 
     ``linear`` interpolates between neighbours. ``nearest`` returns an observed value, the one
-    at rank ``floor((n - 1) * q + 0.5) + 1``.
+    at rank ``floor((n - 1) * q + 0.5) + 1``. ``few_keys`` says that keys are bounded (columns
+    of a table), so the buckets to look into, at most two per key and prob, can be broadcast;
+    otherwise their size decides.
     """
     keys = list(keys)
-    placed = counts.withColumn("_bucket", bucket_column)
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -90,6 +96,8 @@ def exact_quantiles(
         .where(F.size("_wanted") > 0)
         .select(*keys, "_bucket", "_wanted")
     )
+    if few_keys:
+        wanted_here = F.broadcast(wanted_here)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("value")
     ranked = (
         placed.join(wanted_here, [*keys, "_bucket"])
@@ -118,12 +126,12 @@ def grouped_quantiles(
     # Written once, so that the base is read once: the cuts and the ranks both use the counts.
     counts = settle(rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
     cuts = cut_points(counts, F.col("value"))
-    return exact_quantiles(counts, keys, probs, bucket(F.col("value"), cuts), method)
+    return exact_quantiles(with_bucket(counts, "value", cuts), keys, probs, method)
 
 
 def running_total(df: DataFrame, value: str, tie: str, into: str, cuts: Sequence[float]) -> DataFrame:
     """Running sum of ``value`` from the largest down, ties by ``tie``, over any number of rows."""
-    placed = df.withColumn("_bucket", -bucket(F.col(value), cuts))
+    placed = with_bucket(df, value, cuts).withColumn("_bucket", -F.col("_bucket"))
     order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_bucket")

@@ -1,9 +1,10 @@
 """Column and table profiles.
 
 A profile reads the table in two ways. One wide aggregation takes everything that merges in
-fixed space (counts, moments, ranges, text edges). Then values are counted in long form,
+fixed space (counts, moments, ranges). Then values are counted in long form,
 ``(column, value) -> n``, once per family of columns of a type; distinct counts, quantiles,
-outliers and top values all come from those counts.
+outliers, top values and text tests all come from those counts, so that a regular expression
+sees each distinct text once.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom import fixed_values as fixed
-from metricloom.functions.ranks import bucket, clean_cuts, cut_sketch, exact_quantiles
+from metricloom.functions.ranks import clean_cuts, cut_sketch, exact_quantiles, with_bucket
 from metricloom.functions.text import contains_any, finite, is_padded
 from metricloom.session import settle
 
 # Fixed values
 TOP_VALUES, SAMPLE_VALUES, IQR_REACH = 10, 5, 1.5
+SCANNED_COLUMNS = 20
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 GRANULARITY = [("hour_or_finer", 1, False), ("day", 2, True), ("week", 10, True), ("month", 40, True)]
 
@@ -29,8 +31,7 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 PASS_ONE = """column_name string, position int, inferred_type string, kind string, row_count bigint,
 null_count bigint, value_count bigint, mean double, std double, min double, max double,
-negative_count bigint, min_date string, max_date string, whitespace_count bigint,
-whitespace_example string, empty_count bigint, email_share double"""
+negative_count bigint, min_date string, max_date string"""
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -54,9 +55,26 @@ def _counted(df: DataFrame, column: str, family: str) -> Column:
 
 
 def _scan(df: DataFrame) -> list[tuple]:
-    """The wide aggregation: one row back, turned into one record per column."""
+    """The wide aggregation: one row back, turned into one record per column.
+
+    Very wide tables take one aggregation per ``SCANNED_COLUMNS``, so that the generated code
+    stays small enough to be compiled well.
+    """
+    fields, row = list(enumerate(df.schema)), {}
+    for start in range(0, len(fields), SCANNED_COLUMNS):
+        row.update(df.agg(*_wide(fields[start:start + SCANNED_COLUMNS])).first().asDict())
+    records = []
+    for i, f in fields:
+        get = lambda stat: row.get(f"{stat}{i}")
+        records.append((f.name, i, f.dataType.simpleString(), kind_of(f.dataType), row["rows"],
+                        row["rows"] - get("n"), get("n"), get("mean"), get("std"), get("min"), get("max"),
+                        get("neg"), get("from"), get("to")))
+    return records
+
+
+def _wide(fields: list[tuple[int, T.StructField]]) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema):
+    for i, f in fields:
         c, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
         aggs.append(F.count(c).alias(f"n{i}"))
         if kind == "numeric":
@@ -66,26 +84,29 @@ def _scan(df: DataFrame) -> list[tuple]:
                      F.count_if(d < 0).alias(f"neg{i}")]
         elif kind == "temporal":
             aggs += [F.min(c).cast("string").alias(f"from{i}"), F.max(c).cast("string").alias(f"to{i}")]
-        elif isinstance(f.dataType, T.StringType):
-            padded = is_padded(c)
-            aggs += [F.count_if(padded).alias(f"pad{i}"), F.min(F.when(padded, c)).alias(f"eg{i}"),
-                     F.count_if(c == "").alias(f"empty{i}"),
-                     F.avg((c.contains("@") & c.rlike(fixed.EMAIL)).cast("int")).alias(f"mail{i}")]
-    row = df.agg(*aggs).first().asDict()
-    records = []
-    for i, f in enumerate(df.schema):
-        get = lambda stat: row.get(f"{stat}{i}")
-        records.append((f.name, i, f.dataType.simpleString(), kind_of(f.dataType), row["rows"],
-                        row["rows"] - get("n"), get("n"), get("mean"), get("std"), get("min"), get("max"),
-                        get("neg"), get("from"), get("to"), get("pad"), get("eg"), get("empty"), get("mail")))
-    return records
+    return aggs
 
 
 def value_counts(df: DataFrame, columns: list[str], family: str) -> DataFrame:
     """``(column_name, value, n)`` of non-null values, all columns of a family in one shuffle."""
+    return _long(df, columns, family).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _long(df: DataFrame, columns: list[str], family: str) -> DataFrame:
     typed = df.select(*[_counted(df, c, family) for c in columns])
-    long = typed.unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
-    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return typed.unpivot([], [f"`{c}`" for c in columns], "column_name", "value").where(F.col("value").isNotNull())
+
+
+def _text_facts(counts: DataFrame) -> DataFrame:
+    """White space at the edges, empty text and e-mail shape, weighted by how often a text occurs."""
+    value, n, padded = F.col("value"), F.col("n"), is_padded(F.col("value"))
+    mail = value.contains("@") & value.rlike(fixed.EMAIL)
+    return counts.groupBy("column_name").agg(
+        F.sum(F.when(padded, n).otherwise(0)).alias("whitespace_count"),
+        F.min(F.when(padded, value)).alias("whitespace_example"),
+        F.sum(F.when(value == "", n).otherwise(0)).alias("empty_count"),
+        (F.sum(F.when(mail, n).otherwise(0)) / F.sum("n")).alias("email_share"),
+    )
 
 
 def _top(counts: DataFrame) -> DataFrame:
@@ -198,13 +219,15 @@ def profile_columns(df: DataFrame, name: str, hint_mode: str = "substring", appr
     facts: list[DataFrame] = [base]
     if approximate:
         facts += _sketched(df, families)
+        if "string" in families:
+            facts.append(_text_facts(_long(df, families["string"], "string").withColumn("n", F.lit(1))))
     else:
         counts = {family: settle(value_counts(df, columns, family)) for family, columns in families.items()}
         for family, table in counts.items():
             facts.append(table.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")))
             facts.append(_samples(table, times if family == "bigint" else []))
         if "string" in counts:
-            facts.append(_top(counts["string"]))
+            facts += [_top(counts["string"]), _text_facts(counts["string"])]
         numbers = [
             t.where(~F.col("column_name").isin(times)).select("column_name", F.col("value").cast("double").alias("value"), "n")
             for family, t in counts.items() if family in ("bigint", "double")
@@ -221,7 +244,8 @@ def profile_columns(df: DataFrame, name: str, hint_mode: str = "substring", appr
         *[F.max(c).alias(c) for c in merged.columns if c != "column_name"]
     )
     for column, dtype in {"top_values": "array<struct<value:string,count:bigint>>", "granularity": "string",
-                          **{q: "double" for q in QUARTILES}, "outlier_count_iqr": "bigint"}.items():
+                          **{q: "double" for q in QUARTILES}, "outlier_count_iqr": "bigint", "email_share": "double",
+                          "whitespace_count": "bigint", "whitespace_example": "string", "empty_count": "bigint"}.items():
         if column not in merged.columns:
             merged = merged.withColumn(column, F.lit(None).cast(dtype))
     return _describe(merged, name, hint_mode)
@@ -235,7 +259,8 @@ def _quartiles(numbers: DataFrame) -> DataFrame:
         [(r["column_name"], clean_cuts(r["cuts"])) for r in sketches], "column_name string, cuts array<double>"
     )
     placed = numbers.join(F.broadcast(cuts), "column_name")
-    found = exact_quantiles(placed, ["column_name"], QUARTILES, bucket(F.col("value"), F.col("cuts")), "nearest")
+    placed = with_bucket(placed, "value", F.col("cuts")).drop("cuts")
+    found = exact_quantiles(placed, ["column_name"], QUARTILES, "nearest", few_keys=True)
     return spark.createDataFrame(found.collect(), "column_name string, q25 double, q50 double, q75 double")
 
 

@@ -103,6 +103,8 @@ def run_suite(
     typed, decisions = {}, []
     for name, df in tables.items():
         typed[name], found = infer_types(df, name)
+        if any(d.action != "keep" for d in found):
+            typed[name] = settle(typed[name])  # parsed once, read many times
         decisions += found
     decided = decisions_frame(spark, decisions)
     raw_columns, raw_tables = _profile(typed)
@@ -112,8 +114,12 @@ def run_suite(
     personal = reduce(DataFrame.unionByName, [pii.detect_pii(df, name) for name, df in typed.items()])
 
     # Cleaned layer
-    cleaned, log = clean.clean_to(typed, clean.collect_plan(issues), folder)
-    columns, _ = _profile(cleaned)
+    plan = clean.collect_plan(issues)
+    cleaned, log = clean.clean_to(typed, plan, folder)
+    changed = {step.table_name for step in plan}
+    columns = raw_columns.where(~F.col("table_name").isin(*changed))
+    if changed:  # a table no step touched keeps its profile
+        columns = columns.unionByName(_profile({n: cleaned[n] for n in changed})[0])
 
     # Roles and KPIs
     binding = roles.bind(cleaned, columns, overrides)

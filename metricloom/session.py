@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write an aggregate that later steps read more than once; it survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a result that later steps read more than once, and read it back.
+
+    It goes to the shared checkpoint folder as Parquet, so it outlives lost executors, is read
+    by column and carries its size for join planning. It is removed when the session's file
+    system closes.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
+    return spark.read.schema(df.schema).parquet(path)
