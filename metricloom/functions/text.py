@@ -44,11 +44,22 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), None).otherwise(d)
 
 
+def _pattern(c: Column, pattern: str) -> Column:
+    """Decimal formatting that rounds the exact value, ties to even."""
+    return F.call_function("format_number", c.cast("double"), F.lit(pattern))
+
+
+def fixed_point(c: Column, decimals: int, signed: bool = False) -> Column:
+    """A number with fixed decimals and no separators."""
+    digits = "0." + "0" * decimals if decimals else "0"
+    return _pattern(c, f"+{digits};-{digits}" if signed else digits)
+
+
 def _four_significant(c: Column) -> Column:
     """Four significant digits without trailing zeros; exponent form below 1e-4."""
-    sci = F.format_string("%.3e", F.abs(c))
-    exponent = F.regexp_extract(sci, r"e([-+]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(F.substring_index(sci, "e", 1), r"\.?0+$", "")
+    sci = _pattern(F.abs(c), "0.000E0")
+    exponent = F.substring_index(sci, "E", -1).try_cast("int")
+    mantissa = F.regexp_replace(F.substring_index(sci, "E", 1), r"\.?0+$", "")
     digits = F.regexp_replace(mantissa, r"\.", "")
     decimal = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.abs(exponent) - 1), digits)
     tiny = F.concat(mantissa, F.lit("e-"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
@@ -75,7 +86,7 @@ def humanize(c: Column) -> Column:
 
 def percent(c: Column, decimals: int = 1, signed: bool = False) -> Column:
     """A share as a percentage with fixed decimals."""
-    return F.format_string(f"%{'+' if signed else ''}.{decimals}f%%", c * 100)
+    return F.concat(fixed_point(c * 100, decimals, signed), F.lit("%"))
 
 
 def mask_value(value: Column, pii_type: str | Column) -> Column:

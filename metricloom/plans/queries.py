@@ -46,6 +46,16 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
 
 
+def whole(df: DataFrame, *columns: str) -> DataFrame:
+    """Counts and ranks as 64-bit integers."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
+def floating(df: DataFrame, *columns: str) -> DataFrame:
+    """Nullable counts as doubles, so that every client shows nulls alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def text(*columns: str) -> list[Column]:
     return [F.col(c).cast("string").alias(c) for c in columns]
 
@@ -68,7 +78,7 @@ def measures(*slugs: str, domain: str = "retail") -> dict[str, Measure]:
 @query
 def kpi_scalar_suite(spark, folder):
     kpis = measures()
-    return rounded(to_long(evaluate(sales(spark, folder), kpis), [], list(kpis)), 4, "value")
+    return rounded(to_long(evaluate(sales(spark, folder), kpis), [], list(kpis)), 2, "value")
 
 
 @query
@@ -85,7 +95,7 @@ def kpi_catalogue(spark, folder):
     values = to_long(evaluate(sales(spark, folder), kpis), [], list(kpis))
     listed = catalog.catalogue_frame(spark, specs).select(
         F.col("slug").alias("kpi"), "name", "unit", "additivity", "priority", "higher_is_better")
-    return rounded(listed.join(values, "kpi"), 4, "value")
+    return rounded(listed.join(values, "kpi"), 2, "value")
 
 
 @query
@@ -101,14 +111,14 @@ def kpi_fallback(spark, folder):
 @query
 def kpi_by_segment(spark, folder):
     kpis = measures("net_revenue", "order_count", "average_order_value", "order_return_rate")
-    return rounded(grouped(sales(spark, folder), kpis, F.col("sales.country"), limit=suite.SEGMENTS), 4, "value")
+    return whole(rounded(grouped(sales(spark, folder), kpis, F.col("sales.country"), limit=suite.SEGMENTS), 2, "value"), "rank")
 
 
 @query
 def kpi_series_quarter(spark, folder):
     kpis = measures("net_revenue", "returned_value", "order_count", "average_order_value", "unique_customers")
     line = series.kpi_series(sales(spark, folder), kpis, F.col("sales.order_ts"))
-    return rounded(line.select("kpi", *text("period"), "value", "partial"), 4, "value")
+    return rounded(line.select("kpi", *text("period"), "value", "partial"), 2, "value")
 
 
 @query
@@ -117,8 +127,8 @@ def kpi_period_change(spark, folder):
     line = series.kpi_series(sales(spark, folder), kpis, F.col("sales.order_ts"))
     changed = series.period_change(line)
     periods = ("comparison_period", "baseline_period", "excluded_period")
-    return rounded(changed.select("kpi", "current_value", "previous_value", "change_pct", *text(*periods)),
-                   6, "current_value", "previous_value", "change_pct")
+    shown = changed.select("kpi", "current_value", "previous_value", "change_pct", *text(*periods))
+    return rounded(rounded(shown, 2, "current_value", "previous_value"), 6, "change_pct")
 
 
 def _event_series(spark, folder, grain):
@@ -242,7 +252,7 @@ def slice_scalar(spark, folder):
 
 @query
 def filter_options(spark, folder):
-    return slices.filter_options(sales(spark, folder), ["order_ts"], ["country", "segment", "status"])
+    return floating(slices.filter_options(sales(spark, folder), ["order_ts"], ["country", "segment", "status"]), "rows", "rank")
 
 
 @query
@@ -287,7 +297,7 @@ def profile_columns(spark, folder):
         "table_name", "column_name", "logical_type", "semantic_hint", "row_count", "null_count", "null_pct",
         "distinct_count", "uniqueness_pct", "is_candidate_pk", "is_candidate_fk", "mean", "std", "min", "max",
         "negative_count", "min_date", "max_date", "granularity", F.array_join("warnings", "; ").alias("warnings"))
-    return rounded(out, 4, "mean", "std", "min", "max")
+    return floating(rounded(out, 4, "mean", "std", "min", "max"), "negative_count")
 
 
 @query
@@ -301,7 +311,7 @@ def profile_quantiles(spark, folder):
 def profile_top_values(spark, folder):
     columns = sales_profile(spark, folder)
     return columns.select("column_name", F.posexplode("top_values")).select(
-        "column_name", (F.col("pos") + 1).alias("place"), F.col("col.value").alias("value"), F.col("col.count").alias("count"))
+        "column_name", (F.col("pos") + 1).cast("bigint").alias("place"), F.col("col.value").alias("value"), F.col("col.count").alias("count"))
 
 
 @query
@@ -439,7 +449,7 @@ def _cleaned(spark, folder):
 @query
 def clean_apply(spark, folder):
     cleaned, _ = _cleaned(spark, folder)
-    return cleaned["orders"].select("order_id", "customer_id", "status", "priority", "amount", "units", *text("order_ts"))
+    return floating(cleaned["orders"], "customer_id").select("order_id", "customer_id", "status", "priority", "amount", "units", *text("order_ts"))
 
 
 @query
@@ -547,13 +557,13 @@ COUNTRY = ("country", "kpi")
 
 @query
 def zscore_anomalies(spark, folder):
-    out = stats.zscore_anomalies(country_points(spark, folder), COUNTRY, limit=2.0)
+    out = whole(stats.zscore_anomalies(country_points(spark, folder), COUNTRY, limit=2.0), "index")
     return rounded(out.select(*COUNTRY, *text("period"), "index", "value", "zscore", "method"), 4, "value", "zscore")
 
 
 @query
 def iqr_outliers(spark, folder):
-    out = stats.iqr_outliers(country_points(spark, folder), COUNTRY)
+    out = whole(stats.iqr_outliers(country_points(spark, folder), COUNTRY), "index")
     return rounded(out.select(*COUNTRY, *text("period"), "index", "value", "method"), 4, "value")
 
 
@@ -571,7 +581,8 @@ def peak_trough(spark, folder):
 
 @query
 def pareto(spark, folder):
-    return rounded(stats.pareto(views.sales(spark, folder), "product_id", "quantity"), 6, "value", "cumulative_share")
+    top = stats.pareto(views.sales(spark, folder), "product_id", "quantity")
+    return whole(rounded(top, 6, "value", "cumulative_share"), "cutoff_count", "groups", "rank")
 
 
 @query
@@ -587,13 +598,16 @@ def row_concentration(spark, folder):
 # --- Findings and audit ----------------------------------------------------
 
 
-def _results(spark, folder) -> dict[str, DataFrame]:
-    """KPI artefacts of one run over the sales view."""
-    def get(part):
-        return _once(spark, folder, f"kpi {part}", lambda: getattr(suite.compute_kpis(
-            {"sales": views.sales(spark, folder)}, catalogue(), BINDING, RUN), part))
+_RESULTS: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
-    return {"kpis": get("values"), "series": get("series"), "breakdown": get("breakdown")}
+
+def _results(spark, folder) -> dict[str, DataFrame]:
+    """KPI artefacts of one run over the sales view, computed by the first query that needs them."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _RESULTS:
+        found = suite.compute_kpis({"sales": views.sales(spark, folder)}, catalogue(), BINDING, RUN)
+        _RESULTS[key] = {"kpis": settle(found.values), "series": found.series, "breakdown": found.breakdown}
+    return _RESULTS[key]
 
 
 def _stats(spark, folder):
@@ -676,7 +690,7 @@ def insight_counts(spark, folder):
 def number_wording(spark, folder):
     lines = views.tables(spark, folder, "lineitem")["lineitem"]
     spread = F.col("l_extendedprice") / F.pow(F.lit(10.0), (F.col("l_orderkey") % 7).cast("double"))
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", humanize(F.round(spread, 2)).alias("wording"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", humanize(spread).alias("wording"))
 
 
 @query
@@ -740,4 +754,4 @@ def full_run(spark, folder):
     """The whole suite over the sales view; KPI values with their last change."""
     found = suite.run_suite({"sales": views.sales(spark, folder)}, "retail", "retail",
                             overrides={"event_date": "sales.order_ts"}, run_id=RUN)
-    return rounded(found["kpi_values"].select("kpi", "name", "status", "value", "change_pct"), 4, "value", "change_pct")
+    return rounded(rounded(found["kpi_values"].select("kpi", "name", "status", "value", "change_pct"), 2, "value"), 4, "change_pct")
