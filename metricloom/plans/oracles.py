@@ -560,3 +560,29 @@ WHEN v = 0 THEN '0' ELSE format('{{:.4g}}', v) END AS wording FROM x"""
 ORACLES["dataset_metadata"] = union(f"""SELECT '{t}' AS name, 'parquet' AS source_type, (SELECT count(*) FROM {t}) AS row_count,
 (SELECT count(*) FROM (DESCRIBE {t})) AS column_count""" for t in views.TABLES)
 ORACLES["full_run"] = f"""{RUN} SELECT kpi, name, 'computed' AS status, round(value, 2) AS value, round(change, 4) AS change_pct FROM k"""
+
+# --- Oracles that build on several of the above
+_steps = ["b0 AS (SELECT role, column_name, confidence FROM rs WHERE false)"]
+for _i, _role in enumerate(fixed.ROLE_ORDER):
+    _steps.append(f"""b{_i + 1} AS (SELECT * FROM b{_i} UNION ALL SELECT * FROM (SELECT role, column_name, confidence FROM rs WHERE role = '{_role}'
+    AND column_name NOT IN (SELECT column_name FROM b{_i}) ORDER BY confidence DESC, position LIMIT 1))""")
+BOUND = f"{ROLE_S}, {', '.join(_steps)}"
+ORACLES["role_bindings"] = f"{BOUND} SELECT role, 'sales' AS table_name, column_name, confidence FROM b{len(fixed.ROLE_ORDER)}"
+_expected = ", ".join(f"('{r}')" for r in fixed.EXPECTED_ROLES)
+ORACLES["role_notes"] = f"""{BOUND}, w(role) AS (VALUES {_expected}) SELECT role, 'No column bound to role ''' || role || '''; KPIs that need it were not generated.' AS note
+FROM w WHERE role NOT IN (SELECT role FROM b{len(fixed.ROLE_ORDER)})"""
+_kpis = f"({RUN} SELECT * FROM k)"
+_score = f"({MESSY_Q}, {SCORES} SELECT round(avg(overall), 2) AS v FROM scores)"
+ORACLES["run_verdict"] = f"""SELECT 'run-1' AS run_id, CASE WHEN done = 0 OR done / n < 0.6 THEN 'retry_semantic' WHEN v <> 0 AND v < 55 THEN 'retry_quality' ELSE 'VALID' END AS status,
+done || ' of ' || n || ' KPIs computed, quality ' || printf('%.1f', v) || ', ' || done || ' bound to a value.' AS reason, round(CAST(done / n AS DOUBLE), 4) AS kpi_success_ratio
+FROM (SELECT count(*) AS n, count(value) AS done FROM {_kpis}), {_score}"""
+_log = f"""(WITH m AS ({views.duck(views.MESSY_ORDERS)}) SELECT 'drop_duplicates on orders (' || count(*) FILTER (order_id % 13 = 0) || ' rows), trim_whitespace on orders.status ('
+|| count(*) FILTER ({_pad}) || ' rows), empty_to_null on orders.status (' || count(*) FILTER (trim(status) = '') || ' rows)' AS steps FROM m)"""
+_units = ", ".join(f"('{k}', '{u}')" for k, (_, u, _, _, _) in ROW.items())
+ORACLES["kpi_explanations"] = f"""WITH u(kpi, unit) AS (VALUES {_units}) SELECT kpi, name || ' evaluated to ' || format('{{:,.2f}}', value) || ' ' || unit || '.' AS what_happened,
+'sales' AS data_used, 'No type-inference caveats were raised.' AS quality_limitations, steps AS transformations FROM {_kpis} JOIN u USING (kpi), {_log}"""
+ORACLES["evaluation"] = f"""SELECT 'semantic' AS area, 'kpi_formula_validity' AS metric_name, round(avg(CAST(value IS NOT NULL AS DOUBLE)), 4) AS score FROM {_kpis}
+UNION ALL SELECT 'dashboard', 'kpis_bound_to_data', round(avg(CAST(value IS NOT NULL AS DOUBLE)), 4) FROM {_kpis}
+UNION ALL SELECT 'analyst', 'insight_groundedness', CAST(1 AS DOUBLE) UNION ALL SELECT 'analyst', 'hallucination_rate', CAST(0 AS DOUBLE)
+UNION ALL SELECT 'profiler', 'type_inference_resolution', round(avg(CAST(action <> 'keep' OR column_name = 'o_totalprice' AS DOUBLE)), 4) FROM ({INFER} SELECT * FROM e)
+UNION ALL SELECT 'semantic', 'vs_naive_baseline', round(CAST({len(KPI)} AS DOUBLE) / count(*), 4) FROM ({SALES_P} SELECT * FROM p WHERE logical_type IN ('currency', 'quantity', 'numeric') AND NOT is_candidate_pk)"""
