@@ -243,7 +243,7 @@ def profile_columns(df: DataFrame, name: str, hint_mode: str = "substring", appr
     merged = merged.groupBy("column_name").agg(
         *[F.max(c).alias(c) for c in merged.columns if c != "column_name"]
     )
-    for column, dtype in {"top_values": "array<struct<value:string,count:bigint>>", "granularity": "string",
+    for column, dtype in {"top_values": "array<struct<value:string,count:bigint>>", "sample_values": "array<string>", "granularity": "string",
                           **{q: "double" for q in QUARTILES}, "outlier_count_iqr": "bigint", "email_share": "double",
                           "whitespace_count": "bigint", "whitespace_example": "string", "empty_count": "bigint"}.items():
         if column not in merged.columns:

@@ -396,7 +396,7 @@ def infer_decisions(spark, folder):
 @query
 def infer_format_rates(spark, folder):
     columns = ["us_time", "eu_date", "unsure_date", "iso_time", "mixed_date"]
-    rates = infer.format_rates(text_orders(spark, folder), columns)
+    rates = infer.format_rates(profile.value_counts(text_orders(spark, folder), columns, "string"), columns)
     rows = [(c, f, float(r)) for c, found in rates.items() for f, r in found.items() if r]
     return rounded(spark.createDataFrame(rows, "column_name string, format string, parse_rate double"), 6, "parse_rate")
 
