@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from metricloom.session import settle
 
-CUTS = 63
+CUTS = 255
 SKETCH_ACCURACY = 2000
 
 

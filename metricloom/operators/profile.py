@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from metricloom import fixed_values as fixed
 from metricloom.functions.ranks import clean_cuts, cut_sketch, exact_quantiles, with_bucket
 from metricloom.functions.text import contains_any, finite, is_padded
-from metricloom.session import settle
+from metricloom.session import settle, together
 
 # Fixed values
 TOP_VALUES, SAMPLE_VALUES, IQR_REACH = 10, 5, 1.5
@@ -210,19 +210,20 @@ def semantic_hint() -> Column:
 def profile_columns(df: DataFrame, name: str, hint_mode: str = "substring", approximate: bool = False) -> DataFrame:
     """One row per column. ``approximate`` swaps the value counts for sketches on huge tables."""
     spark = df.sparkSession
-    base = spark.createDataFrame(_scan(df), PASS_ONE)
     families: dict[str, list[str]] = {}
     for f in df.schema:
         families.setdefault(family_of(f.dataType), []).append(f.name)
     times = [f.name for f in df.schema if kind_of(f.dataType) == "temporal"]
 
-    facts: list[DataFrame] = [base]
     if approximate:
-        facts += _sketched(df, families)
+        facts = [spark.createDataFrame(_scan(df), PASS_ONE), *_sketched(df, families)]
         if "string" in families:
             facts.append(_text_facts(_long(df, families["string"], "string").withColumn("n", F.lit(1))))
     else:
-        counts = {family: settle(value_counts(df, columns, family)) for family, columns in families.items()}
+        jobs = [lambda f=family, c=columns: settle(value_counts(df, c, f)) for family, columns in families.items()]
+        records, *settled = together(lambda: _scan(df), *jobs)
+        counts = dict(zip(families, settled))
+        facts = [spark.createDataFrame(records, PASS_ONE)]
         for family, table in counts.items():
             facts.append(table.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")))
             facts.append(_samples(table, times if family == "bigint" else []))

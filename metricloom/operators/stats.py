@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,33 +141,38 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, keep: int = KEPT_PAIRS) -> DataFrame:
     """Pearson r of every pair of numeric columns over rows where both are present.
 
-    All pairs share one aggregation (wide tables: one per ``PAIRS_PER_AGG`` pairs). The form
-    below is null, not an error, when a column is constant.
+    All pairs share one aggregation (wide tables: one per ``PAIRS_PER_AGG`` pairs). A column's
+    deviation is shared by all its pairs, and only taken anew against a partner with nulls. The
+    quotient is null, not an error, when a column is constant.
     """
-    pairs = list(combinations(columns or numeric_columns(df), 2))
+    columns = list(columns or numeric_columns(df))
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        raise ValueError("correlation needs at least two numeric columns")
+    present = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in columns]).first()
+    gaps = {c for c in columns if present[c] < present["_rows"]}
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGG):
-        chunk = pairs[start:start + PAIRS_PER_AGG]
-        aggs, rows = [], []
-        for i, (a, b) in enumerate(chunk):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            x, y = F.when(both, x), F.when(both, y)
-            aggs += [
-                F.covar_samp(x, y).alias(f"c{i}"), F.stddev_samp(x).alias(f"x{i}"),
-                F.stddev_samp(y).alias(f"y{i}"), F.count(x).alias(f"n{i}"),
-            ]
-            r = F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}"))
-            rows.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"),
-                                 r.alias("correlation"), F.col(f"n{i}").alias("rows")))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    if not parts:
-        raise ValueError("correlation needs at least two numeric columns")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        needed: dict[str, Column] = {}
+
+        def share(kind: str, aggregate, x: str, y: str) -> Column:
+            """A per-column aggregate, limited to rows of the partner when that has nulls."""
+            value = F.col(x).cast("double")
+            name = f"{kind}:{x}" + (f":{y}" if y in gaps else "")
+            needed[name] = aggregate(F.when(F.col(y).isNotNull(), value) if y in gaps else value).alias(name)
+            return F.col(f"`{name}`")
+
+        rows = []
+        for i, (a, b) in enumerate(pairs[start:start + PAIRS_PER_AGG]):
+            needed[f"c{i}"] = F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
+            deviations = share("s", F.stddev_samp, a, b) * share("s", F.stddev_samp, b, a)
+            rows.append(F.struct(
+                F.lit(a).alias("left"), F.lit(b).alias("right"), F.try_divide(F.col(f"c{i}"), deviations).alias("correlation"),
+                share("n", F.count, a, b).alias("rows")))
+        parts.append(df.agg(*needed.values()).select(F.inline(F.array(*rows))))
     return (
-        out.where((F.col("rows") >= MIN_PAIR_ROWS) & F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+        reduce(DataFrame.unionByName, parts)
+        .where((F.col("rows") >= MIN_PAIR_ROWS) & F.col("correlation").isNotNull() & ~F.isnan("correlation"))
         .orderBy(F.abs("correlation").desc(), "left", "right")
         .limit(keep)
     )

@@ -15,7 +15,7 @@ from metricloom.operators.catalog import KpiSpec, catalogue_frame, fallback, ins
 from metricloom.operators.infer import decisions_frame, infer_types
 from metricloom.operators.measures import SpecError, check, evaluate, grouped, to_long
 from metricloom.operators.profile import duplicate_rows, profile_columns, profile_tables
-from metricloom.session import checkpoint_dir, settle
+from metricloom.session import checkpoint_dir, settle, settle_all, together
 
 SEGMENTS = 15  # fixed value
 
@@ -72,9 +72,11 @@ def compute_kpis(
     run = F.lit(run_id).alias("run_id")
     union = lambda frames, schema: reduce(DataFrame.unionByName, frames) if frames else _empty(first, schema)
     # Small tables (a row per KPI, point or segment) that many findings read: computed once.
-    value = settle(union(values, "kpi string, value double"))
-    line = settle(union(points, "period timestamp_ntz, kpi string, value double, partial boolean").select(run, "*"))
-    part = settle(union(parts, "dimension string, kpi string, value double, rank int").select(run, "*"))
+    value, line, part = settle_all(
+        union(values, "kpi string, value double"),
+        union(points, "period timestamp_ntz, kpi string, value double, partial boolean").select(run, "*"),
+        union(parts, "dimension string, kpi string, value double, rank int").select(run, "*"),
+    )
     change = series.period_change(line, ["run_id", "kpi"]).drop("run_id")
     catalogue = catalogue_frame(spark, specs).withColumnRenamed("slug", "kpi")
     errors = spark.createDataFrame(list(failed.items()), "kpi string, error string")
@@ -133,16 +135,17 @@ def run_suite(
         keys = columns.where("is_candidate_pk or logical_type = 'identifier'").orderBy("table_name", "position").collect()
         specs = fallback(measures, [f"{k['table_name']}.{k['column_name']}" for k in keys])
     links = joins.collect_relationships(relations) if relations is not None else []
-    results = compute_kpis(cleaned, specs, binding, run_id, links)
+    results, (pareto, pairs, focus) = together(
+        lambda: compute_kpis(cleaned, specs, binding, run_id, links), lambda: _structure(cleaned, binding, run_id))
     kpis = settle(results.values)
 
     # Statistics and findings
     points, keys = series.complete_points(results.series), ("run_id", "kpi")
-    trends, odd, seasons = (settle(f(points, keys)) for f in (stats.linear_trend, stats.anomalies, stats.peak_trough))
+    trends, odd, seasons = settle_all(
+        stats.linear_trend(points, keys), stats.anomalies(points, keys), stats.peak_trough(points, keys))
     run = F.lit(run_id).alias("run_id")
     bound = roles.assign_roles(roles.score_roles(columns))
     notes = _notes(decided, roles.unbound_notes(bound)).select(run, "*")
-    pareto, pairs, focus = _structure(cleaned, binding, run_id)
     parts = [
         insights.change_findings(kpis, trends), insights.level_findings(kpis), insights.trend_findings(kpis, trends),
         insights.anomaly_findings(kpis, odd, trends), insights.return_findings(kpis),
@@ -174,9 +177,11 @@ def run_suite(
 
 def _profile(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Profiles of all tables, computed once: later steps read them many times."""
-    columns = settle(reduce(DataFrame.unionByName, [profile_columns(df, n) for n, df in tables.items()]))
     repeats = reduce(DataFrame.unionByName, [duplicate_rows(df, n) for n, df in tables.items()])
-    return columns, settle(profile_tables(columns, repeats))
+    repeats, *profiles = together(
+        lambda: settle(repeats), *[lambda n=n, df=df: settle(profile_columns(df, n)) for n, df in tables.items()])
+    columns = reduce(DataFrame.unionByName, profiles)
+    return columns, profile_tables(columns, repeats)
 
 
 def _notes(decisions: DataFrame, unbound: DataFrame) -> DataFrame:
@@ -201,4 +206,4 @@ def _structure(tables: Mapping[str, DataFrame], binding: roles.Binding, run_id:
             focus = stats.row_concentration(df, dimension)
         if len(stats.numeric_columns(df)) > 1:
             pairs.append(stats.correlation_pairs(df).select(run, F.lit(name).alias("table_name"), "left", "right", "correlation"))
-    return pareto, reduce(DataFrame.unionByName, pairs) if pairs else None, focus
+    return pareto, settle(reduce(DataFrame.unionByName, pairs)) if pairs else None, focus

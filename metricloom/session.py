@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks partition counts, join strategies and skew splits from runtime sizes; the
@@ -66,3 +70,16 @@ def settle(df: DataFrame) -> DataFrame:
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*calls: Callable[[], Any]) -> list:
+    """Run independent Spark jobs side by side, so that one's tail does not leave cores idle."""
+    if len(calls) == 1:
+        return [calls[0]()]
+    with ThreadPoolExecutor(max_workers=min(4, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]
+
+
+def settle_all(*frames: DataFrame) -> list[DataFrame]:
+    """Settle independent results side by side."""
+    return together(*[lambda df=df: settle(df) for df in frames])

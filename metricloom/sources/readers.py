@@ -13,7 +13,7 @@ SNIFFED_CHARACTERS = 8192
 
 # A file is split by row group, so a small file can be one task. Between these sizes it is
 # dealt out over the cores; larger inputs have row groups enough and are left as they are.
-SPREAD_FROM, SPREAD_BELOW = 1 << 20, 64 << 20
+SPREAD_FROM, SPREAD_BELOW = 4 << 20, 64 << 20
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
