@@ -173,7 +173,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, keep:
     return (
         reduce(DataFrame.unionByName, parts)
         .where((F.col("rows") >= MIN_PAIR_ROWS) & F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-        .orderBy(F.abs("correlation").desc(), "left", "right")
+        .orderBy(F.round(F.abs("correlation"), 12).desc(), "left", "right")  # rounding noise is no rank
         .limit(keep)
     )
 

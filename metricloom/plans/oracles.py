@@ -503,7 +503,7 @@ _numeric = [c for c, k in SALES_KINDS.items() if k == "numeric"]
 _corr = union(f"SELECT '{a}' AS left, '{b}' AS right, corr({a}, {b}) AS correlation, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS rows FROM sales"
               for i, a in enumerate(_numeric) for b in _numeric[i + 1:])
 ORACLES["correlation"] = f"""{SALES} SELECT "left", "right", round(correlation, 6) AS correlation, rows FROM ({_corr.replace("AS left", 'AS "left"').replace("AS right", 'AS "right"')})
-WHERE rows >= 10 ORDER BY abs(correlation) DESC LIMIT 20"""
+WHERE rows >= 10 ORDER BY round(abs(correlation), 12) DESC, "left", "right" LIMIT 20"""
 ORACLES["row_concentration"] = f"""{SALES}, g AS (SELECT country, count(*) AS n FROM sales WHERE country IS NOT NULL GROUP BY 1)
 SELECT 'country' AS dimension, (SELECT country FROM g ORDER BY n DESC, country LIMIT 1) AS top_value, round(max(n) / sum(n), 6) AS share, count(*) AS distinct_values FROM g"""
 

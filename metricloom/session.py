@@ -76,8 +76,9 @@ def together(*calls: Callable[[], Any]) -> list:
     """Run independent Spark jobs side by side, so that one's tail does not leave cores idle."""
     if len(calls) == 1:
         return [calls[0]()]
+    inherit = inheritable_thread_target(SparkSession.active())  # job groups and other local settings
     with ThreadPoolExecutor(max_workers=min(4, len(calls))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]
+        return [f.result() for f in [pool.submit(inherit(c)) for c in calls]]
 
 
 def settle_all(*frames: DataFrame) -> list[DataFrame]:
