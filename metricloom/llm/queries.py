@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metricloom.llm.minhash import near_duplicates
 from metricloom.llm.substring_dedup import substring_dedup
 from metricloom.llm.suffix_dedup import suffix_dedup
 
@@ -18,11 +19,15 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(table(spark, folder, "documents")).drop("kept")
 
 
+def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(table(spark, folder, "documents")).drop("kept_text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op8_substring_dedup)
+    f.__name__: f for f in (op2_suffix_dedup, op7_minhash_dedup, op8_substring_dedup)
 }
 ORACLES: dict[str, str] = {}
