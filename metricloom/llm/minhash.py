@@ -8,12 +8,14 @@
 3. In each bucket (documents that share a band key) one document is the leader: the one that
    shares most buckets with others, as the original of a group of copies does. Every member is
    compared with its leaders only, on full sets. A bucket of n gives n pairs, not n^2.
-4. A pair that is not compared directly shares a leader b. With D(x) the shingles in just one of
-   x and b: |D(s) ^ D(m)| is the difference of s and m, and 4 |s&m| >= 3 |s|m| holds just if 7
-   times that is at most |s| + |m|. If s is not linked to b, this needs a number of elements
-   common to D(s) and D(m) that is at least one. So of documents in different components only
-   those are paired that share an element among the rarest of their D (a prefix filter), and the
-   shared elements decide exactly. No link between documents that share a bucket is lost.
+4. A pair that is not compared directly shares a leader b. `added` are the shingles that x has and
+   b has not, `gone` those b has and x has not. The difference of x and y follows from what they
+   share of these, and they are linked just if 7 times it is at most |x| + |y|. For documents in
+   different components (so not both linked to b) that needs some shared elements, in most cases
+   some of the rare `added` ones, in number at least 1/14 of
+   7 (added(x) + added(y) + |gone(x) - gone(y)|) - |x| - |y|. So only documents with enough rare
+   elements in common are paired (a positional prefix filter), and the shared elements decide
+   exactly. No link between documents that share a bucket is lost.
 5. Components of all links.
 """
 
@@ -122,7 +124,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, name: str, size: int) -> DataFrame:
 def compared(docs: DataFrame, buckets: DataFrame, size: int) -> DataFrame:
     """Every (leader b, member x) of the buckets (key, x, members), compared on full sets.
 
-    Returns b, x, nb, nx, linked, and `apart`, the shingles that only one of the two has.
+    Returns b, x, nb, nx, linked, and what sets them apart: `gone` (only in b) and `added` (only in x).
     """
     reach = buckets.groupBy("x").agg(F.sum("members").alias("reach"))
     ranked = buckets.join(reach, "x").select("key", F.struct("reach", (-F.col("x")).alias("low"), "x").alias("rank"))
@@ -132,31 +134,47 @@ def compared(docs: DataFrame, buckets: DataFrame, size: int) -> DataFrame:
     right = sets_of(docs, pairs, "x", size).select(F.col("doc_id").alias("x"), F.col("shingles").alias("of_x"))
     both = pairs.join(left, "b").join(right, "x").withColumns({
         "nb": F.size("of_b").cast("long"), "nx": F.size("of_x").cast("long"),
-        "apart": F.concat(F.array_except("of_b", "of_x"), F.array_except("of_x", "of_b"))})
-    return both.select("b", "x", "nb", "nx", (7 * F.size("apart") <= F.col("nb") + F.col("nx")).alias("linked"), "apart")
+        "gone": F.array_except("of_b", "of_x"), "added": F.array_except("of_x", "of_b")})
+    return both.select("b", "x", "nb", "nx", (7 * (F.size("gone") + F.size("added")) <= F.col("nb") + F.col("nx")).alias("linked"), "gone", "added")
 
 
 def indirect(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Links (u, v) between members of one leader that are in different components so far."""
     open_leaders = pairs.where("not linked").select("b").distinct()
     own = (pairs.join(open_leaders, "b").join(members.withColumnRenamed("node", "x"), "x", "left")
-           .withColumn("component", F.coalesce("component", "x")).withColumn("d", F.size("apart").cast("long")))
-    need = F.when(F.col("linked"), F.greatest(F.lit(1), F.ceil((7 * F.col("d") + F.col("nb") - F.col("nx") + 1) / 14)))
-    own = own.withColumn("need", need.otherwise(F.ceil((7 * F.col("d") - F.col("nx") - F.col("nb")) / 14)))
-    tokens = own.select("b", "x", "component", F.explode("apart").alias("t"))
+           .withColumns({"component": F.coalesce("component", "x"), "g": F.size("gone").cast("long"), "d": F.size("added").cast("long")}))
+    tokens = own.select("b", "x", "component", F.explode("gone").alias("t")).union(own.select("b", "x", "component", F.explode("added").alias("t")))
     shared = tokens.groupBy("b", "t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     kept = (tokens.join(shared.select("b", "t", "df"), ["b", "t"]).groupBy("b", "x")
-            .agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("common")))
-    kept = common.settle(own.drop("apart").join(kept, ["b", "x"]).where("size(common) >= need")
-                         .withColumn("common", F.expr("common.t")))
-    # of what two documents must share, one element is among the first size - need + 1 of each
-    first = kept.select("b", "x", "component", F.explode(F.expr("slice(common, 1, int(size(common) - need + 1))")).alias("t"))
-    other = first.select("b", "t", F.col("x").alias("y"), F.col("component").alias("other"))
-    found = first.join(other, ["b", "t"]).where("x < y and component != other").select("b", "x", "y").distinct()
-    side = kept.select("b", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("d").alias("dy"), F.col("common").alias("common_y"))
-    exact = found.join(kept, ["b", "x"]).join(side, ["b", "y"])
-    apart = F.col("d") + F.col("dy") - 2 * F.size(F.array_intersect("common", "common_y"))
-    return exact.where(7 * apart <= F.col("nx") + F.col("ny")).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+            .agg(F.expr("array_sort(collect_list(struct(df, t))).t").alias("both")))
+    # elements that no document of another component has cannot be shared: they are left out from here on
+    kept = common.settle(own.join(kept, ["b", "x"]).withColumns({
+        "gone": F.array_intersect("both", "gone"), "added": F.array_intersect("both", "added"),
+        "grade": F.expr("int(floor(16D * nx / nb))")}))
+    facts = ["b", "x", "component", "nx", "g", "d"]
+    far = lambda df: df.select("b", "t", *(F.col(c).alias(f"{c}_y") for c in [*facts[1:], *(c for c in df.columns if c in ("rest", "grade"))]))
+    # 14 times the number of added elements that x and y must share to be linked
+    need = "7 * (d + d_y + abs(g - g_y)) - nx - nx_y"
+
+    added = kept.select(*facts, F.posexplode("added").alias("i", "t"), F.size("added").alias("n")).withColumn("rest", F.expr("n - i")).drop("i", "n")
+    some = added.join(far(added), ["b", "t"]).where(f"x < x_y and component != component_y and {need} between 1 and 14 * least(rest, rest_y)")
+    # y so much shorter that no added element need be shared; then one that sets both apart from b is. At least one of x, y
+    # is not linked to b: of that one, the elements go to the sizes (sixteenths of b) in which such y can be
+    apart = F.ceil((7 * (F.col("g") + F.col("d")) - F.col("nx") - F.col("nb")) / 14)
+    short = kept.where("not linked").withColumns({
+        "low": F.expr("int(floor(12D * nx / nb))"),
+        "high": F.expr("int(floor(16D * (nb - (7 * d + 4 * (nb - nx) - nb) / 3) / nb))"),
+        "first": F.slice("both", F.lit(1), F.greatest(F.lit(0), F.size("both") - apart + 1).cast("int"))})
+    short = (short.withColumn("high", F.least("high", F.expr("int(ceil(64D * nx / nb / 3))"))).where("high >= low")
+             .select(*facts, F.explode(F.sequence("low", "high")).alias("grade"), "first").select(*facts, "grade", F.explode("first").alias("t")))
+    sized = kept.select(*facts, "grade", F.explode("both").alias("t"))
+    other = far(sized).withColumnRenamed("grade_y", "grade")
+    rest = short.join(other, ["b", "grade", "t"]).where(f"component != component_y and {need} <= 0")
+    found = some.select("b", "x", "x_y").union(rest.select("b", "x", "x_y")).distinct()
+    side = kept.select("b", F.col("x").alias("x_y"), F.col("nx").alias("nx_y"), F.col("g").alias("g_y"), F.col("d").alias("d_y"), F.col("both").alias("both_y"))
+    exact = found.join(kept.select("b", "x", "nx", "g", "d", "both"), ["b", "x"]).join(side, ["b", "x_y"])
+    difference = F.col("g") + F.col("d") + F.col("g_y") + F.col("d_y") - 2 * F.size(F.array_intersect("both", "both_y"))
+    return exact.where(7 * difference <= F.col("nx") + F.col("nx_y")).select(F.col("x").alias("u"), F.col("x_y").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -168,7 +186,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     """
     docs = common.keyed(docs)
     signed = common.settle(signatures(docs, size, bands, rows))
-    classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("x"), F.first("keys").alias("keys"))
+    # written, so that the last join meets it by an exchange and can split a class with very many copies
+    classes = common.settle(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("x"), F.first("keys").alias("keys")))
     banded = classes.select("x", F.explode("keys").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = common.settle(banded.join(full, "key"))

@@ -142,9 +142,11 @@ def repeated(docs: DataFrame, cut: Units, classes: Callable[[np.ndarray, np.ndar
     """(doc_id, first, n): runs of window starts of `keyed` documents that also start earlier in the corpus."""
     runs = anchor_runs(docs, cut)
     often = runs.groupBy("a").agg(F.count("*").alias("_n"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_n > 1")
-    active = common.settle(runs.join(often.select("a", F.expr("_lo < _hi").alias("several")), "a"))
-    least = active.groupBy("a", "c").agg(F.min("doc_id").alias("_doc"))
-    tied = active.join(least, ["a", "c"]).withColumn("head", F.expr("own and doc_id = _doc"))
+    # the counts are written, so that the joins meet them by exchanges and can split an anchor that very many documents have
+    often = common.settle(often.select("a", F.expr("_lo < _hi").alias("several")))
+    active = common.settle(runs.join(often, "a"))
+    least = common.settle(active.groupBy("a", "c").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    tied = active.join(least, ["a", "c"], "left").withColumn("head", F.expr("own and doc_id = coalesce(_doc, doc_id)"))
     later = tied.where("not head").select("doc_id", "first", "n")
     heads = tied.where("head and several").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("open"))
     # joined from the left without a filter, so that this exchange of the texts is the one the final step uses
