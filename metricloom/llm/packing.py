@@ -27,7 +27,7 @@ from metricloom.llm import common
 
 WIDTH, END = 2048, 1
 #: Words kept per generation of a worker's lookup; two generations at most.
-KNOWN = 800000
+KNOWN = 400_000
 #: Token ids of a text are written in rows of at most this many, so that no row grows with its text.
 ROW = 1 << 20
 _SPACE = re.compile(r"[ \t\n\r]+")

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.minhash import near_duplicates
+from metricloom.llm.packing import packed
 from metricloom.llm.substring_dedup import substring_dedup
 from metricloom.llm.suffix_dedup import suffix_dedup
+from metricloom.llm.url_filter import filter_urls
+from metricloom.llm.warc import round_trip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +22,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(table(spark, folder, "documents")).drop("kept")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(table(spark, folder, "pages")).drop("payload", "url")
+
+
 def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -27,7 +34,22 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(table(spark, folder, "documents")).drop("kept_text")
 
 
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"))
+
+
+def tokenizer_path() -> str:
+    """The word-piece vocabulary among the public tokenizers of this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), tokenizer_path()).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op7_minhash_dedup, op8_substring_dedup)
+    f.__name__: f for f in (op2_suffix_dedup, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
 }
 ORACLES: dict[str, str] = {}
