@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.minhash import near_duplicates
 from metricloom.llm.packing import packed
+from metricloom.llm.quality_rules import quality_rules
 from metricloom.llm.substring_dedup import substring_dedup
 from metricloom.llm.suffix_dedup import suffix_dedup
 from metricloom.llm.url_filter import filter_urls
@@ -22,6 +23,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(table(spark, folder, "documents")).drop("kept")
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(table(spark, folder, "pages")).drop("payload", "url")
 
@@ -50,6 +55,6 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
+    f.__name__: f for f in (op2_suffix_dedup, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
 }
 ORACLES: dict[str, str] = {}
