@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from metricloom.session import settle
 
-__all__ = ["BLOCK", "Powers", "batch_of", "bit_filter", "blocks", "byte_units", "gram_hash", "id_bit", "keyed", "mix", "settle", "texts", "unkeyed", "words"]
+__all__ = ["BLOCK", "PUNCTUATION", "Powers", "batch_of", "bit_filter", "blocks", "byte_units", "gram_hash", "id_bit", "keyed", "mix", "settle", "texts", "unkeyed", "words"]
 
 NO_ID = -(2**63)
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
@@ -24,6 +24,7 @@ _FOLD = _BYTE.copy()
 _FOLD[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -104,12 +105,13 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         row = to
 
 
-def words(body: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(body: np.ndarray, offsets: np.ndarray, fold: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts laid end to end: starts, ends, hashes, and each text's first word (one more at the end).
 
-    A word is a run of bytes other than space and 0x09-0x0D. `fold` hashes A-Z as a-z.
+    A word is a run of bytes other than `gaps`: space and 0x09-0x0D, or PUNCTUATION, all ASCII
+    but letters and digits. `fold` hashes A-Z as a-z.
     """
-    solid = ~_SPACE[body]
+    solid = ~gaps[body]
     before, after = np.zeros(len(body), bool), np.zeros(len(body), bool)
     before[1:], after[:-1] = solid[:-1], solid[1:]
     edges = offsets[(offsets > 0) & (offsets < len(body))]

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metricloom.llm.decontaminate import contaminated
+from metricloom.llm.language_id import identify, of_documents, of_pages
 from metricloom.llm.minhash import near_duplicates
 from metricloom.llm.packing import packed
 from metricloom.llm.quality_rules import quality_rules
@@ -19,10 +21,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(table(spark, folder, "documents")).drop("kept")
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(of_documents(table(spark, folder, "documents")))
+
+
+def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """All evidence of operator 4: pages declare a language and have an address."""
+    return identify(of_pages(table(spark, folder, "pages"))).withColumnRenamed("doc_id", "page_id")
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -55,6 +70,6 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
+    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op4_language_id, language_of_pages, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
 }
 ORACLES: dict[str, str] = {}
