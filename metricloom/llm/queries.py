@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.decontaminate import contaminated
 from metricloom.llm.language_id import identify, of_documents, of_pages
+from metricloom.llm.lm_score import scored
 from metricloom.llm.minhash import near_duplicates
 from metricloom.llm.packing import packed
 from metricloom.llm.quality_rules import quality_rules
@@ -29,6 +30,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(table(spark, folder, "documents")).drop("kept")
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(of_documents(table(spark, folder, "documents")))
 
@@ -70,6 +75,6 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op4_language_id, language_of_pages, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
+    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_lm_score, op4_language_id, language_of_pages, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
 }
 ORACLES: dict[str, str] = {}

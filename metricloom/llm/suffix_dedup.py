@@ -198,24 +198,29 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGG
     return repeats.with_spans(docs, placed.where("a is null").select("doc_id", "first", "n").unionByName(ends))
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """Kept bytes of every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary)."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, text: bool = False) -> DataFrame:
+    """Kept bytes of every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+
+    kept is binary; with `text` a string, without the bytes of characters that a cut leaves incomplete.
+    """
+    kind = "string" if text else "binary"
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                        ("kept_sha256", pa.string()), ("kept", pa.binary())])
+                        ("kept_sha256", pa.string()), ("kept", pa.string() if text else pa.binary())])
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                total, kept, runs = len(raw), raw, 0
-                if spans.is_valid:
-                    out = repeats.covered(spans, total, length)
-                    runs = int(np.count_nonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)) == 1))
-                    kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
-                rows.append((key, total, total - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
-            yield common.batch_of(rows, schema)
+            for lo in range(0, batch.num_rows, 256):
+                rows = []
+                for key, body, spans in zip(*(batch.column(i).slice(lo, 256) for i in range(3)), strict=True):
+                    kept, runs = body.as_buffer().to_pybytes(), 0
+                    total = len(kept)
+                    if spans.is_valid:
+                        out = repeats.covered(spans, total, length)
+                        runs = int(np.count_nonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)) == 1))
+                        kept = np.frombuffer(kept, np.uint8)[~out].tobytes()
+                    rows.append((key.as_py(), total, total - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if text else kept))
+                yield common.batch_of(rows, schema)
 
     out = repeated_strings(docs, length, trigger).mapInArrow(
-        trim, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        trim, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kind}")
     return common.unkeyed(out, "doc_id")
