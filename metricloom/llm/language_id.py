@@ -8,8 +8,8 @@ Log evidence of each language for a row is the sum of
 - the prior of the host: its counts of such rows, smoothed with those of its domain, which are
   smoothed with those of all rows. Counts are grouped aggregates over all rows.
 
-A row is kept if its best language has a posterior of `SURE` or more and the text looks more like
-that language than like noise.
+A row is kept if its best language has a posterior of `SURE` or more and its text is not noise:
+a third of its bytes at least are of letters, and they are likelier in some language than at random.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from metricloom.llm import common
 #: Trigram buckets, texts per language the trigrams are learned from, trigrams a text counts for, prior rows of a level.
 BUCKETS, TRAIN, WEIGHT, PRIOR, SURE = 1 << 15, 400, 60, 20.0, 0.5
 
+_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+
 
 def trigrams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams of texts end to end (A-Z folded, none across texts), and the text of each."""
@@ -90,11 +92,13 @@ def text_evidence(rows: DataFrame, languages: list[str], logs: np.ndarray, weigh
                 n = np.bincount(text, minlength=hi - lo)
                 sums = np.stack([np.bincount(text, weights=table[bucket, k], minlength=hi - lo) for k in range(len(languages))], axis=1)
                 mean = sums / np.maximum(n, 1)[:, None]
+                letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[body[offsets[lo]: offsets[hi]]])])[offsets[lo: hi + 1] - offsets[lo]])
+                noise = (n == 0) | (mean.max(1) < floor) | (3 * letters < np.diff(offsets[lo: hi + 1]))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(n.astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(languages)), pa.array((mean * np.minimum(n, weight)[:, None]).ravel())),
-                     pa.array(mean.argmax(1).astype(np.int32)), pa.array((n == 0) | (mean.max(1) < floor))], schema=schema)
+                     pa.array(mean.argmax(1).astype(np.int32)), pa.array(noise)], schema=schema)
 
     kinds = "doc_id long, declared string, host string, domain string, suffix string, n_trigrams long, evidence array<double>, best int, noise boolean"
     return rows.select(*names, "text").mapInArrow(score, kinds)
