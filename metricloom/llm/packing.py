@@ -16,6 +16,7 @@ import itertools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ _LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0101-\u017f"
 _DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 _OTHER = re.compile("[^\\x00-\\x1b\\x20-\u012f\u0131-\u017f]|<\\|")
+# byte-level models write bytes as characters: those that print as themselves, the others as U+0100 and up in order
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _tokenizers: dict = {}
 
 
@@ -53,18 +57,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        size = self.model.get_vocab_size()
-        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.latin, self.pieces, self.words = ([{}, {}] for _ in range(3))
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each end in one end-of-word id: encoded as one text, cut at those ids."""
-        ids = np.array(self.model.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) != len(pieces) or at[-1] != len(ids):
-            return self._each(pieces)
-        raw, at = ids.tobytes(), (at * 4).tolist()
-        return [raw[i:j] for i, j in zip([0, *at], at, strict=False)]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the tokenizer would not split further: its model alone, on the characters that stand for their bytes."""
+        tokenize = self.model.model.tokenize
+        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in pieces]
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -85,7 +83,7 @@ class WordIds:
     def _latin(self, words: list[str]) -> list[bytes]:
         """Ids of words of Latin characters, by their pieces."""
         cut = [_PIECE.findall(w.lower()) for w in words]
-        get = self._ids(self.pieces, set(itertools.chain.from_iterable(cut)), self._together).__getitem__
+        get = self._ids(self.pieces, set(itertools.chain.from_iterable(cut)), self._pieces).__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
