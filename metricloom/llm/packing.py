@@ -12,7 +12,6 @@ not seen lately are tokenized; a test compares this with whole texts.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
@@ -43,8 +42,25 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PR
 _tokenizers: dict = {}
 
 
+class Lookup(dict):
+    """Values made on demand and kept for a while: at most two generations of KNOWN."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= KNOWN:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordIds:
-    """Token ids of texts as little-endian 32-bit runs, by a bounded two-generation lookup of words.
+    """Token ids of texts as little-endian 32-bit runs, by a bounded lookup of words.
 
     The tokenizer folds case, splits a text at white space and between letters, digits and other
     characters, and maps each piece on its own. For texts within the Latin blocks the same split is
@@ -56,44 +72,20 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.latin, self.pieces, self.words = ([{}, {}] for _ in range(3))
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the tokenizer would not split further: its model alone, on the characters that stand for their bytes."""
-        tokenize = self.model.model.tokenize
-        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in pieces]
-
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _ids(self, kept: list[dict[str, bytes]], wanted: set[str], encode) -> dict[str, bytes]:
-        """A lookup that holds all the wanted pieces; those not seen lately are encoded."""
-        new, old = kept
-        missing = wanted.difference(new)
-        if len(new) + len(missing) > KNOWN:
-            kept[0], kept[1] = new, old = {w: new[w] for w in wanted if w in new}, new
-        again = missing.intersection(old)
-        new.update((w, old[w]) for w in again)
-        unseen = list(missing - again)
-        for at in range(0, len(unseen), 2048):
-            new.update(zip(unseen[at: at + 2048], encode(unseen[at: at + 2048]), strict=True))
-        return new
-
-    def _latin(self, words: list[str]) -> list[bytes]:
-        """Ids of words of Latin characters, by their pieces."""
-        cut = [_PIECE.findall(w.lower()) for w in words]
-        get = self._ids(self.pieces, set(itertools.chain.from_iterable(cut)), self._pieces).__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        whole = Tokenizer.from_file(path)
+        tokenize = whole.model.tokenize
+
+        def piece(text: str) -> bytes:
+            """A piece that is not split further: the model alone, on the characters that stand for its bytes."""
+            shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(_BYTES)
+            return array("I", [t.id for t in tokenize(shown)]).tobytes()
+
+        pieces = Lookup(piece)
+        self.latin = Lookup(lambda word: b"".join([pieces[p] for p in _PIECE.findall(word.lower())]))
+        self.words = Lookup(lambda word: array("I", whole.encode(word, add_special_tokens=False).ids).tobytes())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [not _OTHER.search(t) for t in texts]
-        cut = [t.split() if p else _SPACE.split(t) for t, p in zip(texts, plain, strict=True)]
-        both = []
-        for kept, encode, kind in ((self.latin, self._latin, True), (self.words, self._each, False)):
-            own = set(itertools.chain.from_iterable(c for c, p in zip(cut, plain, strict=True) if p is kind))
-            both.append(self._ids(kept, own, encode).__getitem__)
-        return [b"".join(map(both[0] if p else both[1], words)) for words, p in zip(cut, plain, strict=True)]
+        return [b"".join(map(self.words.__getitem__, _SPACE.split(t)) if _OTHER.search(t) else map(self.latin.__getitem__, t.split())) for t in texts]
 
 
 def word_ids(path: str) -> WordIds:
