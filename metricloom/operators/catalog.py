@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from metricloom.operators.measures import Measure
 from metricloom.operators.roles import Binding
 
+PLAIN = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+
 CATALOGUE = """slug string, name string, description string, business_meaning string, formula string, unit string,
 confidence double, priority int, higher_is_better boolean, additivity string, tables array<string>,
 dimensions array<string>, source string, roles map<string,string>, revenue_basis string, filters array<string>"""
@@ -34,37 +37,50 @@ class KpiSpec:
     filters: tuple[str, ...] = ()
 
 
+def reference(table: str, column: str) -> str:
+    """A column in SQL text, whatever characters its names have."""
+    return ".".join("`" + part.replace("`", "``") + "`" if not PLAIN.fullmatch(part) else part for part in (table, column))
+
+
+def quoted(full: str) -> str:
+    """``table.column`` as a reference; the first dot ends the table's name."""
+    return reference(*full.split(".", 1))
+
+
 class Terms:
     """The building blocks of the KPIs under one binding; ``None`` where roles are missing."""
 
     def __init__(self, binding: Binding):
-        self.binding, self.used_filters, self.used_roles = binding, [], []
+        self.binding, self.used_filters, self.used_roles, self.used_tables = binding, [], [], []
 
     def role(self, name: str) -> str:
         self.used_roles.append(name)
-        return self.binding.roles[name]
+        return quoted(self.binding.roles[name])
 
     @property
     def revenue_basis(self) -> tuple[str, str] | None:
         """Quantity times price where both are bound, else a line amount."""
         b = self.binding.roles
         if self.binding.has("quantity", "unit_price"):
-            product = f"{b['quantity']} * {b['unit_price']}"
+            product = f"{quoted(b['quantity'])} * {quoted(b['unit_price'])}"
             return product, f"quantity times unit price, summed per line ({product})"
         if self.binding.has("amount"):
-            return b["amount"], f"a line amount ({b['amount']})"
+            return quoted(b["amount"]), f"a line amount ({quoted(b['amount'])})"
         return None
 
     def revenue(self, where: str | None = None) -> Measure:
+        self.used_tables += ["quantity", "unit_price"] if self.binding.has("quantity", "unit_price") else ["amount"]
         return Measure.sum(self.revenue_basis[0], where)
 
     def cancelled(self, yes: bool) -> str | None:
         """Rows of cancelled orders (or of the others): by id prefix, else by sign of quantity."""
         b = self.binding
         if b.cancel_prefix and b.has("order_id"):
-            text = f"{b.roles['order_id']} {'LIKE' if yes else 'NOT LIKE'} '{b.cancel_prefix}%'"
+            text = f"{quoted(b.roles['order_id'])} {'LIKE' if yes else 'NOT LIKE'} '{b.cancel_prefix}%'"
+            self.used_tables.append("order_id")
         elif b.has_negative_quantity and b.has("quantity"):
-            text = f"{b.roles['quantity']} {'<' if yes else '>='} 0"
+            text = f"{quoted(b.roles['quantity'])} {'<' if yes else '>='} 0"
+            self.used_tables.append("quantity")
         else:
             return None
         self.used_filters.append(text)
@@ -81,7 +97,8 @@ class Terms:
         return Measure.sum(quantity, f"{quantity} > 0")
 
     def returned(self) -> str:
-        text = f"{self.binding.roles['quantity']} < 0"
+        text = f"{quoted(self.binding.roles['quantity'])} < 0"
+        self.used_tables.append("quantity")
         self.used_filters.append(text)
         return text
 
@@ -173,10 +190,10 @@ def fact_table(binding: Binding) -> str | None:
     return refs[0].split(".", 1)[0] if refs else None
 
 
-def instantiate(binding: Binding, domain: str) -> list[KpiSpec]:
-    """Every KPI the bound roles support, by priority."""
+def instantiate(binding: Binding, domain: str, labels_shown: int | None = None) -> list[KpiSpec]:
+    """Every KPI the bound roles support, by priority; it lists all label dimensions, or the first few."""
     time = [d for d, kind in binding.dimensions if kind == "datetime"][:1]
-    labels = [d for d, kind in binding.dimensions if kind != "datetime"][:3]
+    labels = [d for d, kind in binding.dimensions if kind != "datetime"][:labels_shown]
     specs = []
     for template in TEMPLATES:
         terms = Terms(binding)
@@ -188,9 +205,9 @@ def instantiate(binding: Binding, domain: str) -> list[KpiSpec]:
             continue
         if template.needs_cancellations and terms.cancelled(True) is None:
             continue
-        terms.used_filters.clear()
+        terms.used_filters.clear(), terms.used_tables.clear()
         measure = template.build(terms)
-        refs = [r for name, r in binding.roles.items() if r in measure.text]
+        refs = [binding.roles[r] for r in {*terms.used_roles, *terms.used_tables}]
         tables = tuple(sorted({r.split(".", 1)[0] for r in refs})) or tuple(filter(None, [fact_table(binding)]))
         if not tables:
             continue
@@ -206,25 +223,30 @@ def instantiate(binding: Binding, domain: str) -> list[KpiSpec]:
     return sorted(specs, key=lambda s: s.priority)
 
 
-def fallback(measures: Sequence[tuple[str, str, str, str | None]], identifiers: Sequence[str]) -> list[KpiSpec]:
-    """Plain sums, averages and distinct counts for a dataset no role matched.
+def fallback(
+    measures: Sequence[tuple[str, str, str, str | None]], identifiers: Sequence[str],
+    keep_measures: int | None = None, keep_identifiers: int | None = None,
+) -> list[KpiSpec]:
+    """Plain sums, averages and distinct counts for a dataset no role matched, of all columns or the first few.
 
     ``measures`` are ``(table, column, aggregation, unit)``; ``identifiers`` are ``table.column``.
     """
-    specs = []
-    for i, (table, column, aggregation, unit) in enumerate(measures[:6]):
-        ref = f"{table}.{column}"
-        build = Measure.sum if aggregation == "SUM" else Measure.avg
-        specs.append(KpiSpec(
-            f"{aggregation}_{column}".lower(), f"{aggregation.title()} of {column}", build(ref), unit or "units", (table,),
-            f"{aggregation} over {ref}.", f"No role matched {ref}; reported as it is.", 0.5, 60 + i, source="fallback"))
-    for i, ref in enumerate(identifiers[:2]):
-        column = ref.split(".")[-1]
-        specs.append(KpiSpec(
-            f"distinct_{column}".lower(), f"Distinct {column}", Measure.count_distinct(ref), "count",
-            (ref.split(".", 1)[0],), f"Distinct values of {ref}.", f"Cardinality of {ref}.", 0.6, 70 + i,
-            source="fallback"))
-    return specs
+    plain = {"SUM": (Measure.sum, "Total"), "AVG": (Measure.avg, "Mean")}
+    out = []
+    for place, (table, column, kind, unit) in enumerate(measures[:keep_measures]):
+        measure, word = plain[kind]
+        where = reference(table, column)
+        out.append(KpiSpec(
+            slug=f"{kind}_{column}".lower(), name=f"{kind.title()} of {column}", measure=measure(where), unit=unit or "units", tables=(table,),
+            description=f"{word} of the column {column} in {table}.", business_meaning="A plain figure: the column has no known business role.",
+            confidence=0.5, priority=60 + place, source="fallback"))
+    for place, full in enumerate(identifiers[:keep_identifiers]):
+        table, _, column = full.partition(".")
+        out.append(KpiSpec(
+            slug=f"distinct_{column}".lower(), name=f"Distinct {column}", measure=Measure.count_distinct(reference(table, column)), unit="count",
+            tables=(table,), description=f"How many different {column} there are in {table}.", business_meaning="Size of an entity set, role unknown.",
+            confidence=0.6, priority=70 + place, source="fallback"))
+    return out
 
 
 def catalogue_frame(spark: SparkSession, specs: Sequence[KpiSpec]) -> DataFrame:

@@ -253,15 +253,21 @@ def grouped(
     dimension: Column,
     where: Column | None = None,
     limit: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Measures by one dimension: ``(kpi, dimension, value)``, and ``rank`` when limited.
 
     Rank 1 is the largest; ties go to the smaller dimension text. The rank filter keeps at
-    most ``limit`` rows per task and KPI before the shuffle.
+    most ``limit`` rows per task and KPI before the shuffle. ``totals`` adds the number of
+    groups and the sum of their absolute values, over all groups and not just those kept.
     """
     wide = evaluate(df, measures, {"dimension": dimension.cast("string")}, where)
     rows = to_long(wide, ["dimension"], list(measures))
     if limit is None:
         return rows
     order = Window.partitionBy("kpi").orderBy(F.col("value").desc_nulls_last(), "dimension")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    if not totals:
+        return top
+    whole = rows.groupBy("kpi").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.abs(F.coalesce("value", F.lit(0.0)))).alias("total"))
+    return top.join(whole, "kpi").select("kpi", "dimension", "value", "rank", "segments", "total")

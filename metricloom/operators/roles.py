@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom import fixed_values as fixed
 
 # Role scores.
 BASE, TYPE_FITS, TYPE_ODD, EXACT_NAME, LOWEST = 0.55, 0.25, -0.2, 0.2, 0.5
-MAX_MODEL_ITEMS = 80
 
 
 def _any_match(name: Column, patterns: list[str]) -> Column:
@@ -76,26 +75,31 @@ def score_roles(columns: DataFrame) -> DataFrame:
 def assign_roles(scores: DataFrame, dataset: str = "dataset") -> DataFrame:
     """At most one column per role and one role per column, per dataset.
 
-    A greedy pass, as each choice depends on the ones before: roles in fixed order take their
-    best free column. A dataset is one row per column and fitting role; datasets run in parallel.
+    Roles in fixed order take their best free column: a fold over a dataset's candidates, which
+    are a row per column and fitting role. Datasets run in parallel.
     """
     if dataset not in scores.columns:
         scores = scores.withColumn(dataset, F.lit("main"))
-    order = list(fixed.ROLE_ORDER)
-
-    # Local, so that executors need not have this package installed.
-    def assign(candidates):
-        ranked = candidates.sort_values(["confidence", "table_name", "position"], ascending=[False, True, True])
-        taken, kept = set(), []
-        for role in order:
-            for row in ranked[ranked["role"] == role].itertuples():
-                if (row.table_name, row.column_name) not in taken:
-                    taken.add((row.table_name, row.column_name))
-                    kept.append(row.Index)
-                    break
-        return candidates.loc[kept]
-
-    return scores.groupBy(dataset).applyInPandas(assign, scores.schema)
+    place = F.array_position(F.array(*map(F.lit, fixed.ROLE_ORDER)), F.col("role"))
+    turn = F.struct(place.alias("place"), (-F.col("confidence")).alias("worth"), "table_name", "position", F.struct(*scores.columns).alias("row"))
+    candidates = scores.where(place > 0).groupBy(dataset).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    none = F.array().cast(f"array<{scores.select(turn.alias('t')).schema['t'].dataType.simpleString()}>")
+    same_column = lambda t, k: (t.row.table_name == k.row.table_name) & (t.row.column_name == k.row.column_name)
+    free = lambda kept, t: ~F.exists(kept, lambda k: (k.place == t.place) | same_column(t, k))
+    chosen = F.aggregate("turns", none, lambda kept, t: F.when(free(kept, t), F.concat(kept, F.array(t))).otherwise(kept))
+    return candidates.select(F.inline(F.transform(chosen, lambda t: t.row)))
+
+
+def with_overrides(bindings: DataFrame, columns: DataFrame, overrides: Mapping[str, str]) -> DataFrame:
+    """Bindings with the caller's choices (role to ``table.column``) in place of those found."""
+    if not overrides:
+        return bindings
+    rows = [(role, *full.split(".", 1)) for role, full in overrides.items()]
+    chosen = bindings.sparkSession.createDataFrame(rows, "role string, table_name string, column_name string")
+    facts = columns.select("table_name", "column_name", "logical_type", "distinct_count", "null_pct", "position")
+    chosen = chosen.join(facts, ["table_name", "column_name"], "left").withColumns(
+        {"confidence": F.lit(1.0), "reason": F.lit("set by the caller")})
+    return bindings.where(~F.col("role").isin(*overrides)).unionByName(chosen, allowMissingColumns=True)
 
 
 def returns_convention(df: DataFrame, quantity: str | None, order_id: str | None) -> DataFrame:
@@ -148,26 +152,21 @@ def unbound_notes(bindings: DataFrame) -> DataFrame:
                          F.lit("'; KPIs that need it were not generated.")).alias("note"))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    order = Window.partitionBy(F.lit(1)).orderBy("table_name", "position")  # one row per profiled column
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MAX_MODEL_ITEMS).drop("_n", "position")
-
-
 def model_dimensions(columns: DataFrame) -> DataFrame:
     chart = chart_dimensions(columns).select("table_name", "column_name")
     time = F.col("logical_type") == "datetime"
-    return _numbered(columns.join(chart, ["table_name", "column_name"], "left_semi").select(
-        "table_name", "column_name", "position", F.col("logical_type").alias("dim_type"),
-        F.when(time, F.col("granularity")).alias("grain"), F.col("semantic_hint").alias("description")))
+    return columns.join(chart, ["table_name", "column_name"], "left_semi").orderBy("table_name", "position").select(
+        "table_name", "column_name", F.col("logical_type").alias("dim_type"),
+        F.when(time, F.col("granularity")).alias("grain"), F.col("semantic_hint").alias("description"))
 
 
 def model_measures(columns: DataFrame) -> DataFrame:
     money = F.col("logical_type") == "currency"
     summed = money | (F.col("logical_type") == "quantity")
     measures = columns.where(F.col("logical_type").isin("currency", "quantity", "numeric") & ~F.col("is_candidate_pk"))
-    return _numbered(measures.select(
-        "table_name", "column_name", "position", F.when(summed, "SUM").otherwise("AVG").alias("aggregation"),
-        F.when(money, "currency").alias("unit"), F.col("semantic_hint").alias("description")))
+    return measures.orderBy("table_name", "position").select(
+        "table_name", "column_name", F.when(summed, "SUM").otherwise("AVG").alias("aggregation"),
+        F.when(money, "currency").alias("unit"), F.col("semantic_hint").alias("description"))
 
 
 def infer_domain(datasets: DataFrame, objective: Column, columns: Column | None = None) -> DataFrame:

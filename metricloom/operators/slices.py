@@ -15,8 +15,7 @@ from metricloom.functions.text import like_literal
 from metricloom.operators.measures import Measure, evaluate
 from metricloom.operators.series import period_of, time_range
 
-MAX_GROUPS = 200  # fixed value
-MAX_OPTIONS = 100  # fixed value
+OPTIONS = 100  # values offered per label unless the caller says otherwise
 
 
 @dataclass(frozen=True)
@@ -79,7 +78,7 @@ def slice_kpi(
     key = period_of(target, grain) if grain else target
     groups = evaluate(df, {"value": measure}, {"dimension": key}, where)
     order = [F.col("dimension")] if grain else [F.col("value").desc_nulls_last(), F.col("dimension")]
-    limit = max(1, min(limit, MAX_GROUPS))
+    limit = max(1, limit)
     top = groups.orderBy(*order).limit(limit + 1)
     everything = Window.partitionBy(F.lit(1))  # at most limit + 1 rows
     return (
@@ -90,10 +89,11 @@ def slice_kpi(
     )
 
 
-def filter_options(df: DataFrame, dates: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """What a user may filter by: date ranges, and the most frequent values of each label.
+def filter_options(df: DataFrame, dates: Sequence[str], labels: Sequence[str], keep: int = OPTIONS) -> DataFrame:
+    """What a user may filter by: date ranges, and the ``keep`` most frequent values of each label.
 
-    All labels are counted in one long aggregation.
+    All labels are counted in one long aggregation. ``distinct_values`` tells how many values a
+    label has, ``truncated`` whether some of them are left out.
     """
     parts = []
     if dates:
@@ -107,13 +107,13 @@ def filter_options(df: DataFrame, dates: Sequence[str], labels: Sequence[str]) -
     if labels:
         long = df.select(*[F.col(c).cast("string").alias(c) for c in labels]).unpivot([], list(labels), "dimension", "value")
         order = Window.partitionBy("dimension").orderBy(F.col("rows").desc(), "value")
+        counted = long.where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("rows"))
+        sizes = counted.groupBy("dimension").agg(F.count(F.lit(1)).alias("distinct_values"))  # a row per label
         parts.append(
-            long.where(F.col("value").isNotNull())
-            .groupBy("dimension", "value")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= MAX_OPTIONS)
-            .withColumn("type", F.lit("categorical"))
+            counted.withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= keep)
+            .join(sizes, "dimension")
+            .withColumns({"type": F.lit("categorical"), "truncated": F.col("distinct_values") > keep})
         )
     out = parts[0]
     for part in parts[1:]:

@@ -171,9 +171,10 @@ WHERE customer_id IS NULL AND quantity <= 10 AND status = 'P'"""
 _values = union(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS rows FROM sales WHERE {c} IS NOT NULL GROUP BY 2"
                 for c in ("country", "segment", "status"))
 ORACLES["filter_options"] = f"""{SALES}, v AS ({_values}),
-r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY rows DESC, value) AS rank FROM v)
-SELECT dimension, 'categorical' AS type, NULL::VARCHAR AS min, NULL::VARCHAR AS max, value, CAST(rows AS DOUBLE) AS rows, CAST(rank AS DOUBLE) AS rank FROM r WHERE rank <= 100
-UNION ALL SELECT 'order_ts', 'datetime', CAST(min(order_ts) AS VARCHAR), CAST(max(order_ts) AS VARCHAR), NULL, NULL, NULL FROM sales"""
+r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY rows DESC, value) AS rank, count(*) OVER (PARTITION BY dimension) AS n FROM v)
+SELECT dimension, 'categorical' AS type, NULL::VARCHAR AS min, NULL::VARCHAR AS max, value, CAST(rows AS DOUBLE) AS rows, CAST(rank AS DOUBLE) AS rank,
+  CAST(n AS DOUBLE) AS distinct_values, CAST(n > 100 AS DOUBLE) AS truncated FROM r WHERE rank <= 100
+UNION ALL SELECT 'order_ts', 'datetime', CAST(min(order_ts) AS VARCHAR), CAST(max(order_ts) AS VARCHAR), NULL, NULL, NULL, NULL, NULL FROM sales"""
 ORACLES["relative_range"] = f"""{SALES}, m AS (SELECT CAST(max(order_ts) AS DATE) AS last FROM sales)
 SELECT segment AS dimension, CAST(count(*) AS DOUBLE) AS lines, round(sum(quantity), 2) AS units FROM sales, m
 WHERE order_ts BETWEEN CAST(date_trunc('month', last) - INTERVAL 6 MONTH + INTERVAL (day(last) - 1) DAY AS TIMESTAMP) AND CAST(last AS TIMESTAMP)
@@ -542,7 +543,7 @@ sh AS (SELECT kpi, dimension, value, abs(value) / nullif(sum(abs(value)) OVER w,
   FROM parts WINDOW w AS (PARTITION BY kpi))
 SELECT 'segment' AS rule, kpi, dimension || ' accounts for ' || printf('%.1f%%', share * 100) || ' of ' || name AS title, CASE WHEN share >= 0.6 THEN 'risk' ELSE 'finding' END AS category,
 CASE WHEN share >= 0.6 THEN 'warning' ELSE 'info' END AS severity, CAST(0.8 AS DOUBLE) AS confidence, '{fixed.BASIS["concentration"]}' AS recommendation_basis,
-printf('%.1f%%', share * 100) || ' of the top ' || n || ' segments' AS comparison FROM sh JOIN names USING (kpi) WHERE rank = 1 AND n >= 3 AND additivity = 'additive' AND share >= 0.4"""
+printf('%.1f%%', share * 100) || ' of ' || n || ' segments' AS comparison FROM sh JOIN names USING (kpi) WHERE rank = 1 AND n >= 3 AND additivity = 'additive' AND share >= 0.4"""
 CLAIMED = "('average_order_value', 'order_return_rate', 'average_unit_price', 'net_revenue')"
 ORACLES["claim_grounding"] = f"""{RUN}, v AS ({long(pick("average_order_value", "order_return_rate", "average_unit_price", "net_revenue"), "sales WHERE country IS NOT NULL", "country AS dimension", None)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY kpi ORDER BY value DESC NULLS LAST, dimension) AS rank FROM v)
@@ -586,3 +587,18 @@ UNION ALL SELECT 'dashboard', 'kpis_bound_to_data', round(avg(CAST(value IS NOT
 UNION ALL SELECT 'analyst', 'insight_groundedness', CAST(1 AS DOUBLE) UNION ALL SELECT 'analyst', 'hallucination_rate', CAST(0 AS DOUBLE)
 UNION ALL SELECT 'profiler', 'type_inference_resolution', round(avg(CAST(action <> 'keep' OR column_name = 'o_totalprice' AS DOUBLE)), 4) FROM ({INFER} SELECT * FROM e)
 UNION ALL SELECT 'semantic', 'vs_naive_baseline', round(CAST({len(KPI)} AS DOUBLE) / count(*), 4) FROM ({SALES_P} SELECT * FROM p WHERE logical_type IN ('currency', 'quantity', 'numeric') AND NOT is_candidate_pk)"""
+
+ORACLES["kpi_quoted_names"] = ORACLES["kpi_scalar_suite"]
+ORACLES["kpi_segment_totals"] = f"""{SALES}, v AS ({long(pick("net_revenue", "units_sold"), "sales", "CAST(product_id AS VARCHAR) AS dimension", None)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY kpi ORDER BY value DESC NULLS LAST, dimension) AS rank, count(*) OVER (PARTITION BY kpi) AS segments,
+  sum(abs(coalesce(value, 0))) OVER (PARTITION BY kpi) AS total FROM v)
+SELECT kpi, dimension, round(value, 2) AS value, rank, segments, round(total, 2) AS total FROM r WHERE rank <= 15"""
+ORACLES["role_bindings_overridden"] = f"""WITH bound AS ({ORACLES["role_bindings"]})
+SELECT role, table_name, column_name, confidence FROM bound WHERE role NOT IN ('event_date', 'category')
+UNION ALL SELECT 'event_date', 'sales', 'order_ts', 1.0 UNION ALL SELECT 'category', 'sales', 'status', 1.0"""
+ORACLES["join_candidates_decimal"] = """SELECT 'a' AS source_table, 'c' AS target_table, CAST(1.0 AS DOUBLE) AS overlap_ratio, count(*) AS shared_values, true AS validated
+FROM orders WHERE o_orderkey % 2 = 0"""
+ORACLES["csv_read"] = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus || chr(10) || '"' || o_orderpriority || '"; x' AS note, CAST(0 AS BIGINT) AS malformed_count FROM orders"""
+ORACLES["layer_round_trip"] = "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+ORACLES["kpi_csv_sink"] = f"""WITH c AS ({ORACLES["kpi_catalogue"]}) SELECT name, value, unit, 'computed' AS status FROM c"""
+ORACLES["report_json_sink"] = f"""WITH c AS ({ORACLES["kpi_scalar_suite"]}) SELECT kpi, value, 'computed' AS status FROM c"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,11 +15,13 @@ from metricloom.operators import (
 )
 from metricloom.operators.measures import Measure, evaluate, grouped, to_long
 from metricloom.plans import suite, views
-from metricloom.session import configure, settle
+from metricloom.session import checkpoint_dir, configure, settle
+from metricloom.sources import readers, writers
 from metricloom.sources.readers import metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_SETTLED: dict[str, object] = {}
 
 BINDING = roles.Binding(
     roles={
@@ -36,6 +39,7 @@ RUN = "run-1"
 
 def query(fn: Query) -> Query:
     def configured(spark: SparkSession, folder: str) -> DataFrame:
+        _SETTLED.clear()  # what a query's parts share is computed anew for every query
         return fn(configure(spark), folder)
 
     QUERIES[fn.__name__] = configured
@@ -108,6 +112,25 @@ def kpi_fallback(spark, folder):
     return rounded(to_long(evaluate(events, kpis), [], list(kpis)), 4, "value")
 
 
+@query
+def kpi_quoted_names(spark, folder):
+    """The suite over a table and columns whose names need quotes in SQL."""
+    names = {"order_id": "Invoice No", "quantity": "Units", "unit_price": "Unit Price", "customer_id": "customer-id", "order_ts": "When?", "product_id": "`sku`"}
+    table = views.sales(spark, folder).withColumnsRenamed(names)
+    bound = {role: f"my-sales.{names.get(ref.split('.')[1], ref.split('.')[1])}" for role, ref in BINDING.roles.items()}
+    specs = catalog.instantiate(roles.Binding(bound, BINDING.cancel_prefix, True), "retail")
+    kpis = {s.slug: s.measure for s in specs}
+    base = joins.join_tables({"my-sales": table}, specs[0].tables, [])
+    return rounded(to_long(evaluate(base, kpis), [], list(kpis)), 2, "value")
+
+
+@query
+def kpi_segment_totals(spark, folder):
+    """Leading segments with the number and total of all segments, far more than those kept."""
+    parts = grouped(sales(spark, folder), measures("net_revenue", "units_sold"), F.col("sales.product_id"), limit=suite.SEGMENTS, totals=True)
+    return whole(rounded(parts, 2, "value", "total"), "rank", "segments")
+
+
 @query
 def kpi_by_segment(spark, folder):
     kpis = measures("net_revenue", "order_count", "average_order_value", "order_return_rate")
@@ -252,7 +275,8 @@ def slice_scalar(spark, folder):
 
 @query
 def filter_options(spark, folder):
-    return floating(slices.filter_options(sales(spark, folder), ["order_ts"], ["country", "segment", "status"]), "rows", "rank")
+    return floating(slices.filter_options(sales(spark, folder), ["order_ts"], ["country", "segment", "status"]),
+                    "rows", "rank", "distinct_values", "truncated")
 
 
 @query
@@ -263,15 +287,12 @@ def relative_range(spark, folder):
 
 # --- Profiles --------------------------------------------------------------
 
-_SETTLED: dict[tuple[str, str, str], DataFrame] = {}
-
 
 def _once(spark, folder, name, build: Callable[[], DataFrame]) -> DataFrame:
-    """A profile several queries of one session start from, computed by the first of them."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _SETTLED:
-        _SETTLED[key] = settle(build())
-    return _SETTLED[key]
+    """A profile that several parts of one query start from."""
+    if name not in _SETTLED:
+        _SETTLED[name] = settle(build())
+    return _SETTLED[name]
 
 
 def sales_profile(spark, folder):
@@ -513,6 +534,17 @@ def role_bindings(spark, folder):
     return roles.assign_roles(roles.score_roles(sales_profile(spark, folder))).select("role", "table_name", "column_name", "confidence")
 
 
+@query
+def role_bindings_overridden(spark, folder):
+    """A caller's choice replaces what was found for its role, and notes follow it."""
+    columns = sales_profile(spark, folder)
+    found = roles.assign_roles(roles.score_roles(columns))
+    bound = roles.with_overrides(found, columns, {"event_date": "sales.order_ts", "category": "sales.status"})
+    notes = roles.unbound_notes(bound).where("role in ('event_date', 'category')")
+    return bound.select("role", "table_name", "column_name", "confidence").unionByName(
+        notes.select("role", F.lit("note").alias("table_name"), F.col("note").alias("column_name"), F.lit(0.0).alias("confidence")))
+
+
 @query
 def role_notes(spark, folder):
     return roles.unbound_notes(roles.assign_roles(roles.score_roles(sales_profile(spark, folder))))
@@ -598,16 +630,12 @@ def row_concentration(spark, folder):
 # --- Findings and audit ----------------------------------------------------
 
 
-_RESULTS: dict[tuple[str, str], dict[str, DataFrame]] = {}
-
-
 def _results(spark, folder) -> dict[str, DataFrame]:
-    """KPI artefacts of one run over the sales view, computed by the first query that needs them."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _RESULTS:
+    """KPI artefacts of one run over the sales view, shared by the parts of one query."""
+    if "results" not in _SETTLED:
         found = suite.compute_kpis({"sales": views.sales(spark, folder)}, catalogue(), BINDING, RUN)
-        _RESULTS[key] = {"kpis": settle(found.values), "series": found.series, "breakdown": found.breakdown}
-    return _RESULTS[key]
+        _SETTLED["results"] = {"kpis": settle(found.values), "series": found.series, "breakdown": found.breakdown}
+    return _SETTLED["results"]
 
 
 def _stats(spark, folder):
@@ -648,7 +676,7 @@ def insights_change(spark, folder):
 def insights_segment(spark, folder):
     r = _results(spark, folder)
     by_status = grouped(sales(spark, folder), measures("net_revenue", "units_sold", "returned_value", "average_unit_price"),
-                        F.when(F.col("sales.segment").isin("BUILDING", "FURNITURE"), F.col("sales.segment")).otherwise("OTHER"), limit=15)
+                        F.when(F.col("sales.segment").isin("BUILDING", "FURNITURE"), F.col("sales.segment")).otherwise("OTHER"), limit=15, totals=True)
     return insights.segment_findings(r["kpis"], by_status.withColumn("run_id", F.lit(RUN))).select(*SHOWN, "comparison")
 
 
@@ -741,6 +769,56 @@ def evaluation(spark, folder):
         audit.baseline_lift(kpis, sales_profile(spark, folder))])
 
 
+@query
+def join_candidates_decimal(spark, folder):
+    """Ids beyond 2^53: no double tells neighbours apart, decimals do."""
+    o = views.tables(spark, folder, "orders")["orders"]
+    key = lambda more: (F.col("o_orderkey").cast("decimal(20,0)") * 2 + F.lit(f"{2**53 * 8 + more}").cast("decimal(20,0)")).cast("decimal(20,0)").alias("order_id")
+    tables = {"a": o.select(key(0)), "b": o.select(key(1)), "c": o.where("o_orderkey % 2 = 0").select(key(0))}
+    return joins.discover_joins(tables).select("source_table", "target_table", "overlap_ratio", "shared_values", "validated")
+
+
+def _scratch(spark) -> str:
+    return f"{checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query
+def csv_read(spark, folder):
+    """Orders written as CSV with line breaks in quotes and read back, with the number of malformed records."""
+    o = views.tables(spark, folder, "orders")["orders"]
+    path = _scratch(spark) + ".csv"
+    note = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('"; x'))
+    o.select("o_orderkey", note.alias("note")).write.csv(path, header=True, sep=";", quoteAll=True, escape='"')
+    bad = readers.malformed(spark, path).select("malformed_count")
+    return readers.read_table(spark, path).crossJoin(F.broadcast(bad))
+
+
+@query
+def layer_round_trip(spark, folder):
+    """A written Parquet layer registered as views, read by SQL."""
+    path = _scratch(spark)
+    writers.write_layer(views.tables(spark, folder, "customer", "nation"), path)
+    c, n = writers.register_layer(spark, path, ["customer", "nation"])
+    return spark.sql(f"SELECT n_name, count(*) AS customers FROM {c} JOIN {n} ON c_nationkey = n_nationkey GROUP BY n_name")
+
+
+@query
+def kpi_csv_sink(spark, folder):
+    """The KPI catalogue as CSV, read back."""
+    path = _scratch(spark) + ".csv"
+    writers.write_catalogue_csv(_results(spark, folder)["kpis"], path)
+    back = readers.read_table(spark, path)
+    return rounded(back.select("name", F.col("value").cast("double").alias("value"), "unit", "status"), 2, "value")
+
+
+@query
+def report_json_sink(spark, folder):
+    """A report section as JSON lines, read back."""
+    path = _scratch(spark)
+    writers.write_report({"kpis": _results(spark, folder)["kpis"].select("kpi", "value", "status")}, path)
+    return rounded(spark.read.schema("kpi string, value double, status string").json(f"{path}/kpis"), 2, "value")
+
+
 @query
 def dataset_metadata(spark, folder):
 

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.operators import audit, clean, insights, joins, pii, quality, roles, series, stats
-from metricloom.operators.catalog import KpiSpec, catalogue_frame, fallback, instantiate
+from metricloom.operators.catalog import KpiSpec, catalogue_frame, fallback, instantiate, quoted
 from metricloom.operators.infer import decisions_frame, infer_types
 from metricloom.operators.measures import SpecError, check, evaluate, grouped, to_long
 from metricloom.operators.profile import duplicate_rows, profile_columns, profile_tables
 from metricloom.session import checkpoint_dir, settle, settle_all, together
 
-SEGMENTS = 15  # fixed value
+SEGMENTS = 15  # segments of a KPI that are listed; shares are of all of them
 
 
 @dataclass
@@ -64,18 +64,18 @@ def compute_kpis(
         values.append(to_long(evaluate(base, measures), [], list(measures)))
         date = binding.roles.get("event_date")
         if date and date.split(".", 1)[0] in names:
-            seen = series.time_range(tables[date.split(".", 1)[0]], F.col(date.split(".", 1)[1]))
-            points.append(series.kpi_series(base, measures, F.col(date), seen=seen))
+            seen = series.time_range(tables[date.split(".", 1)[0]], F.col(f"`{date.split('.', 1)[1]}`"))
+            points.append(series.kpi_series(base, measures, F.col(quoted(date)), seen=seen))
         label = next((d for d, kind in binding.dimensions if kind != "datetime" and d.split(".", 1)[0] in names), None)
         if label:
-            parts.append(grouped(base, measures, F.col(label), limit=SEGMENTS))
+            parts.append(grouped(base, measures, F.col(quoted(label)), limit=SEGMENTS, totals=True))
     run = F.lit(run_id).alias("run_id")
     union = lambda frames, schema: reduce(DataFrame.unionByName, frames) if frames else _empty(first, schema)
     # Small tables (a row per KPI, point or segment) that many findings read: computed once.
     value, line, part = settle_all(
         union(values, "kpi string, value double"),
         union(points, "period timestamp_ntz, kpi string, value double, partial boolean").select(run, "*"),
-        union(parts, "dimension string, kpi string, value double, rank int").select(run, "*"),
+        union(parts, "dimension string, kpi string, value double, rank int, segments bigint, total double").select(run, "*"),
     )
     change = series.period_change(line, ["run_id", "kpi"]).drop("run_id")
     catalogue = catalogue_frame(spark, specs).withColumnRenamed("slug", "kpi")
@@ -99,7 +99,7 @@ def run_suite(
     """
     spark = next(iter(tables.values())).sparkSession
     run_id = run_id or uuid.uuid4().hex
-    folder = folder or f"{checkpoint_dir(spark)}/{run_id}"
+    folder = f"{folder or checkpoint_dir(spark)}/{run_id}-{uuid.uuid4().hex[:12]}"  # no run overwrites another's
 
     # Types, profiles, quality
     typed, decisions = {}, []
@@ -144,7 +144,7 @@ def run_suite(
     trends, odd, seasons = settle_all(
         stats.linear_trend(points, keys), stats.anomalies(points, keys), stats.peak_trough(points, keys))
     run = F.lit(run_id).alias("run_id")
-    bound = roles.assign_roles(roles.score_roles(columns))
+    bound = roles.with_overrides(roles.assign_roles(roles.score_roles(columns)), columns, overrides or {})
     notes = _notes(decided, roles.unbound_notes(bound)).select(run, "*")
     parts = [
         insights.change_findings(kpis, trends), insights.level_findings(kpis), insights.trend_findings(kpis, trends),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -49,9 +50,11 @@ def local_session(cores: int | str = "*", name: str = "metricloom", **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's own, else a temporary one for tests."""
+    """The shared folder for cut lineage: the cluster's own; only a local master may do with a temporary one."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if configured is None and context.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="metricloom-checkpoint-"))
     return configured or context.getCheckpointDir()

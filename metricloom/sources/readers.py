@@ -1,4 +1,4 @@
-"""Reading tables: by suffix, delimiter detection, size of the input."""
+"""Reading tables: by suffix, delimiter detection, types from evidence."""
 
 from __future__ import annotations
 
@@ -6,46 +6,54 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Delimiters offered, in order of preference, and how much text is looked at.
+# Delimiters offered, in order of preference.
 DELIMITERS = (",", ";", "\t", "|")
-SNIFFED_CHARACTERS = 8192
+CORRUPT = "_corrupt_record"
 
-# A file is split by row group, so a small file can be one task. Between these sizes it is
-# dealt out over the cores; larger inputs have row groups enough and are left as they are.
-SPREAD_FROM, SPREAD_BELOW = 4 << 20, 64 << 20
 
+def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+    """The candidate that occurs most often outside quotes, over the whole file; a comma when none does."""
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    counts = spark.read.option("encoding", encoding).text(path).select(bare.alias("bare")).agg(*[
+        F.sum(F.length("bare") - F.length(F.replace("bare", F.lit(d)))).alias(str(i)) for i, d in enumerate(DELIMITERS)
+    ]).first()
+    best = max(range(len(DELIMITERS)), key=lambda i: (counts[i] or 0, -i))
+    return DELIMITERS[best] if counts[best] else ","
 
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Size of a file or folder on whatever file system holds it."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(location).getLength()
 
+def read_csv(
+    spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", multi_line: bool = True,
+    keep_corrupt: bool = False,
+) -> DataFrame:
+    """CSV as text columns; types are decided from evidence afterwards, never on reading.
 
-def spread(df: DataFrame, size: int) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if SPREAD_FROM <= size < SPREAD_BELOW else df
+    Columns come from the header. Records may hold line breaks in quotes; that makes each file
+    one task, so pass ``multi_line=False`` for large files that have none. A record with more
+    or fewer fields than the header keeps those that fit, and with ``keep_corrupt`` its text.
+    """
+    options = {"sep": delimiter or detect_delimiter(spark, path, encoding), "header": True, "encoding": encoding, "multiLine": multi_line, "escape": '"'}
+    names = spark.read.csv(path, inferSchema=False, **options).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    df = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
+    return df if keep_corrupt else df.drop(CORRUPT)
 
 
-def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The most frequent candidate in the first characters of the file; a comma when none occurs."""
-    lines = spark.read.option("encoding", encoding).text(path, lineSep="\n").limit(SNIFFED_CHARACTERS)
-    # Every line has at least its line break, so this many lines always cover the sample.
-    head = lines.agg(F.substring(F.concat_ws("\n", F.collect_list(F.substring("value", 1, SNIFFED_CHARACTERS))),
-                                 1, SNIFFED_CHARACTERS).alias("head"))
-    counts = head.select(*[
-        (F.length("head") - F.length(F.replace("head", F.lit(d)))).alias(str(i)) for i, d in enumerate(DELIMITERS)
-    ]).first()
-    best = max(range(len(DELIMITERS)), key=lambda i: (counts[i] or 0, -i))
-    return DELIMITERS[best] if counts[best] else ","
+def malformed(spark: SparkSession, path: str, **csv_options) -> DataFrame:
+    """``(row_count, malformed_count)``: records of a CSV whose fields do not fit the header."""
+    df = read_csv(spark, path, keep_corrupt=True, **csv_options)
+    # the reader refuses plans that read nothing but the corrupt record
+    any_field = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns if c != CORRUPT])
+    return df.select(any_field.alias("fields"), F.col(CORRUPT).isNotNull().alias("bad")).agg(
+        F.count_if(F.length("fields") >= 0).alias("row_count"), F.count_if(F.col("bad") & (F.length("fields") >= 0)).alias("malformed_count"))
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """CSV as text columns; types are decided from evidence afterwards, never on reading."""
-    return spark.read.csv(
-        path, sep=delimiter or detect_delimiter(spark, path, encoding), header=True, encoding=encoding,
-        inferSchema=False, mode="PERMISSIVE", multiLine=False, escape='"',
-    )
+def read_typed(spark: SparkSession, path: str, name: str, **options):
+    """A table read and its types inferred: ``(frame, decisions)``."""
+    from metricloom.operators.infer import infer_types
+
+    return infer_types(read_table(spark, path, **options), name)
 
 
 def read_table(spark: SparkSession, path: str, n_rows: int | None = None, **csv_options) -> DataFrame:
@@ -57,7 +65,6 @@ def read_table(spark: SparkSession, path: str, n_rows: int | None = None, **csv_
         df = spark.read.parquet(path)
     else:
         raise ValueError(f"Unsupported file type: {suffix}")
-    df = spread(df, input_bytes(spark, path))
     return df if n_rows is None else df.limit(n_rows)
 
 

@@ -107,4 +107,75 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_query_has_sql_but_the_ranking():
-    assert set(queries()) - set(oracle_sql()) == {"insights_ranked"}
+    from metricloom.plans.oracles import ORACLES
+    from metricloom.plans.queries import QUERIES
+
+    assert set(QUERIES) - set(ORACLES) == {"insights_ranked"} and set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
+def test_quoted_line_breaks_and_ragged_lines(spark, tmp_path):
+    path = str(tmp_path / "q.csv")
+    (tmp_path / "q.csv").write_text('id,note\n1,"line one\nline two"\n2,"say ""hi"", all"\n3,a,b,c\n4\n')
+    rows = [tuple(r) for r in readers.read_table(spark, path).collect()]
+    assert rows == [("1", "line one\nline two"), ("2", 'say "hi", all'), ("3", "a"), ("4", None)]
+    assert tuple(readers.malformed(spark, path).first()) == (4, 2)
+    semicolons = str(tmp_path / "s.csv")
+    (tmp_path / "s.csv").write_text("a;b\n" + '"a, b, c, d";1\n' * 50)
+    assert readers.detect_delimiter(spark, semicolons) == ";"
+    df, decisions = readers.read_typed(spark, semicolons, "s")
+    assert df.columns == ["a", "b"] and {d.column_name for d in decisions} <= {"a", "b"}
+
+
+def test_a_callers_limit_holds(spark):
+    from metricloom.operators.measures import Measure
+    from metricloom.operators.slices import filter_options, slice_kpi
+
+    df = spark.range(700).selectExpr("id", "cast(id as string) AS name")
+    assert slice_kpi(df, Measure.sum("id"), dimension="name", limit=500).count() == 500
+    rows = filter_options(df, [], ["name"], keep=3).collect()
+    assert len(rows) == 3 and {(r.distinct_values, r.truncated) for r in rows} == {(700, True)}
+
+
+def test_only_a_local_master_may_do_without_a_shared_folder():
+    from types import SimpleNamespace
+
+    from metricloom.session import checkpoint_dir
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="local-cluster[2,1,1024]", getConf=lambda: nothing, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=context, conf=nothing))
+
+
+def test_decimal_keys_beyond_doubles(spark):
+    from metricloom.operators.joins import discover_joins
+
+    big = 2**60
+    a = spark.createDataFrame([(big + 2 * i,) for i in range(50)], "k long").selectExpr("cast(k as decimal(20,0)) AS order_id")
+    b = spark.createDataFrame([(big + 2 * i + 1,) for i in range(50)], "k long").selectExpr("cast(k as decimal(20,0)) AS order_id")
+    assert discover_joins({"a": a, "b": b}).count() == 0
+    assert discover_joins({"a": a, "b": a}).first()["shared_values"] == 50
+
+
+def test_overrides_reach_bindings_and_notes(spark):
+    from metricloom.operators import roles
+
+    schema = "role string, table_name string, column_name string, confidence double, reason string, logical_type string, distinct_count bigint, null_pct double, position int"
+    found = spark.createDataFrame([("quantity", "t", "q", 0.9, "r", "quantity", 5, 0.0, 1)], schema)
+    columns = found.selectExpr("table_name", "'d' AS column_name", "'datetime' AS logical_type", "distinct_count", "null_pct", "position")
+    bound = roles.with_overrides(found, columns, {"event_date": "t.d"})
+    assert {(r.role, r.column_name) for r in bound.collect()} == {("quantity", "q"), ("event_date", "d")}
+    assert "event_date" not in {r.role for r in roles.unbound_notes(bound).collect()}
+
+
+def test_ranking_keeps_by_title_metric_and_rule(spark):
+    from metricloom.operators.insights import rank
+
+    rows = [("r", i, t, k, m, b, s) for i, (t, k, m, b, s) in enumerate([
+        ("A", "k1", "m", "x", 9.0), ("a", "k2", "m", "x", 8.0), ("B", "k1", "m", None, 7.0), ("C", "k1", "m", None, 6.0), ("D", "k1", "m", None, 5.0),
+        ("E", None, None, "x", 4.0), ("F", None, None, "x", 3.0), ("G", None, None, None, 2.0)])]
+    df = spark.createDataFrame(rows, "run_id string, position int, title string, kpi string, metric string, recommendation_basis string, score double")
+    got = {r.title: (r.rank, r.reason) for r in rank(df, in_all=5, left_out=True).collect()}
+    assert got == {"A": (1, None), "a": (None, "same title"), "B": (2, None), "C": (3, None), "D": (None, "enough of its metric"),
+                   "E": (4, None), "F": (None, "enough of its rule"), "G": (5, None)}
+    assert {r.title: r.rank for r in rank(df, in_all=2).collect()} == {"A": 1, "B": 2}
