@@ -51,8 +51,8 @@ def test_return_rate(spark):
 
 @pytest.mark.parametrize("top,category", [(30.0, None), (50.0, "finding"), (200.0, "risk")])
 def test_segments(spark, top, category):
-    parts = [("r", "rev", d, v, i + 1) for i, (d, v) in enumerate([("UK", top), ("FR", 29.0), ("ES", 28.0)])]
-    b = spark.createDataFrame(parts, "run_id string, kpi string, dimension string, value double, rank int")
+    parts = [("r", "rev", d, v, i + 1, 3, top + 57.0) for i, (d, v) in enumerate([("UK", top), ("FR", 29.0), ("ES", 28.0)])]
+    b = spark.createDataFrame(parts, "run_id string, kpi string, dimension string, value double, rank int, segments bigint, total double")
     got = insights.segment_findings(frame(spark, kpi()), b).collect()
     assert [g["category"] for g in got] == ([category] if category else [])
     assert insights.segment_findings(frame(spark, kpi(additivity="non_additive")), b).count() == 0
@@ -68,7 +68,8 @@ def test_pareto_correlation_season_caveat(spark):
                               "run_id string, kpi string, peak_period timestamp_ntz, peak_value double, trough_period timestamp_ntz, trough_value double, periods bigint, amplitude_pct double")
     assert insights.season_findings(frame(spark, kpi()), s).first()["recommendation"] is None
     n = spark.createDataFrame([("r", str(i), f"col{i}: odd") for i in range(9)], "run_id string, place string, note string")
-    got = insights.caveat_findings(n).collect()
+    assert insights.caveat_findings(n).count() == 9
+    got = insights.caveat_findings(n, keep=6).collect()
     assert len(got) == 6 and {g["title"] for g in got} == {f"col{i}" for i in range(6)}
 
 
