@@ -129,22 +129,18 @@ def grouped_quantiles(
     return exact_quantiles(with_bucket(counts, "value", cuts), keys, probs, method)
 
 
-def running_total(df: DataFrame, value: str, tie: str, into: str, cuts: Sequence[float]) -> DataFrame:
-    """Running sum of ``value`` from the largest down, ties by ``tie``, over any number of rows."""
+def running_total(df: DataFrame, value: str, weight: str, into: str, cuts: Sequence[float]) -> DataFrame:
+    """Running sum of ``weight`` from the largest ``value`` down, over any number of rows with distinct values."""
     placed = with_bucket(df, value, cuts).withColumn("_bucket", -F.col("_bucket"))
-    order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     offsets = (
         placed.groupBy("_bucket")
-        .agg(F.sum(value).alias("_sum"))
+        .agg(F.sum(weight).alias("_sum"))
         .select("_bucket", F.coalesce(F.sum("_sum").over(order), F.lit(0.0)).alias("_offset"))
     )
-    inside = (
-        Window.partitionBy("_bucket")
-        .orderBy(F.col(value).desc(), F.col(tie).asc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = Window.partitionBy("_bucket").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.join(offsets, "_bucket")
-        .withColumn(into, F.col("_offset") + F.sum(value).over(inside))
+        .withColumn(into, F.col("_offset") + F.sum(weight).over(inside))
         .drop("_bucket", "_offset")
     )

@@ -103,10 +103,12 @@ def peak_trough(points: DataFrame, keys: Sequence[str] = ("kpi",)) -> DataFrame:
     ).withColumn("amplitude_pct", F.coalesce(spread, F.lit(0.0)))
 
 
-def pareto(df: DataFrame, dimension: str, measure: str, share: float = PARETO_SHARE) -> DataFrame:
-    """The largest groups with their cumulative share, and how many groups make up ``share``.
+def pareto(df: DataFrame, dimension: str, measure: str, share: float = PARETO_SHARE, keep: int = PARETO_ITEMS) -> DataFrame:
+    """The ``keep`` largest groups with their cumulative share, and how many groups make up ``share``.
 
-    Running totals are taken inside value buckets, so any number of groups can be ranked.
+    Groups of equal value are one row with their number; where the share is reached among them
+    is arithmetic, so a value that very many groups have is no task of its own. Running totals
+    are taken inside value buckets, so any number of distinct values can be ranked.
     """
     groups = settle(  # the table itself is read once
         df.groupBy(F.col(dimension).cast("string").alias("dimension"))
@@ -122,13 +124,20 @@ def pareto(df: DataFrame, dimension: str, measure: str, share: float = PARETO_SH
             F.lit(0).cast("bigint").alias("cutoff_count"), F.lit(0).cast("bigint").alias("groups"),
             F.lit(0).alias("rank"),
         ).where(F.lit(False))
-    running = running_total(groups, "value", "dimension", "_running", clean_cuts(whole["cuts"]))
-    shared = running.withColumn("cumulative_share", F.col("_running") / F.lit(whole["total"]))
-    cutoff = shared.agg((F.count_if(F.col("cumulative_share") < share) + 1).alias("n")).first()["n"]
-    top = shared.orderBy(F.col("value").desc(), "dimension").limit(PARETO_ITEMS)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("value").desc(), "dimension")  # PARETO_ITEMS rows
+    tied = groups.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("weight", F.col("value") * F.col("n"))
+    running = running_total(tied, "value", "weight", "upto", clean_cuts(whole["cuts"]))
+    # the k-th of n equal groups brings the sum to before + k * value; how many of them stay below the share?
+    before, step = F.col("upto") - F.col("weight"), F.col("value") / F.lit(whole["total"])
+    turn = F.try_divide(F.lit(share * whole["total"]) - before, F.col("value"))
+    within = lambda k: F.greatest(F.lit(0), F.least(F.col("n"), k.cast("bigint")))
+    below = (F.when(step > 0, within(F.ceil(turn) - 1)).when(step < 0, F.col("n") - within(F.floor(turn)))
+             .otherwise(F.when(before / F.lit(whole["total"]) < share, F.col("n")).otherwise(0)))
+    cutoff = running.agg((F.coalesce(F.sum(below), F.lit(0)) + 1).alias("n")).first()["n"]
+    top = groups.orderBy(F.col("value").desc(), "dimension").limit(keep)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("value").desc(), "dimension")  # keep rows
+    upto = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return top.select(
-        "dimension", "value", "cumulative_share",
+        "dimension", "value", (upto / F.lit(whole["total"])).alias("cumulative_share"),
         F.lit(cutoff).alias("cutoff_count"), F.lit(whole["groups"]).alias("groups"),
         F.row_number().over(order).alias("rank"),
     )

@@ -82,6 +82,14 @@ def test_pareto_matches_a_loop(spark):
     assert [r["cumulative_share"] for r in got] == pytest.approx(list(share[:25]))
 
 
+@pytest.mark.parametrize("values", [[1.0] * 400, [5.0] * 3 + [0.0] * 50 + [-1.0] * 4, [-2.0] * 9, [3.0, 3.0, 1.0, 1.0, 1.0, 1.0]])
+def test_pareto_counts_inside_ties(spark, values):
+    rows = [(f"g{i:03d}", v) for i, v in enumerate(values)]
+    got = stats.pareto(spark.createDataFrame(rows, "g string, v double"), "g", "v", keep=2).collect()
+    share = np.cumsum(sorted(values, reverse=True)) / sum(values)
+    assert len(got) == 2 and got[0]["cutoff_count"] == (share < 0.8).sum() + 1 and got[0]["groups"] == len(values)
+
+
 def test_correlation_skips_constants_and_short_pairs(spark):
     rows = [(float(i), float(-i), 1.0, float(i) if i < 5 else None) for i in range(30)]
     got = stats.correlation_pairs(spark.createDataFrame(rows, "a double, b double, c double, d double")).collect()
