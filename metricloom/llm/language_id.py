@@ -70,7 +70,7 @@ def trained(rows: DataFrame, train: int = TRAIN) -> tuple[list[str], np.ndarray]
     logs = np.zeros((len(languages), BUCKETS))
     picks = known.select("declared", "text", F.xxhash64("doc_id", "text").alias("order"))
     for k, tag in enumerate(languages):
-        low = -(2**63) + int(min(1.0, 4 * train / sizes[tag]) * (2**64 - 1))
+        low = min(2**63 - 1, -(2**63) + 4 * train * 2**64 // sizes[tag])
         own = picks.where((F.col("declared") == tag) & (F.col("order") <= low)).orderBy("order").limit(train).select("declared", "text")
         n = np.ones(BUCKETS) * 0.5
         for r in own.mapInArrow(count, "lang string, bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
