@@ -1,6 +1,6 @@
 """Suffix-array dedup of whole texts by prefix-free parsing.
 
-Parse: a rolling hash over 16 bytes sets the triggers (the smallest of every 85 neighbours, so
+Parse: a rolling hash over 24 bytes sets the triggers (the smallest of every 77 neighbours, so
 that each 100-byte string holds one) and cuts the corpus into phrases, one per trigger. A phrase
 carries the bytes its strings reach into the next one, so every 100-byte string lies in exactly
 one phrase, and equal strings lie in phrases of equal triggers at equal distances. A phrase is
@@ -16,8 +16,9 @@ texts and dealt by trigger. Each run of triggers gets a suffix array (`suffix_ra
 parse gives its first place in corpus order, all others repeat it.
 
 Triggers that very many different phrases have (the ends of a passage that a large part of the
-corpus holds) would meet in one task. The most frequent of them, a list of at most `CROWDED`, are
-cut into their strings before they are moved, and strings are dealt by their own hash.
+corpus holds) would meet in one task. Those with more than one in `CROWDED` of all phrases, so at
+most `CROWDED` triggers, are cut into their strings before they are moved, and strings are dealt
+by their own hash.
 
 Defined results: a null or empty text has no bytes; a null doc_id counts as the smallest and is
 returned as null; rows that repeat a doc_id are one document, with the largest of their texts;
@@ -36,9 +37,9 @@ from pyspark.sql import DataFrame, functions as F
 from metricloom.llm import common, repeats
 
 LENGTH = 100
-TRIGGER = 16
-#: Triggers with many phrases that are cut into strings, and from how many different phrases in a block of text one is a candidate.
-CROWDED, MANY = 4096, 8
+TRIGGER = 24
+#: A trigger with one in CROWDED phrases is cut into strings; it is a candidate with more than MANY different phrases in a block of text.
+CROWDED, MANY = 2000, 8
 
 
 def _units(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +66,8 @@ def suffix_ranks(body: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def crowded(docs: DataFrame, cut: repeats.Units, most: int = CROWDED) -> np.ndarray:
-    """The triggers with the most different phrases per block of text, `most` at the most, sorted."""
+def crowded(docs: DataFrame, cut: repeats.Units, share: int = CROWDED) -> np.ndarray:
+    """The triggers with at least one in `share` of all phrases, different ones per block of text, sorted: no more than `share`."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = common.texts(batch)
@@ -74,10 +75,14 @@ def crowded(docs: DataFrame, cut: repeats.Units, most: int = CROWDED) -> np.ndar
                 units, first = cut.of(body[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
                 _, _, _, a, c = repeats.runs_of(units, first, cut)
                 own, n = np.unique(np.unique(np.stack([a, c]), axis=1)[0] if len(a) else a, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own[n > MANY].view(np.int64)), pa.array(n[n > MANY])], names=["a", "n"])
-
-    found = docs.select("doc_id", "text").mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.a for r in found.orderBy(F.desc("n"), "a").limit(most).collect()], np.int64))
+                triggers, phrases = own[n > MANY].view(np.int64), n[n > MANY]
+                # the row without a trigger counts all phrases
+                yield pa.RecordBatch.from_arrays([pa.array([*triggers.tolist(), None], pa.int64()), pa.array([*phrases.tolist(), len(a)], pa.int64())], names=["a", "n"])
+
+    found = common.settle(docs.select("doc_id", "text").mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")))
+    total = found.where("a is null").first()
+    rows = found.where(F.col("a").isNotNull() & (F.col("n") * share >= total.n)).collect() if total else []
+    return np.sort(np.array([r.a for r in rows], np.int64))
 
 
 PHRASE = "a long, c long, doc_id long, first int, n int, again boolean"
