@@ -14,7 +14,7 @@ __all__ = ["BLOCK", "PUNCTUATION", "Powers", "batch_of", "bit_filter", "blocks",
 
 NO_ID = -(2**63)
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bits of an id filter: its size is fixed, more ids only make it less selective.
 FILTER_BITS = 1 << 23
 

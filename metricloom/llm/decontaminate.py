@@ -190,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLER
             for batch in batches:
                 body, offsets = common.texts(batch)
                 keys, out = batch.column(0).to_pylist(), []
-                for lo, hi in common.blocks(offsets):
+                for lo, hi in common.blocks(offsets, 4 * common.BLOCK):
                     _, _, words, first = common.words(body[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], fold=True, gaps=common.PUNCTUATION)
                     out += [(keys[lo + text], *rest) for text, *rest in items.near(words, first)]
                 yield common.batch_of(out, schema)

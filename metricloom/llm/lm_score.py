@@ -70,15 +70,16 @@ def cell_counts(docs: DataFrame, target: np.ndarray, vocabulary: np.ndarray, cel
         for batch in batches:
             body, offsets = common.texts(batch)
             good = np.isin(batch.column(0).to_numpy(zero_copy_only=False), target)
-            uni, bi = np.zeros((2, size + 2), np.int64), np.zeros((2, cells), np.int32)
+            uni, found = np.zeros((2, size + 2), np.int64), ([np.empty(0, np.int32)], [np.empty(0, np.int32)])
             for lo, hi in common.blocks(offsets):
                 _, _, words, first = common.words(body[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], fold=True)
                 numbers = word_numbers(words, vocabulary)
                 _, cell, text = bigrams(numbers, first, size, cells)
                 for k, own in enumerate((slice(None), good[lo + text])):
                     uni[k] += np.bincount(numbers[own], minlength=size + 2)
-                    bi[k] += np.bincount(cell[own], minlength=cells).astype(np.int32)
+                    found[k].append(cell[own].astype(np.int32))
                 uni[:, size + 1] += [np.count_nonzero(np.diff(first)), np.count_nonzero(np.diff(first)[good[lo:hi]])]
+            bi = np.stack([np.bincount(np.concatenate(own), minlength=cells).astype(np.int32) for own in found])
             for kind, table in enumerate((uni, bi)):
                 at = np.flatnonzero(table[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)),

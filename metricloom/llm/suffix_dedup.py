@@ -39,7 +39,7 @@ from metricloom.llm import common, repeats
 LENGTH = 100
 TRIGGER = 24
 #: A trigger with one in CROWDED phrases is cut into strings; it is a candidate with more than MANY different phrases in a block of text.
-CROWDED, MANY = 2000, 8
+CROWDED, MANY = 2000, 1
 
 
 def _units(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
