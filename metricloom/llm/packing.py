@@ -39,7 +39,6 @@ _OTHER = re.compile("[^\\x00-\\x1b\\x20-\u012f\u0131-\u017f]|<\\|")
 # byte-level models write bytes as characters: those that print as themselves, the others as U+0100 and up in order
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_tokenizers: dict = {}
 
 
 class Lookup(dict):
@@ -88,12 +87,6 @@ class WordIds:
         return [b"".join(map(self.words.__getitem__, _SPACE.split(t)) if _OTHER.search(t) else map(self.latin.__getitem__, t.split())) for t in texts]
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
-
-
 def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, part, at, start, doc_tokens, ids): ids of each document with `end` last, as 32-bit bytes.
 
@@ -105,7 +98,8 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        ids_of = word_ids(path)
+        # of this task only: a worker that goes on to other work should not hold it
+        ids_of = WordIds(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             # blocks by length, so that a batch of long texts is not held as tokens at once
