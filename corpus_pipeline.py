@@ -10,6 +10,11 @@ from metricloom.llm.queries import table, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of at most 1000 rows: a batch of 10,000 long texts takes hundreds of MB twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose id is not among those that go; a null id is compared like any other.
 
@@ -21,12 +26,14 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language: texts without letters and texts more like noise than like any language."""
+    _small_batches(spark)
     found = language_id.identify(language_id.of_documents(docs))
     return _without(docs, found.where("not kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near-duplicates."""
+    _small_batches(spark)
     found = minhash.near_duplicates(docs)
     return _without(docs, found.where("not kept"))
 
@@ -36,6 +43,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     The bytes of characters that a cut leaves incomplete go as well. All documents stay, some empty.
     """
+    _small_batches(spark)
     kept = suffix_dedup.suffix_dedup(docs, text=True).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("text"))
     rest = docs.select("doc_id", "lang", "source")
     return rest.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -43,11 +51,13 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that leak a benchmark item."""
+    _small_batches(spark)
     return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts into sequences of 2048 tokens: one row per piece, as operator 10 gives them."""
+    _small_batches(spark)
     return packing.packed(docs, tokenizer_path()).drop("ids")
 
 
