@@ -12,7 +12,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _small_batches(spark: SparkSession) -> None:
     """Hand texts to Python workers in batches of at most 1000 rows: a batch of 10,000 long texts takes hundreds of MB twice."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, most)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
