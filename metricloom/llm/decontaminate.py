@@ -8,10 +8,12 @@ words if a window of L of its words is within floor(0.2 L) word edits of the ite
 2. CGK embedding: a random walk over the window writes the current word at each step and moves on
    or stays by a random bit of (step, word). Walks over texts that differ by a few edits meet
    again soon, so edit distance becomes Hamming distance.
-3. Bit sampling: 24 times, 4 coordinates of the embedding make a key; windows that share a key
-   with the item are candidates. A pair at the full distance shares a sampled key with a probability of
-   about 0.2 each time, so 24 draws find it with more than 0.99; closer pairs are safer.
-4. Candidates are verified by exact word edit distance.
+3. Bit sampling: 24 times, 4 coordinates of the embedding make a key; windows that share keys with
+   the item are verified first, those with most keys ahead, as a near window bounds all others of
+   its text. Few windows of a long item share a key with it at the full distance, so keys set the
+   order alone and drop no window.
+4. All windows are verified: by the number of their words that the item has, which bounds the
+   distance, and what that leaves by exact word edit distance. Every leak is found.
 
 The benchmark is the query set: it is counted first and sent to the tasks in blocks of bounded
 size (`BLOCK_WORDS`), each against all documents. Documents are never moved.
@@ -32,6 +34,8 @@ TOLERANCE, DRAWS, SAMPLED = 0.2, 24, 4
 LEAST = 8
 #: Bytes of benchmark text that one block holds at most (an item is never split).
 BLOCK_BYTES = 8 << 20
+#: Words of windows that are looked at in one step.
+GRID = 1 << 21
 
 
 def allowed(length: int, tolerance: float = TOLERANCE) -> int:
@@ -65,20 +69,34 @@ def sampled_keys(windows: np.ndarray, draws: int, sampled: int) -> np.ndarray:
     return key
 
 
-def edit_distance(a: list, b: list, most: int) -> int:
-    """Word edit distance, or most + 1 if it is larger; only the band of that width is filled."""
-    if a == b:
-        return 0
-    big = most + 1
-    row = [j if j <= most else big for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        new = [big] * (len(b) + 1)
-        new[0] = min(i, big)
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1, big)
-        row = new
-    return row[-1]
+def word_masks(words: list) -> dict:
+    """The places of each word as the bits of one number."""
+    masks: dict = {}
+    for at, word in enumerate(words):
+        masks[word] = masks.get(word, 0) | 1 << at
+    return masks
+
+
+def edit_distance(masks: dict, length: int, words: list, most: int) -> int:
+    """Word edit distance from the text of `length` words with these masks, or most + 1 if it is larger.
+
+    Bit-parallel: a column of the table is kept as the bits of its steps up and down.
+    """
+    full, last = (1 << length) - 1, 1 << (length - 1)
+    up, down, far = full, 0, length
+    for left, word in zip(range(len(words) - 1, -1, -1), words, strict=True):
+        same = masks.get(word, 0)
+        across = ((((same & up) + up) ^ up) | same | down) & full
+        rise, fall = down | (full & ~(across | up)), up & across
+        if rise & last:
+            far += 1
+        elif fall & last:
+            far -= 1
+        if far - left > most:
+            return most + 1
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(across | rise)) & full, rise & across
+    return min(far, most + 1)
 
 
 class Items:
@@ -92,6 +110,7 @@ class Items:
         self.most = np.array([allowed(len(w), tolerance) for w in self.words], np.int64)
         if not own:
             return
+        self.masks = [word_masks(w.tolist()) for w in self.words]
         # an item is looked for by the words no other item of the block has, if more than the edits, or else by all
         known, times = np.unique(np.concatenate([np.unique(w) for w in self.words]), return_counts=True)
         alone, entries, self.need = set(known[times == 1].tolist()), [], np.ones(len(own), np.int64)
@@ -143,6 +162,14 @@ class Items:
         inside = (start >= first[found[1]]) & (start + self.length[found[0]] <= first[found[1] + 1])
         return np.unique(np.stack([found[0], start])[:, inside], axis=1)
 
+    def possible(self, own: np.ndarray, grid: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows, and their words, with so many words of their item that they can be near it: each other word is an edit."""
+        good = np.zeros(len(own), bool)
+        for k in np.unique(item[own]):
+            mine = np.flatnonzero(item[own] == k)
+            good[mine] = np.isin(grid[mine], self.words[k]).sum(axis=1) >= self.length[k] - self.most[k]
+        return own[good], grid[good]
+
     def near(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, length, distance) of the best window per text and item of a block of texts."""
         if not self.ids or not len(words):
@@ -150,17 +177,18 @@ class Items:
         item, start = self.windows(words, first)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for n in np.unique(self.length[item]):
-            own = np.flatnonzero(self.length[item] == n)
-            grid = words[start[own][:, None] + np.arange(n)]
-            alike = (sampled_keys(grid, self.draws, self.sampled) == np.array([self.keys[k] for k in item[own]])).sum(axis=1)
-            for j in np.argsort(-alike, kind="stable"):
-                if not alike[j]:
-                    break
-                k, at = int(item[own[j]]), int(start[own[j]])
-                pair = (int(np.searchsorted(first, at, "right") - 1), k)
-                most = int(self.most[k]) if pair not in best else best[pair][1] - 1
-                if most >= 0 and (far := edit_distance(grid[j].tolist(), self.words[k].tolist(), most)) <= most:
-                    best[pair] = (at, far)
+            same = np.flatnonzero(self.length[item] == n)
+            for lo in range(0, len(same), max(1, GRID // n)):
+                own = same[lo: lo + max(1, GRID // n)]
+                grid = words[start[own][:, None] + np.arange(n)]
+                own, grid = self.possible(own, grid, item)
+                alike = (sampled_keys(grid, self.draws, self.sampled) == np.array([self.keys[k] for k in item[own]]).reshape(len(own), self.draws)).sum(axis=1)
+                for j in np.argsort(-alike, kind="stable"):
+                    k, at = int(item[own[j]]), int(start[own[j]])
+                    pair = (int(np.searchsorted(first, at, "right") - 1), k)
+                    most = int(self.most[k]) if pair not in best else best[pair][1] - 1
+                    if most >= 0 and (far := edit_distance(self.masks[k], int(n), grid[j].tolist(), most)) <= most:
+                        best[pair] = (at, far)
         for (text, k), (at, far) in sorted(best.items()):
             yield text, self.ids[k], at - int(first[text]), int(self.length[k]), far
 

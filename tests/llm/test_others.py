@@ -192,6 +192,34 @@ def test_decontamination_recall(spark):
         assert r.distance == distance(docs[r.doc_id][r.start_word: r.start_word + len(item)], item)
 
 
+def test_decontamination_recall_at_full_tolerance():
+    """Items of any length are found at exactly floor(0.2 L) edits."""
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(3000)]
+    for length in (15, 25, 60, 120, 400):
+        lost = 0
+        for i in range(20):
+            item = [rng.choice(pool) for _ in range(length)]
+            most, copy = decontaminate.allowed(length), list(item)
+            for at in rng.sample(range(length), most):
+                copy[at] = f"x{at}"
+            text = [f"y{j}" for j in range(30)] + copy + [f"z{j}" for j in range(30)]
+            items = decontaminate.Items([7], [" ".join(item)], decontaminate.TOLERANCE, decontaminate.DRAWS, decontaminate.SAMPLED)
+            words = decontaminate.item_words(" ".join(text))
+            found = list(items.near(words, np.array([0, len(words)])))
+            assert found in ([], [(0, 7, 30, length, most)])
+            lost += not found
+        assert not lost, length
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(13)
+    for _ in range(400):
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(low, 90))] for low in (1, 0))
+        far, most = distance(a, b), rng.randint(0, 90)
+        assert decontaminate.edit_distance(decontaminate.word_masks(a), len(a), b, most) == min(far, most + 1)
+
+
 def test_decontamination_of_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "W0 w1 w2, w3 w4 w5 w6 w7 w8"), (2, None), (None, "w0 w1"), (3, "w1 w2")], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(odd, bench).collect()), key=str)
