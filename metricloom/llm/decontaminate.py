@@ -1,7 +1,8 @@
 """Benchmark decontamination: near copies of benchmark items in item-sized windows of documents.
 
 Texts are runs of words (case of A-Z and ASCII punctuation aside). A document leaks an item of L
-words if a window of L of its words is within floor(0.2 L) word edits of the item.
+words if a window of L of its words is within floor(0.2 L) word edits of the item. At the borders
+of a document windows are cut off, so a document that is an item less some words leaks it too.
 
 1. Exact filter: such a window has all but a few of the words that tell the item from others, and
    one of them in its place, give or take the edits. Other windows are left out without loss.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from metricloom.llm import common
 
 TOLERANCE, DRAWS, SAMPLED = 0.2, 24, 4
-#: Items shorter than this are left out: a few common words would match everywhere.
+#: Items shorter than this have no tolerance: an edited copy of a few common words is everywhere.
 LEAST = 8
 #: Bytes of benchmark text that one block holds at most (an item is never split).
 BLOCK_BYTES = 8 << 20
@@ -102,12 +103,12 @@ def edit_distance(masks: dict, length: int, words: list, most: int) -> int:
 class Items:
     """A block of benchmark items: an index of their words, and their sampled keys by length."""
 
-    def __init__(self, ids: list[int], texts: list[str], tolerance: float, draws: int, sampled: int):
+    def __init__(self, ids: list[int], texts: list[str], tolerance: float, draws: int, sampled: int, short: bool = False):
         self.draws, self.sampled = draws, sampled
-        own = [(i, w) for i, w in ((i, item_words(t)) for i, t in zip(ids, texts, strict=True)) if len(w) >= LEAST]
+        own = [(i, w) for i, w in ((i, item_words(t)) for i, t in zip(ids, texts, strict=True)) if len(w) >= (1 if short else LEAST)]
         self.ids, self.words = [i for i, _ in own], [w for _, w in own]
         self.length = np.array([len(w) for w in self.words], np.int64)
-        self.most = np.array([allowed(len(w), tolerance) for w in self.words], np.int64)
+        self.most = np.array([allowed(len(w), tolerance) if len(w) >= LEAST else 0 for w in self.words], np.int64)
         if not own:
             return
         self.masks = [word_masks(w.tolist()) for w in self.words]
@@ -132,10 +133,11 @@ class Items:
                 self.keys[k] = key
 
     def windows(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(item, start) of all windows that can be near an item, in a block of texts.
+        """(item, start, words) of all windows that can be near an item, in a block of texts.
 
         A window within e edits of an item has all but e of the words the item is looked for by,
-        and one of them stands where the item has it, give or take e places.
+        and one of them stands where the item has it, give or take e places. What a window has
+        beyond a border of its text is cut off; that many edits at least are spent then.
         """
         place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         at = np.flatnonzero(self.vocabulary[place] == words)
@@ -159,8 +161,9 @@ class Items:
         step = np.repeat(-slack - np.concatenate([[0], np.cumsum(2 * slack + 1)[:-1]]), 2 * slack + 1) + np.arange((2 * slack + 1).sum()) if found.shape[1] else np.empty(0, np.int64)
         found = np.repeat(found, 2 * slack + 1, axis=1)
         start = found[2] + step
-        inside = (start >= first[found[1]]) & (start + self.length[found[0]] <= first[found[1] + 1])
-        return np.unique(np.stack([found[0], start])[:, inside], axis=1)
+        lo = np.maximum(start, first[found[1]])
+        size = np.minimum(start + self.length[found[0]], first[found[1] + 1]) - lo
+        return np.unique(np.stack([found[0], lo, size])[:, size >= self.length[found[0]] - self.most[found[0]]], axis=1)
 
     def possible(self, own: np.ndarray, grid: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows, and their words, with so many words of their item that they can be near it: each other word is an edit."""
@@ -174,20 +177,23 @@ class Items:
         """(text, item, start, length, distance) of the best window per text and item of a block of texts."""
         if not self.ids or not len(words):
             return
-        item, start = self.windows(words, first)
+        item, start, size = self.windows(words, first)
+        # places past the end of a cut window hold 0, which is no word
+        words = np.append(words, np.uint64(0))
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for n in np.unique(self.length[item]):
             same = np.flatnonzero(self.length[item] == n)
             for lo in range(0, len(same), max(1, GRID // n)):
                 own = same[lo: lo + max(1, GRID // n)]
-                grid = words[start[own][:, None] + np.arange(n)]
+                place = np.arange(n)
+                grid = words[np.where(place < size[own][:, None], start[own][:, None] + place, -1)]
                 own, grid = self.possible(own, grid, item)
                 alike = (sampled_keys(grid, self.draws, self.sampled) == np.array([self.keys[k] for k in item[own]]).reshape(len(own), self.draws)).sum(axis=1)
                 for j in np.argsort(-alike, kind="stable"):
                     k, at = int(item[own[j]]), int(start[own[j]])
                     pair = (int(np.searchsorted(first, at, "right") - 1), k)
                     most = int(self.most[k]) if pair not in best else best[pair][1] - 1
-                    if most >= 0 and (far := edit_distance(self.masks[k], int(n), grid[j].tolist(), most)) <= most:
+                    if most >= 0 and (far := edit_distance(self.masks[k], int(n), grid[j, : size[own[j]]].tolist(), most)) <= most:
                         best[pair] = (at, far)
         for (text, k), (at, far) in sorted(best.items()):
             yield text, self.ids[k], at - int(first[text]), int(self.length[k]), far
@@ -203,18 +209,20 @@ def item_blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[tuple
         yield [r.item_id for r in rows], [r.text for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, draws: int = DRAWS, sampled: int = SAMPLED) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, draws: int = DRAWS, sampled: int = SAMPLED, short: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, item_words, distance: every document and item it leaks, at its best window.
 
-    Defined results: null or empty texts and texts shorter than an item leak nothing; items with
-    fewer than 8 words and items without an id are left out; a null doc_id stays null; repeated
-    rows give a row each; other columns are ignored. A text of any length is searched whole.
+    Defined results: null or empty texts leak nothing, nor do texts shorter than an item by more
+    than the edits; a window at a border of a document may be shorter than its item; items with
+    fewer than 8 words are searched by exact match if `short`, as the queries do, and left out
+    otherwise; items without words or an id are left out; a null doc_id stays null; repeated rows
+    give a row each; other columns are ignored. A text of any length is searched whole.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("item_words", pa.int64()), ("distance", pa.int64())])
 
     def search(ids: list[int], texts: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(ids, texts, tolerance, draws, sampled)
+            items = Items(ids, texts, tolerance, draws, sampled, short)
             for batch in batches:
                 body, offsets = common.texts(batch)
                 keys, out = batch.column(0).to_pylist(), []

@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), short=True)
 
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.llm import decontaminate, language_id, lm_score, packing, quality_rules, url_filter, warc
-from metricloom.llm.queries import tokenizer_path
+from metricloom.llm.queries import op1_decontamination, tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
@@ -212,6 +212,17 @@ def test_decontamination_recall_at_full_tolerance():
         assert not lost, length
 
 
+def test_decontamination_at_borders_and_of_short_items(spark, tmp_path):
+    item = [f"w{i}" for i in range(20)]
+    texts = {1: item[1:], 2: item[:-4], 3: item[2:-2], 4: item[:-5], 5: ["a", *item[:17]], 6: [*item[3:], "b"], 7: ["so", "red", "barn", "Yes"], 8: ["red", "barns"], 9: ["yes,"], 10: []}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "red barn yes"), (3, "YES"), (4, "?!"), (5, "")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.item_words, r.distance) for r in op1_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): (0, 20, 1), (2, 1): (0, 20, 4), (3, 1): (0, 20, 4), (5, 1): (1, 20, 3), (6, 1): (0, 20, 3), (7, 2): (1, 3, 0), (7, 3): (3, 1, 0), (9, 3): (0, 1, 0)}
+
+
 def test_bit_parallel_distance():
     rng = random.Random(13)
     for _ in range(400):
