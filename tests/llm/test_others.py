@@ -286,6 +286,25 @@ def test_score_is_the_difference_of_losses(spark):
         assert got[i].background_loss == pytest.approx(np.mean([background(p, w) for p, w in zip([None, *t], t, strict=False)]), rel=1e-6)
 
 
+def test_scores_count_all_words_and_targets(spark, monkeypatch):
+    """More words than any fixed vocabulary, exact whether a pair is joined or at hand."""
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(1000))) for i in range(80)] + [(80, "u0x0 u0x1 u0x2")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = []
+    for hot in (1, 1 << 16, 1 << 20):
+        monkeypatch.setattr(lm_score, "HOT", hot)
+        got.append({r.doc_id: r for r in lm_score.scored(docs, labels).collect()})
+    assert len(got[0]) == 81 and all(r.n_unknown == 0 for r in got[0].values())
+    size, scale = 80001, 40000 / 80003
+    single = lambda n: (n + 0.5) / (40000 + 0.5 * size)
+    pair = lambda n, w, b: -np.log((n + 100 * single(w)) / (b + 100))
+    target = (pair(1, 1, 40) + 2 * pair(1, 1, 1)) / 3
+    background = (pair(2 * scale, 2 * scale, 81 * scale) + 2 * pair(2 * scale, 2 * scale, 2 * scale)) / 3
+    for one in got:
+        assert one[80].target_loss == pytest.approx(target) and one[80].background_loss == pytest.approx(background)
+        assert all(one[i].score == pytest.approx(got[0][i].score) for i in range(80)) and max(one[i].score for i in range(40)) < min(one[i].score for i in range(40, 80))
+
+
 def test_scores_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = lm_score.scored(odd, labels, cells=1 << 12).collect()
