@@ -10,6 +10,8 @@ Log evidence of each language for a row is the sum of
 
 A row is kept if its best language has a posterior of `SURE` or more and its text is not noise:
 a third of its bytes at least are of letters, and they are likelier in some language than at random.
+Every declared language with any text is learned. One that knows too little to tell its own texts
+from random ones, each judged by the others it was learned from, does not speak against any text.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from metricloom.llm import common
 
 #: Trigram buckets, texts per language the trigrams are learned from, trigrams a text counts for, prior rows of a level.
 BUCKETS, TRAIN, WEIGHT, PRIOR, SURE = 1 << 15, 400, 60, 20.0, 0.5
+#: How much likelier than random ones a language's trigrams must be in new texts of it for the language to reject others.
+SURELY = 3.0
 
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
@@ -42,17 +46,20 @@ def trigrams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (code >> np.uint32(32 - BUCKETS.bit_length() + 1))[inside].astype(np.int64), text[inside]
 
 
-def trained(rows: DataFrame, train: int = TRAIN) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by bucket, from `train` rows of each declared language.
+def trained(rows: DataFrame, train: int = TRAIN) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their log probabilities by bucket, from `train` rows of each declared language, and whether they can reject.
+
+    A language can reject if the trigrams of a text it has not seen are `SURELY` times likelier
+    than random ones: each bucket is taken at what it would have without the texts it is from.
 
     The sample is the first of each language by a hash of ids and texts. As the rows of a language
     have been counted, only the share of hashes that holds a few times the sample is looked at,
     so what meets in one task doesn't grow with the input.
     """
     known = rows.where("declared is not null and length(text) > 0")
-    sizes = {r.declared: r["count"] for r in known.groupBy("declared").count().where(f"count >= {min(train, 20)}").collect()}
+    sizes = {r.declared: r["count"] for r in known.groupBy("declared").count().collect()}
     languages = sorted(sizes)
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64()), ("texts", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -61,31 +68,54 @@ def trained(rows: DataFrame, train: int = TRAIN) -> tuple[list[str], np.ndarray]
             bucket, text = trigrams(body, offsets)
             tags = batch.column(0).to_pylist()
             for i, tag in enumerate(tags):
-                total.setdefault(tag, np.zeros(BUCKETS, np.int64))
-                total[tag] += np.bincount(bucket[slice(*np.searchsorted(text, [i, i + 1]))], minlength=BUCKETS)
-        for tag, n in total.items():
+                total.setdefault(tag, np.zeros((2, BUCKETS), np.int64))
+                own = np.bincount(bucket[slice(*np.searchsorted(text, [i, i + 1]))], minlength=BUCKETS)
+                total[tag] += np.stack([own, own > 0])
+        for tag, (n, texts) in total.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([tag] * len(at), pa.string()), pa.array(at), pa.array(n[at])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([tag] * len(at), pa.string()), pa.array(at), pa.array(n[at]), pa.array(texts[at])], schema=schema)
 
-    logs = np.zeros((len(languages), BUCKETS))
+    logs, rejects = np.zeros((len(languages), BUCKETS)), np.zeros(len(languages), bool)
     picks = known.select("declared", "text", F.xxhash64("doc_id", "text").alias("order"))
     for k, tag in enumerate(languages):
         low = min(2**63 - 1, -(2**63) + 4 * train * 2**64 // sizes[tag])
         own = picks.where((F.col("declared") == tag) & (F.col("order") <= low)).orderBy("order").limit(train).select("declared", "text")
-        n = np.ones(BUCKETS) * 0.5
-        for r in own.mapInArrow(count, "lang string, bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        n, texts = np.ones(BUCKETS) * 0.5, np.ones(BUCKETS)
+        for r in own.mapInArrow(count, "lang string, bucket long, n long, texts long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect():
             n[r.bucket] += r.n
+            texts[r.bucket] = r.texts
         logs[k] = np.log(n / n.sum())
-    return languages, logs
+        seen = n - 0.5
+        unseen = np.log((seen * (1 - 1 / texts) + 0.5) / n.sum())
+        rejects[k] = seen.sum() > 0 and seen @ unseen / seen.sum() > math.log(SURELY / BUCKETS)
+    return languages, logs, rejects
+
+
+def letters_of(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are of letters."""
+    return np.diff(np.concatenate([[0], np.cumsum(_LETTER[body])])[offsets])
+
+
+def without_languages(rows: DataFrame) -> DataFrame:
+    """(doc_id, noise) of rows, by letters alone."""
+    schema = pa.schema([("doc_id", pa.int64()), ("noise", pa.bool_())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, offsets = common.texts(batch)
+            size = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((size < 3) | (3 * letters_of(body, offsets) < size))], schema=schema)
+
+    return rows.select("doc_id", "text").mapInArrow(judge, "doc_id long, noise boolean")
 
 
-def text_evidence(rows: DataFrame, languages: list[str], logs: np.ndarray, weight: int = WEIGHT) -> DataFrame:
+def text_evidence(rows: DataFrame, languages: list[str], logs: np.ndarray, rejects: np.ndarray, weight: int = WEIGHT) -> DataFrame:
     """doc_id, declared, host, domain, suffix, n_trigrams, evidence (one per language), best (index by text alone), noise."""
     names = ["doc_id", "declared", "host", "domain", "suffix"]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.string()) for n in names[1:]), ("n_trigrams", pa.int64()),
                         ("evidence", pa.list_(pa.float64())), ("best", pa.int32()), ("noise", pa.bool_())])
     table = logs.T.astype(np.float64).copy()
-    floor = -math.log(BUCKETS)
+    floor = np.where(rejects, -math.log(BUCKETS), -math.inf)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +125,8 @@ def text_evidence(rows: DataFrame, languages: list[str], logs: np.ndarray, weigh
                 n = np.bincount(text, minlength=hi - lo)
                 sums = np.stack([np.bincount(text, weights=table[bucket, k], minlength=hi - lo) for k in range(len(languages))], axis=1)
                 mean = sums / np.maximum(n, 1)[:, None]
-                letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[body[offsets[lo]: offsets[hi]]])])[offsets[lo: hi + 1] - offsets[lo]])
-                noise = (n == 0) | (mean.max(1) < floor) | (3 * letters < np.diff(offsets[lo: hi + 1]))
+                letters = letters_of(body[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
+                noise = (n == 0) | (mean < floor).all(1) | (3 * letters < np.diff(offsets[lo: hi + 1]))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(n.astype(np.int64)),
@@ -124,14 +154,15 @@ def identify(rows: DataFrame, train: int = TRAIN, accept: list[str] | None = Non
 
     Defined results: a null or empty text is noise and not kept, its language the best by the other
     evidence; a null declared language, host or suffix is no evidence; without rows to learn from,
-    language and posterior are null and nothing is kept; a null doc_id stays null; repeated rows
+    language and posterior are null and texts with letters are kept, unless `accept` is given; a null doc_id stays null; repeated rows
     are judged each. `accept` names the languages to keep, all if None.
     """
     columns = "doc_id long, language string, posterior double, text_language string, noise boolean, kept boolean"
-    languages, logs = trained(rows, train)
+    languages, logs, rejects = trained(rows, train)
     if not languages:
-        return rows.select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in columns.split(", ")[1:4])), F.lit(True).alias("noise"), F.lit(False).alias("kept"))
-    scored, size = common.settle(text_evidence(rows, languages, logs)), len(languages)
+        return without_languages(rows).select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in columns.split(", ")[1:4])), "noise",
+                                              (~F.col("noise") & F.lit(accept is None)).alias("kept"))
+    scored, size = common.settle(text_evidence(rows, languages, logs, rejects)), len(languages)
     counts = F.array(*(F.col(f"n{k}") for k in range(size)))
     everyone = level(scored, size).first()
     total = sum(everyone)

@@ -250,6 +250,23 @@ def test_languages_are_told_apart(spark):
     assert got[900].language == "fr" and not any(got[i].kept for i in (900, 901, 902))
 
 
+def test_languages_of_few_rows_are_learned(spark):
+    rng = random.Random(6)
+    words = {"en": "the of and house water running light".split(), "fr": "le de et maison eau courir lumière".split(), "es": "el que y casa agua correr luz".split(),
+             "ja": "日本 言葉 水流 光線 家族".split(), "el": "Θάλασσα ουρανός".split()}
+    sizes = {"en": 19, "fr": 7, "es": 3, "ja": 2, "el": 1}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(30))
+    rows = [(text(k), k, f"h{k}", k) for k, n in sizes.items() for _ in range(n)] + [(text(k), None, None, k) for k in sizes]
+    # other words of a script of which one text is known
+    rows += [("γράμμα χωρίς πρότυπο δίπλα φως νερό " * 3, "el", None, "el"), ("12 34 56 -- !! ~~ " * 5, None, None, None)]
+    df = spark.createDataFrame([(i, t, k, h, None, None) for i, (t, k, h, _) in enumerate(rows)], "doc_id long, text string, declared string, host string, domain string, suffix string")
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert [got[i].language for i, r in enumerate(rows) if r[3]] == [r[3] for r in rows if r[3]]
+    assert all(got[i].kept == (r[3] is not None) for i, r in enumerate(rows))
+    undeclared = {r.doc_id: r for r in language_id.identify(df.withColumn("declared", F.lit(None).cast("string"))).collect()}
+    assert all(undeclared[i].kept == (r[3] is not None) and undeclared[i].language is None for i, r in enumerate(rows))
+
+
 def test_language_of_pages_and_odd_rows(spark, odd, nothing):
     pages = spark.createDataFrame([(1, "https://WWW.Example.fr:80/x", "<!doctype html><html class=a lang='FR'><script>var x</script><b>Le</b>"), (2, None, None)], "page_id long, url string, html string")
     r = {x.doc_id: x for x in language_id.of_pages(pages).collect()}
