@@ -1,4 +1,7 @@
-"""A corpus pipeline of five stages over the documents table, each on all that its predecessor kept."""
+"""A corpus pipeline of five stages over the documents table, each on all that its predecessor kept.
+
+Rows that share a doc_id, or have none, are documents of their own in every stage.
+"""
 
 from __future__ import annotations
 
@@ -18,17 +21,18 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not among those that go; a null id is compared like any other.
+    """The `rowed` documents whose id is not among those that go, with their own ids; a null id is compared like any other.
 
     The ids are written first, so that the join is planned by their size and texts move only if they are many.
     """
     gone = common.settle(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").withColumn("doc_id", F.col("_doc")).select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language: texts without letters and texts more like noise than like any language."""
     _small_batches(spark)
+    docs, _ = common.rowed(docs)
     found = language_id.identify(language_id.of_documents(docs))
     return _without(docs, found.where("not kept"))
 
@@ -36,6 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near-duplicates."""
     _small_batches(spark)
+    docs, _ = common.rowed(docs)
     found = minhash.near_duplicates(docs)
     return _without(docs, found.where("not kept"))
 
@@ -46,14 +51,17 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     The bytes of characters that a cut leaves incomplete go as well. All documents stay, some empty.
     """
     _small_batches(spark)
-    kept = suffix_dedup.suffix_dedup(docs, text=True).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    docs, _ = common.rowed(docs)
+    kept = suffix_dedup.suffix_dedup(docs, text=True).select(F.col("doc_id").alias("_row"), F.col("kept").alias("text"))
+    rest = docs.select("doc_id", "_doc", "lang", "source")
+    rest = rest.join(kept, F.col("doc_id").eqNullSafe(F.col("_row"))).withColumn("doc_id", F.col("_doc"))
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that leak a benchmark item."""
     _small_batches(spark)
+    docs, _ = common.rowed(docs)
     return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from metricloom.session import settle
 
-__all__ = ["BLOCK", "PUNCTUATION", "Powers", "batch_of", "bit_filter", "blocks", "byte_units", "gram_hash", "id_bit", "keyed", "mix", "settle", "texts", "unkeyed", "words"]
+__all__ = ["BLOCK", "PUNCTUATION", "Powers", "batch_of", "bit_filter", "blocks", "byte_units", "each_row", "gram_hash", "id_bit", "keyed", "mix", "rowed", "settle", "texts", "unkeyed", "words"]
 
 NO_ID = -(2**63)
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
@@ -31,7 +31,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row per document: a null text is empty, a null id the smallest id.
 
     Rows that repeat a doc_id are one document, whose text is the largest of theirs. Whether any
-    do is a count over the ids alone; without repeats the texts are not moved.
+    do is a count over the ids alone; without repeats the texts are not moved. The queries and the
+    pipeline give every row an id of its own first (`rowed`), so that each text is judged.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -39,6 +40,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows if again.isEmpty() else rows.groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
+def rowed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with a doc_id that none shares and their own as `_doc`; and whether any did share one, nulls included.
+
+    New ids are in the order of the old ones, null first, and are written, so that they stay.
+    """
+    again = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).count().where("count > 1")
+    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    if again.isEmpty():
+        return rows, False
+    # the second key spreads an id with very many rows over tasks
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id()).orderBy("_doc", "_tie").drop("_tie")
+    return settle(rows.withColumn("doc_id", F.monotonically_increasing_id())), True
+
+
+def each_row(operator: Callable[[DataFrame], DataFrame], docs: DataFrame, *names: str) -> DataFrame:
+    """An operator over documents with every row a document of its own; the ids under `names` are given back."""
+    rows, changed = rowed(docs)
+    out = operator(rows)
+    for name in names if changed else ():
+        own = rows.select(F.col("doc_id").alias("_row"), "_doc")
+        out = out.join(own, F.col(name) == F.col("_row"), "left").withColumn(name, F.col("_doc")).drop("_row", "_doc")
+    return out
+
+
 def unkeyed(df: DataFrame, *names: str) -> DataFrame:
     """Give null ids back."""
     return df.withColumns({n: F.when(F.col(n) != NO_ID, F.col(n)) for n in names})

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metricloom.llm.common import each_row
 from metricloom.llm.decontaminate import contaminated
 from metricloom.llm.language_id import identify, of_documents, of_pages
 from metricloom.llm.lm_score import scored
@@ -27,7 +28,7 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup(table(spark, folder, "documents")).drop("kept")
+    return each_row(suffix_dedup, table(spark, folder, "documents"), "doc_id").drop("kept")
 
 
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,11 +53,11 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    return each_row(near_duplicates, table(spark, folder, "documents"), "doc_id", "component_id")
 
 
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup(table(spark, folder, "documents")).drop("kept_text")
+    return each_row(substring_dedup, table(spark, folder, "documents"), "doc_id").drop("kept_text")
 
 
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:

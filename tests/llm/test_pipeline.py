@@ -1,5 +1,7 @@
 """The pipeline stage by stage against brute force, each on what its predecessor kept."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -82,3 +84,28 @@ def test_stages_of_odd_documents(spark, odd, nothing, folder):
             if name != "packing":
                 docs = corpus_pipeline.common.settle(out)
         assert out.count() >= 0
+
+
+def test_rows_that_share_an_id_are_judged_each(spark, tmp_path):
+    from metricloom.llm.queries import QUERIES
+
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(120)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, "12 34 " * 20), (5, c), (5, a), (5, d), (6, b[:300] + "#" + e)]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    item = " ".join(d.split()[40:60])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    noise, copy, leak = rows[2], rows[4], rows[5]
+    gone = {"language": {noise}, "near_duplicates": {noise, copy}, "repeated_strings": {noise, copy}, "contamination": {noise, copy, leak}}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.common.settle(stage(spark, docs, str(tmp_path)))
+        want = [r for r in rows if r not in gone[name]]
+        if name in ("repeated_strings", "contamination"):
+            want[-1] = (6, "#" + e)
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str), name
+    for name in ("op2_suffix_dedup", "op7_minhash_dedup", "op8_substring_dedup"):
+        assert sorted((r.doc_id for r in QUERIES[name](spark, str(tmp_path)).collect()), key=str) == sorted((i for i, _ in rows), key=str), name
+    near = [(r.doc_id, r.component_id, r.kept) for r in QUERIES["op7_minhash_dedup"](spark, str(tmp_path)).collect()]
+    assert sorted(near, key=str) == sorted([(None, None, True)] * 3 + [(5, 5, True)] * 2 + [(5, None, False), (6, 6, True)], key=str)
