@@ -52,8 +52,11 @@ def test_negative_quantity_is_the_fallback_cancellation(bound):
 
 
 def test_fallback():
-    specs = catalog.fallback([("t", f"m{i}", "SUM", None) for i in range(9)], ["t.a", "t.b", "t.c"])
-    assert [s.slug for s in specs] == [f"sum_m{i}" for i in range(6)] + ["distinct_a", "distinct_b"]
+    measures, identifiers = [("t", f"m{i}", "SUM", None) for i in range(9)], ["t.a", "t.b", "t.c"]
+    whole = [s.slug for s in catalog.fallback(measures, identifiers)]
+    assert whole == [f"sum_m{i}" for i in range(9)] + ["distinct_a", "distinct_b", "distinct_c"]
+    first = [s.slug for s in catalog.fallback(measures, identifiers, keep_measures=6, keep_identifiers=2)]
+    assert first == [f"sum_m{i}" for i in range(6)] + ["distinct_a", "distinct_b"]
 
 
 def test_prefix_on_most_ids_is_no_marker(spark):
