@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metricloom.llm.collocations import COVER, LEAST, MOST, TOP, collocations
 from metricloom.llm.common import each_row
 from metricloom.llm.decontaminate import contaminated
 from metricloom.llm.language_id import identify, of_documents, of_pages
@@ -15,8 +17,10 @@ from metricloom.llm.packing import packed
 from metricloom.llm.quality_rules import quality_rules
 from metricloom.llm.substring_dedup import substring_dedup
 from metricloom.llm.suffix_dedup import suffix_dedup
+from metricloom.llm.token_counts import token_counts
 from metricloom.llm.url_filter import filter_urls
 from metricloom.llm.warc import round_trip
+from metricloom.session import checkpoint_dir
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,7 +79,47 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), tokenizer_path()).drop("ids")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+def piece_model_path() -> str:
+    """The sentencepiece vocabulary among the public tokenizers of this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """A cache of its own for each run, in the shared folder, so that every run encodes every distinct text."""
+    cache = f"{checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return token_counts(table(spark, folder, "documents"), piece_model_path(), cache)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_lm_score, op4_language_id, language_of_pages, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing)
+    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_lm_score, op4_language_id, language_of_pages, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing, op11_collocations, op13_token_counts)
+}
+ORACLES: dict[str, str] = {
+    "op11_collocations": rf"""
+  WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws WHERE len(w) > 0),
+  grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, range(1, {MOST + 1}) AS s(k) WHERE i + k - 1 <= len(w)),
+  totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+  found AS (SELECT lang, k AS size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {LEAST}),
+  cand AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM found WHERE size > 1),
+  cuts AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS rest FROM cand c, range(1, {MOST}) AS s(k) WHERE k < size),
+  scored AS (SELECT c.lang, c.phrase, c.a, h.a AS l, r.a AS r, n, k, (1000::HUGEINT * c.a * n) // (h.a::HUGEINT * r.a) AS score
+    FROM cuts c JOIN found h ON h.lang = c.lang AND h.phrase = c.head JOIN found r ON r.lang = c.lang AND r.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+  cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  inner_ AS (SELECT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS inside
+    FROM cand c, range(2, {MOST}) AS s(m), range(1, {MOST}) AS p(i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL),
+  best AS (SELECT c.* FROM cut c LEFT JOIN inner_ x ON x.lang = c.lang AND x.phrase = c.phrase WHERE inside IS NULL OR 100 * inside < {COVER} * a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+  FROM best QUALIFY rank <= {TOP}
+    """,
 }
-ORACLES: dict[str, str] = {}
