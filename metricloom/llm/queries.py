@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm.collocations import COVER, LEAST, MOST, TOP, collocations
 from metricloom.llm.common import each_row
+from metricloom.llm.conversation_repair import damage, report
 from metricloom.llm.decontaminate import contaminated
 from metricloom.llm.language_id import identify, of_documents, of_pages
 from metricloom.llm.lm_score import scored
@@ -83,6 +84,11 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return report(damage(rows), rows)
+
+
 def piece_model_path() -> str:
     """The sentencepiece vocabulary among the public tokenizers of this machine."""
     import public_tokenizers
@@ -99,7 +105,7 @@ def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_lm_score, op4_language_id, language_of_pages, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing, op11_collocations, op13_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_lm_score, op4_language_id, language_of_pages, op5_quality_rules, op6_warc, op7_minhash_dedup, op8_substring_dedup, op9_url_filter, op10_packing, op11_collocations, op12_conversation_repair, op13_token_counts)
 }
 ORACLES: dict[str, str] = {
     "op11_collocations": rf"""
@@ -122,4 +128,47 @@ ORACLES: dict[str, str] = {
   SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
   FROM best QUALIFY rank <= {TOP}
     """,
+    "op12_conversation_repair": r"""
+  WITH RECURSIVE
+  bits AS (SELECT i, 0 AS round, i::UBIGINT AS v FROM range(256) AS t(i)
+    UNION ALL SELECT i, round + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM bits WHERE round < 8),
+  crc AS (SELECT list(v ORDER BY i) AS step FROM bits WHERE round = 8),
+  raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+  coded AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::UBIGINT)),
+      lambda c, b: xor(c >> 8, step[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 20 AS code FROM raw, crc),
+  hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+      CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again FROM coded),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM hurt),
+  marked AS (SELECT *, left(role, 1) AS ini, rtrim(text, E' \t\n\x0b\x0c\r') AS kept, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed),
+  rows_ AS (SELECT *, CASE WHEN kept = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+      ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM marked),
+  counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+      count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+  -- the least (cost, audit) by state after the rows so far: none, system, user, assistant; a far cost where there is no way
+  best AS (SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS n, {'c': 1000000000000::BIGINT, 'a': ''} AS s, {'c': 1000000000000::BIGINT, 'a': ''} AS u, {'c': 1000000000000::BIGINT, 'a': ''} AS y
+      FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, i, list_min([{'c': n.c + 3, 'a': n.a || 'D'}]),
+      list_min([{'c': s.c + 3, 'a': s.a || 'D'}, {'c': n.c + k_s, 'a': n.a || 'K'}]),
+      list_min([{'c': u2.c + 3, 'a': u2.a || 'D'}, {'c': least(n.c, s.c, y2.c) + k_u, 'a': list_min([n, s, y2]).a || 'K'}, {'c': least(n.c, s.c, y2.c) + r, 'a': list_min([n, s, y2]).a || 'R'}]),
+      list_min([{'c': y2.c + 3, 'a': y2.a || 'D'}, {'c': u2.c + k_a, 'a': u2.a || 'K'}, {'c': u2.c + r, 'a': u2.a || 'R'}])
+    FROM (SELECT b.conv_id, x.i, b.n, b.s, w.u2, list_min([b.y, {'c': w.u2.c + 2, 'a': w.u2.a || 'I'}]) AS y2,
+        CASE WHEN fault IN ('b', 'd') THEN 1000000000000 ELSE 2 + (fault = 't')::BIGINT END AS r,
+        CASE WHEN fault IN ('b', 'd') OR ini <> 's' THEN 1000000000000 ELSE (fault = 't')::BIGINT END AS k_s,
+        CASE WHEN fault IN ('b', 'd') OR ini <> 'u' THEN 1000000000000 ELSE (fault = 't')::BIGINT END AS k_u,
+        CASE WHEN fault IN ('b', 'd') OR ini <> 'a' THEN 1000000000000 ELSE (fault = 't')::BIGINT END AS k_a
+      FROM (SELECT conv_id, i, n, s, y, list_min([u, {'c': n.c + 2, 'a': n.a || 'I'}, {'c': s.c + 2, 'a': s.a || 'I'}, {'c': y.c + 2, 'a': y.a || 'I'}]) AS u2 FROM best) w
+      JOIN best b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i
+      JOIN rows_ x ON x.conv_id IS NOT DISTINCT FROM b.conv_id AND x.i = b.i + 1)),
+  ends AS (SELECT conv_id, list_min([n, y, {'c': u.c + 2, 'a': u.a || 'I'}, {'c': s.c + 4, 'a': s.a || 'II'}]) AS e FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+  steps AS (SELECT conv_id, e.a AS audit, unnest(range(1, len(e.a) + 1)) AS t FROM ends),
+  edits AS (SELECT conv_id, t, audit[t] AS edit, t - len(replace(left(audit, t), 'I', '')) AS extra FROM steps),
+  made AS (SELECT e.conv_id, e.t, edit, role, text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.t) AS o, count(*) OVER (PARTITION BY e.conv_id) AS m
+    FROM edits e LEFT JOIN rows_ x ON edit <> 'I' AND x.conv_id IS NOT DISTINCT FROM e.conv_id AND x.i = e.t - e.extra WHERE edit <> 'D'),
+  hashed AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (o + m) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY t)) AS h FROM made GROUP BY conv_id)
+  SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, e.e.c AS cost, e.e.a AS audit, coalesce(h, sha256('')) AS repaired_sha256
+  FROM ends e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
 }
