@@ -3,7 +3,9 @@
 Both work the same way. A bounded sketch gives up to ``CUTS`` cut points over the values.
 The cut points only split the work: whatever they are, each value falls into one bucket,
 buckets are ordered, and the totals per bucket (a handful of rows) tell which bucket holds a
-rank or which offset a bucket starts from. Rows are then ordered inside a bucket only.
+rank or which offset a bucket starts from. Rows are then ordered inside a bucket only. A bucket that a
+rank is looked for in is cut again, by a sketch of its own, until it holds at most ``BUCKET_ROWS``
+rows, so that what one task orders does not grow with the column.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from metricloom.session import settle
 
 CUTS = 255
 SKETCH_ACCURACY = 2000
+#: Rows of a bucket that one task orders; larger ones are cut again.
+BUCKET_ROWS = 1 << 20
 
 
 def cut_sketch(value: Column) -> Column:
@@ -25,11 +29,6 @@ def cut_sketch(value: Column) -> Column:
     return F.percentile_approx(value.cast("double"), probs, SKETCH_ACCURACY)
 
 
-def cut_points(df: DataFrame, value: Column) -> list[float]:
-    """CUTS doubles read back from the sketch."""
-    return clean_cuts(df.agg(cut_sketch(value).alias("cuts")).first()["cuts"])
-
-
 def clean_cuts(cuts: Sequence[float] | None) -> list[float]:
     """Distinct finite cut points, filled up with infinity to a fixed length."""
     found = sorted({float(c) for c in cuts or [] if c is not None and abs(c) < float("inf")})
@@ -57,20 +56,22 @@ def exact_quantiles(
     probs: dict[str, float],
     method: str = "linear",
     few_keys: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Quantiles per key out of ``keys + (value, n, _bucket)`` rows, one output column per prob.
 
     ``linear`` interpolates between neighbours. ``nearest`` returns an observed value, the one
     at rank ``floor((n - 1) * q + 0.5) + 1``. ``few_keys`` says that keys are bounded (columns
     of a table), so the buckets to look into, at most two per key and prob, can be broadcast;
-    otherwise their size decides.
+    otherwise their size decides. ``rows`` tells how many rows a key has at most, if that is known:
+    then no job is needed to see that no bucket can be too large.
     """
     keys = list(keys)
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         placed.groupBy(*keys, "_bucket")
-        .agg(F.sum("n").alias("_rows"))
+        .agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_rows").over(by_key))
     )
@@ -94,14 +95,16 @@ def exact_quantiles(
     wanted_here = (
         totals.withColumn("_wanted", F.filter(F.array(*wanted), lambda w: w["here"]))
         .where(F.size("_wanted") > 0)
-        .select(*keys, "_bucket", "_wanted")
+        .select(*keys, "_bucket", "_size", "_wanted")
     )
     if few_keys:
         wanted_here = F.broadcast(wanted_here)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("value")
+    held = placed.join(wanted_here, [*keys, "_bucket"])
+    if rows is None or rows > BUCKET_ROWS:
+        held = narrowed(held, keys)
     ranked = (
-        placed.join(wanted_here, [*keys, "_bucket"])
-        .withColumn("_upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        held.withColumn("_upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .select(*keys, "value", "n", "_upto", F.explode("_wanted").alias("_w"))
         .where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("n")))
     )
@@ -116,17 +119,57 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*outputs) if keys else ranked.agg(*outputs)
 
 
+def narrowed(held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of buckets that ranks are looked for in, cut again until no bucket has more than BUCKET_ROWS.
+
+    ``held`` has ``keys + (_bucket, value, n, _size, _wanted)``: the rows of the bucket and the
+    ranks wanted in it. A round writes what is left, at most two parts in CUTS of a bucket for
+    each rank. Values that no cut tells apart are equal as doubles and stay together.
+    """
+    group, before_size = [*keys, "_bucket"], None
+    held = settle(held.withColumn("_bucket", F.col("_bucket").cast("bigint")))
+    while True:
+        size = held.agg(F.max("_size").alias("m")).first()["m"] or 0
+        if size <= BUCKET_ROWS or size == before_size:
+            return held
+        before_size = size
+        cuts = held.where(F.col("_size") > BUCKET_ROWS).groupBy(*group).agg(cut_sketch(F.col("value")).alias("_cuts"))
+        placed = with_bucket(held.drop("_size").join(cuts, group, "left"), "value", F.col("_cuts"), "_sub").drop("_cuts")
+        before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+        totals = (
+            placed.groupBy(*group, "_sub")
+            .agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_size"))
+            .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        )
+        here = F.filter("_wanted", lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_rows")))
+        moved = F.transform(here, lambda w: w.withField("rank", (w["rank"] - F.col("_before")).cast("bigint")))
+        held = settle(
+            placed.join(totals, [*group, "_sub"])
+            .withColumn("_wanted", moved)
+            .where(F.size("_wanted") > 0)
+            .withColumn("_bucket", F.col("_bucket") * (CUTS + 1) + F.col("_sub"))
+            .select(*keys, "_bucket", "value", "n", "_size", "_wanted")
+        )
+
+
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], method: str = "linear"
+    df: DataFrame, keys: Sequence[str], values: dict[str, Column], prob: float, method: str = "linear"
 ) -> DataFrame:
-    """Exact quantiles of an expression per group, straight from rows."""
-    rows = df.select(*keys, value.alias("value")).where(
-        F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
-    )
-    # Written once, so that the base is read once: the cuts and the ranks both use the counts.
-    counts = settle(rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
-    cuts = cut_points(counts, F.col("value"))
-    return exact_quantiles(with_bucket(counts, "value", cuts), keys, probs, method)
+    """One exact quantile of each of several expressions per group, straight from rows: a column per expression.
+
+    All expressions are counted together, ``keys + (which, value) -> n``, in one reading of the
+    rows, and the counts are written: cuts and ranks both use them.
+    """
+    which = [F.struct(F.lit(i).alias("_which"), v.cast("double").alias("value")) for i, v in enumerate(values.values())]
+    rows = df.select(*keys, F.inline(F.array(*which))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = settle(rows.groupBy(*keys, "_which", "value").agg(F.count(F.lit(1)).alias("n")))
+    # one row of fixed size per expression
+    found = counts.groupBy("_which").agg(cut_sketch(F.col("value")).alias("cuts"), F.count(F.lit(1)).alias("rows")).collect()
+    cuts = F.create_map(*[x for r in found for x in (F.lit(r["_which"]), F.lit(clean_cuts(r["cuts"])))]) if found else F.create_map()
+    placed = with_bucket(counts.withColumn("_cuts", cuts[F.col("_which")]), "value", F.col("_cuts")).drop("_cuts") if found else counts.withColumn("_bucket", F.lit(0))
+    one = exact_quantiles(placed, [*keys, "_which"], {"q": prob}, method, rows=max((r["rows"] for r in found), default=0))
+    columns = [F.max(F.when(F.col("_which") == i, F.col("q"))).alias(name) for i, name in enumerate(values)]
+    return one.groupBy(*keys).agg(*columns) if keys else one.agg(*columns)
 
 
 def running_total(df: DataFrame, value: str, weight: str, into: str, cuts: Sequence[float]) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.fixed_values import WHITESPACE
 from metricloom.functions.text import is_padded, strip
 from metricloom.operators.infer import parse_datetime
+from metricloom.operators.profile import repeated_rows
+from metricloom.session import settle, together
 
 LOG = """table_name string, step int, operation string, column_name string, rows_affected bigint, reason string,
 before_example string, after_example string"""
@@ -47,72 +50,97 @@ def collect_plan(issues: DataFrame) -> list[Step]:
 
 
 class _Table:
-    """One table under a plan: pending column changes, and the counts each step asks for."""
+    """One table under a plan: rows as read, values as changed so far, and the counts each step asks for.
 
-    def __init__(self, df: DataFrame, observe: Callable[[DataFrame, list[Column]], DataFrame]):
-        self.df, self.observe = df, observe
-        self.pending: dict[str, Column] = {}
-        self.metrics: list[Column] = []
+    Counts are aggregates over the rows themselves, so a task that runs again counts nothing
+    twice. Once copies are to go, a row counts once for all its copies: the rows are counted as
+    they are, and the surplus of those that repeat is taken off, which needs no second shuffle
+    of the table.
+    """
+
+    def __init__(self, df: DataFrame, keep: Callable[[DataFrame], DataFrame]):
+        self.keep, self.counts = keep, {}
+        self._start(df)
+
+    def _start(self, df: DataFrame) -> None:
+        self.rows, self.copies, self.alive = df, None, None
+        self.values: dict[str, Column] = {}
+        self.flags: dict[str, Column] = {}
+        self.examples: dict[str, Column] = {}
+        self.surplus: list[str] = []
 
     def value(self, column: str) -> Column:
-        return self.pending.get(column, F.col(f"`{column}`"))
+        return self.values.get(column, F.col(f"`{column}`"))
 
-    def close(self) -> None:
-        """Take the counts here, then apply the pending changes."""
-        if self.metrics:
-            self.df = self.observe(self.df, self.metrics)
-        if self.pending:
-            self.df = self.df.withColumns(self.pending)
-        self.pending, self.metrics = {}, []
+    def result(self) -> DataFrame:
+        df = self.rows if self.copies is None else self.rows.dropDuplicates()
+        if self.alive is not None:
+            df = df.where(self.alive)
+        return df.withColumns(self.values) if self.values else df
+
+    def measure(self) -> None:
+        """All counts asked for so far, in one aggregation."""
+        if not (self.flags or self.examples or self.surplus):
+            return
+        sums = lambda weight: [F.coalesce(F.sum(F.when(flag, weight).otherwise(0)), F.lit(0)).cast("bigint").alias(n) for n, flag in self.flags.items()]
+        parts = [self.rows.agg(F.lit(0).cast("bigint").alias("_"), *sums(F.lit(1)), *[F.min(e).alias(n) for n, e in self.examples.items()])]
+        if self.copies is not None:
+            extra = F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint")
+            parts.append(self.copies.agg(*sums(1 - F.col("_n")), *[extra.alias(n) for n in self.surplus]))
+        both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        whole = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (*self.flags, *self.surplus)]
+        self.counts.update(both.agg(*whole, *[F.min(n).alias(n) for n in self.examples]).first().asDict())
 
     def apply(self, i: int, step: Step) -> None:
-        if step.operation in ROW_STEPS:
-            self.metrics.append(F.count(F.lit(1)).alias(f"before{i}"))
-            self.close()
-            self.df = self.df.dropDuplicates() if step.operation == "drop_duplicates" else self.df.dropna(how="all")
-            self.metrics.append(F.count(F.lit(1)).alias(f"after{i}"))
+        if step.operation == "drop_duplicates":
+            if self.values or self.alive is not None or self.copies is not None:
+                self.measure()
+                self._start(self.keep(self.result()))
+            self.copies = repeated_rows(self.rows)
+            self.surplus.append(f"count{i}")
+            return
+        here = F.lit(True) if self.alive is None else self.alive
+        if step.operation == "drop_all_null_rows":
+            filled = reduce(Column.__or__, [self.value(c).isNotNull() for c in self.rows.columns], F.lit(False))
+            self.flags[f"count{i}"] = here & ~filled
+            self.alive = here & filled
             return
         c = self.value(step.column_name)
         if step.operation == "trim_whitespace":
-            padded = is_padded(c)
-            count, changed = F.count_if(padded), strip(c)
-            self.metrics.append(F.min(F.when(padded, c)).alias(f"example{i}"))
+            flag, changed = is_padded(c), strip(c)
+            self.examples[f"example{i}"] = F.when(flag & here, c)
         elif step.operation == "empty_to_null":
-            count, changed = F.count_if(c == ""), F.nullif(c, F.lit(""))
+            flag, changed = c == "", F.nullif(c, F.lit(""))
         elif step.operation == "normalize_case":
-            count, changed = F.count(F.lit(1)), F.lower(c)
+            flag, changed = F.lit(True), F.lower(c)
         elif step.operation == "cast_numeric":
-            count, changed = F.count(F.lit(1)), c.try_cast("double")
+            flag, changed = F.lit(True), c.try_cast("double")
         elif step.operation == "cast_datetime":
             parsed = parse_datetime(c, step.format) if step.format else F.try_to_timestamp(c).cast("timestamp_ntz")
-            count, changed = F.count(F.lit(1)), parsed
+            flag, changed = F.lit(True), parsed
         else:
             raise ValueError(f"Unknown cleanup {step.operation!r}")
-        self.metrics.append(count.alias(f"count{i}"))
-        self.pending[step.column_name] = changed
+        self.flags[f"count{i}"] = flag & here
+        self.values[step.column_name] = changed
 
 
-def _apply(df: DataFrame, steps: Sequence[tuple[int, Step]], observe) -> DataFrame:
-    table = _Table(df, observe)
+def _apply(df: DataFrame, steps: Sequence[tuple[int, Step]], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict]:
+    table = _Table(df, keep)
     for i, step in steps:
-        if step.operation in ROW_STEPS or step.column_name in table.df.columns:
+        if step.operation in ROW_STEPS or step.column_name in df.columns:
             table.apply(i, step)
-    table.close()
-    return table.df
+    table.measure()
+    return table.result(), table.counts
 
 
 def _log(spark: SparkSession, steps: Sequence[tuple[int, Step]], counts: dict) -> DataFrame:
     rows = []
     for i, s in steps:
-        if s.operation in ROW_STEPS:
-            affected = counts.get(f"before{i}", 0) - counts.get(f"after{i}", 0)
-        elif f"count{i}" not in counts:
+        if f"count{i}" not in counts:
             continue
-        else:
-            affected = counts[f"count{i}"]
         before = "" if s.operation == "empty_to_null" else counts.get(f"example{i}")
         after = before.strip(WHITESPACE) if before and s.operation == "trim_whitespace" else None
-        rows.append((s.table_name, i, s.operation, s.column_name, affected, s.reason, before, after))
+        rows.append((s.table_name, i, s.operation, s.column_name, counts[f"count{i}"], s.reason, before, after))
     return spark.createDataFrame(rows, LOG)
 
 
@@ -123,40 +151,29 @@ def _by_table(plan: Sequence[Step]) -> dict[str, list[tuple[int, Step]]]:
     return found
 
 
-def execute_plan(tables: dict[str, DataFrame], plan: Sequence[Step]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Cleaned tables (lazy) and the log. Counts take one aggregation per row-dropping step."""
-    spark = next(iter(tables.values())).sparkSession
-    counts: dict = {}
-    cleaned = dict(tables)
+def _run(tables: Mapping[str, DataFrame], plan: Sequence[Step], keep: Callable, finish: Callable[[str, DataFrame], DataFrame]):
+    numbered = _by_table(plan)
+
+    def one(name: str) -> tuple[DataFrame, dict]:
+        out, counts = _apply(tables[name], numbered.get(name, []), keep)
+        return finish(name, out), counts
 
-    def measure(df: DataFrame, metrics: list[Column]) -> DataFrame:
-        counts.update(df.agg(*metrics).first().asDict())
-        return df
+    done = dict(zip(tables, together(*[lambda n=n: one(n) for n in tables]), strict=True))
+    counts = {k: v for _, found in done.values() for k, v in found.items()}
+    steps = [pair for name, own in numbered.items() if name in tables for pair in own]
+    return {name: out for name, (out, _) in done.items()}, _log(next(iter(tables.values())).sparkSession, steps, counts)
 
-    numbered = _by_table(plan)
-    for name, steps in numbered.items():
-        if name in cleaned:
-            cleaned[name] = _apply(cleaned[name], steps, measure)
-    done = [pair for name, steps in numbered.items() if name in cleaned for pair in steps]
-    return cleaned, _log(spark, done, counts)
-
-
-def clean_to(
-    tables: dict[str, DataFrame], plan: Sequence[Step], folder: str
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Write the cleaned layer and count every step during that same write."""
-    spark = next(iter(tables.values())).sparkSession
-    numbered, counts, cleaned = _by_table(plan), {}, {}
-    for name, df in tables.items():
-        watched: list[Observation] = []
-
-        def observe(frame: DataFrame, metrics: list[Column]) -> DataFrame:
-            watched.append(Observation())
-            return frame.observe(watched[-1], *metrics)
-
-        _apply(df, numbered.get(name, []), observe).write.mode("overwrite").parquet(f"{folder}/{name}")
-        for one in watched:
-            counts.update(one.get)
-        cleaned[name] = spark.read.parquet(f"{folder}/{name}")
-    done = [pair for name, steps in numbered.items() if name in tables for pair in steps]
-    return cleaned, _log(spark, done, counts)
+
+def execute_plan(tables: Mapping[str, DataFrame], plan: Sequence[Step]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Cleaned tables (lazy) and the log. Counts take one aggregation per table, one more per later removal of copies."""
+    return _run(tables, plan, lambda df: df, lambda name, df: df)
+
+
+def clean_to(tables: Mapping[str, DataFrame], plan: Sequence[Step], folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Write the cleaned layer, and log every step. Rows from which copies go late in a plan are written ahead of that."""
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return _run(tables, plan, settle, write)

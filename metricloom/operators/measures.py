@@ -6,8 +6,9 @@ A ``Measure`` is built from Spark SQL expressions (text or ``Column``) and combi
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -51,11 +52,9 @@ class Aggregate:
             "SUM": F.sum,
             "AVG": F.avg,
             "COUNT": F.count,
-            "COUNT_DISTINCT": F.count_distinct,
             "APPROX_COUNT_DISTINCT": F.approx_count_distinct,
             "MIN": F.min,
             "MAX": F.max,
-            "MEDIAN": F.median,
             "STDDEV": F.stddev_samp,
         }[self.fn](self.rows())
 
@@ -195,6 +194,44 @@ def check(df: DataFrame, measures: Mapping[str, Measure]) -> None:
             raise SpecError(f"{name}: {error.getMessage() if hasattr(error, 'getMessage') else error}") from error
 
 
+#: Conditions one mask of a distinct count holds; an expression with more takes several masks.
+MASK_BITS = 62
+
+
+def distinct_counts(df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str, Aggregate]) -> DataFrame:
+    """Distinct values of expressions under conditions, per group: a column per name.
+
+    First every (group, expression, value) gets a mask that tells which conditions it was met
+    under, then set bits are counted per group. A row is given out once per expression, however
+    many conditions count it, and a group of any size is spread by its values.
+    """
+    sources: dict[str, list[tuple[str, Aggregate]]] = {}
+    for name, leaf in wanted.items():
+        sources.setdefault(str(leaf.of), []).append((name, leaf))
+    lots = [own[i:i + MASK_BITS] for own in sources.values() for i in range(0, len(own), MASK_BITS)]
+    columns, masks = [], []
+    for j, lot in enumerate(lots):
+        bits = [F.lit(1 << i).cast("bigint") if leaf.where is None else F.when(as_column(leaf.where), F.lit(1 << i).cast("bigint")).otherwise(0)
+                for i, (_, leaf) in enumerate(lot)]
+        columns.append((F.lit(1) if lot[0][1].of is None else as_column(lot[0][1].of)).alias(f"_v{j}"))
+        masks.append(F.when(columns[j].isNotNull(), reduce(Column.__add__, bits)).otherwise(0).alias(f"_m{j}"))
+    picked = df.select(*[c.alias(k) for k, c in by.items()], *columns, *masks)
+    # expressions of one type share a column
+    types = list(dict.fromkeys(picked.schema[f"_v{j}"].dataType for j in range(len(lots))))
+    given = [
+        F.struct(F.lit(j).alias("_of"), F.col(f"_m{j}").alias("_mask"),
+                 *[(F.col(f"_v{j}") if t == picked.schema[f"_v{j}"].dataType else F.lit(None).cast(t)).alias(f"_t{k}") for k, t in enumerate(types)])
+        for j in range(len(lots))
+    ]
+    rows = picked.select(*by, F.inline(F.array(*given))).where("_mask <> 0")
+    values = rows.groupBy(*by, "_of", *[f"_t{k}" for k in range(len(types))]).agg(F.bit_or("_mask").alias("_mask"))
+    counts = [
+        F.count_if((F.col("_of") == j) & (F.col("_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0)).alias(name)
+        for j, lot in enumerate(lots) for i, (name, _) in enumerate(lot)
+    ]
+    return values.groupBy(*by).agg(*counts) if by else values.agg(*counts)
+
+
 def evaluate(
     df: DataFrame,
     measures: Mapping[str, Measure],
@@ -203,8 +240,8 @@ def evaluate(
 ) -> DataFrame:
     """All measures over one base, per group: one row per group, one double per measure.
 
-    Rows without a group value are left out. Medians take a pass of their own that ranks
-    inside value buckets, as an aggregate would hold every distinct value in one task.
+    Rows without a group value are left out. Distinct counts and medians take a pass of their own
+    each, over counted values, as an aggregate would hold every distinct value in one task.
     """
     by = dict(by or {})
     if where is not None:
@@ -217,24 +254,28 @@ def evaluate(
         for leaf in measure.aggregates():
             leaves.setdefault(leaf.text, leaf)
     names = {text: f"_a{i}" for i, text in enumerate(leaves)}
-    medians = {t: leaf for t, leaf in leaves.items() if leaf.fn == "MEDIAN"}
-    plain = [leaf.column().alias(names[t]) for t, leaf in leaves.items() if t not in medians]
+    apart = {fn: {t: leaf for t, leaf in leaves.items() if leaf.fn == fn} for fn in ("MEDIAN", "COUNT_DISTINCT")}
+    plain = [leaf.column().alias(names[t]) for t, leaf in leaves.items() if leaf.fn not in apart]
 
     keys = [c.alias(k) for k, c in by.items()]
     parts = []
     if plain or by:
         plain = plain or [F.count(F.lit(1)).alias("_rows")]
         parts.append(df.groupBy(*keys).agg(*plain) if by else df.agg(*plain))
-    for text, leaf in medians.items():
-        rows = df.select(*keys, leaf.rows().alias("_v"))
-        parts.append(grouped_quantiles(rows, list(by), F.col("_v"), {names[text]: 0.5}))
+    if apart["COUNT_DISTINCT"]:
+        parts.append(distinct_counts(df, by, {names[t]: leaf for t, leaf in apart["COUNT_DISTINCT"].items()}))
+    if apart["MEDIAN"]:
+        values = {names[t]: leaf.rows() for t, leaf in apart["MEDIAN"].items()}
+        keyed = df.select(*keys, *[v.alias(n) for n, v in values.items()])
+        parts.append(grouped_quantiles(keyed, list(by), {n: F.col(n) for n in values}, 0.5))
     if len(parts) == 1:
         wide = parts[0]
     else:
         wide = parts[0]
         for part in parts[1:]:
             wide = wide.unionByName(part, allowMissingColumns=True)
-        merged = [F.max(n).alias(n) for n in names.values()]
+        counted = {names[t] for t in apart["COUNT_DISTINCT"]}
+        merged = [(F.coalesce(F.max(n), F.lit(0)) if n in counted else F.max(n)).alias(n) for n in names.values()]
         wide = wide.groupBy(*by).agg(*merged) if by else wide.agg(*merged)
 
     return wide.select(
@@ -271,3 +312,15 @@ def grouped(
         return top
     whole = rows.groupBy("kpi").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.abs(F.coalesce("value", F.lit(0.0)))).alias("total"))
     return top.join(whole, "kpi").select("kpi", "dimension", "value", "rank", "segments", "total")
+
+
+def first_dimension(df: DataFrame, dimensions: Sequence[str | Column]) -> int | None:
+    """The place of the first dimension that has a value on any row: the one that a breakdown has rows for.
+
+    One reading for all of them, and none where there is no choice. Groups exist for every measure
+    of a base alike, since conditions are inside the measures.
+    """
+    if len(dimensions) < 2:
+        return 0 if dimensions else None
+    found = df.agg(*[F.max(as_column(d).isNotNull()).alias(f"d{i}") for i, d in enumerate(dimensions)]).first()
+    return next((i for i in range(len(dimensions)) if found[f"d{i}"]), None)

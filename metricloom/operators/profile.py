@@ -4,11 +4,13 @@ A profile reads the table in two ways. One wide aggregation takes everything tha
 fixed space (counts, moments, ranges). Then values are counted in long form,
 ``(column, value) -> n``, once per family of columns of a type; distinct counts, quantiles,
 outliers, top values and text tests all come from those counts, so that a regular expression
-sees each distinct text once.
+sees each distinct text once. Decimals are counted in their own type, so that all their digits
+tell them apart; long texts by fingerprint (see ``counts``).
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 from metricloom import fixed_values as fixed
 from metricloom.functions.ranks import clean_cuts, cut_sketch, exact_quantiles, with_bucket
 from metricloom.functions.text import contains_any, finite, is_padded
+from metricloom.operators.counts import SHORT, TextCounts, count_texts, holds, like_mail
 from metricloom.session import settle, together
 
 # Fixed values
@@ -41,9 +44,11 @@ def kind_of(dtype: T.DataType) -> str:
 
 
 def family_of(dtype: T.DataType) -> str:
-    """The common type a column's values are counted in; times count as microseconds."""
+    """The common type a column's values are counted in; times count as microseconds, each decimal type is its own."""
     if isinstance(dtype, (*INTEGRAL, *TEMPORAL)):
         return "bigint"
+    if isinstance(dtype, T.DecimalType):
+        return dtype.simpleString()
     return {"numeric": "double", "other": "string"}[kind_of(dtype)]
 
 
@@ -97,44 +102,48 @@ def _long(df: DataFrame, columns: list[str], family: str) -> DataFrame:
     return typed.unpivot([], [f"`{c}`" for c in columns], "column_name", "value").where(F.col("value").isNotNull())
 
 
-def _text_facts(counts: DataFrame) -> DataFrame:
+def _text_facts(texts: TextCounts) -> list[DataFrame]:
     """White space at the edges, empty text and e-mail shape, weighted by how often a text occurs."""
-    value, n, padded = F.col("value"), F.col("n"), is_padded(F.col("value"))
-    mail = value.contains("@") & value.rlike(fixed.EMAIL)
-    return counts.groupBy("column_name").agg(
+    n, padded = F.col("n"), holds("padded")
+    facts = texts.rows.groupBy("column_name").agg(
         F.sum(F.when(padded, n).otherwise(0)).alias("whitespace_count"),
-        F.min(F.when(padded, value)).alias("whitespace_example"),
-        F.sum(F.when(value == "", n).otherwise(0)).alias("empty_count"),
-        (F.sum(F.when(mail, n).otherwise(0)) / F.sum("n")).alias("email_share"),
+        F.sum(F.when(F.col("value") == "", n).otherwise(0)).alias("empty_count"),
+        (F.sum(F.when(holds("mail"), n).otherwise(0)) / F.sum("n")).alias("email_share"),
+        *([] if texts.long else [F.min(F.when(padded, F.col("value"))).alias("whitespace_example")]),
     )
+    if not texts.long:
+        return [facts]
+    example = replace(texts, rows=texts.rows.where(padded)).first(1)
+    return [facts, example.select("column_name", F.col("value").alias("whitespace_example"))]
 
 
-def _top(counts: DataFrame) -> DataFrame:
-    order = Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")
+def _top(texts: TextCounts) -> DataFrame:
     return (
-        counts.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= TOP_VALUES)
+        texts.first(TOP_VALUES, F.col("n").desc())
         .groupBy("column_name")
         .agg(F.sort_array(F.collect_list(F.struct("place", "value", F.col("n").alias("count")))).alias("t"))
         .select("column_name", F.transform("t", lambda e: F.struct(e["value"], e["count"])).alias("top_values"))
     )
 
 
-def _samples(counts: DataFrame, times: list[str]) -> DataFrame:
-    shown = F.col("value").cast("string")
-    if times:
-        moment = F.timestamp_micros(F.col("value")).cast("timestamp_ntz").cast("string")
-        shown = F.when(F.col("column_name").isin(times), moment).otherwise(shown)
-    order = Window.partitionBy("column_name").orderBy("value")
+def _samples(first: DataFrame, shown: Column) -> DataFrame:
+    """The first values of each column by ``place``."""
     return (
-        counts.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= SAMPLE_VALUES)
-        .groupBy("column_name")
+        first.groupBy("column_name")
         .agg(F.sort_array(F.collect_list(F.struct("place", shown.alias("v")))).alias("t"))
         .select("column_name", F.col("t.v").alias("sample_values"))
     )
 
 
+def _first_values(counts: DataFrame, times: list[str]) -> DataFrame:
+    shown = F.col("value").cast("string")
+    if times:
+        moment = F.timestamp_micros(F.col("value")).cast("timestamp_ntz").cast("string")
+        shown = F.when(F.col("column_name").isin(times), moment).otherwise(shown)
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+    return _samples(counts.withColumn("place", place).where(F.col("place") <= SAMPLE_VALUES), shown)
+
+
 def date_granularity(df: DataFrame, columns: list[str]) -> DataFrame:
     """Typical step between consecutive times, from whole-day gaps.
 
@@ -207,31 +216,38 @@ def semantic_hint() -> Column:
     return hint.otherwise(kind)
 
 
-def profile_columns(df: DataFrame, name: str, hint_mode: str = "substring", approximate: bool = False) -> DataFrame:
-    """One row per column. ``approximate`` swaps the value counts for sketches on huge tables."""
+def profile_columns(
+    df: DataFrame, name: str, hint_mode: str = "substring", approximate: bool = False, texts: TextCounts | None = None,
+) -> DataFrame:
+    """One row per column. ``approximate`` swaps the value counts for sketches on huge tables.
+
+    ``texts`` are the counted texts of the table's text columns, if they have been counted before.
+    """
     spark = df.sparkSession
     families: dict[str, list[str]] = {}
     for f in df.schema:
         families.setdefault(family_of(f.dataType), []).append(f.name)
     times = [f.name for f in df.schema if kind_of(f.dataType) == "temporal"]
+    others = families.pop("string", [])
 
     if approximate:
-        facts = [spark.createDataFrame(_scan(df), PASS_ONE), *_sketched(df, families)]
-        if "string" in families:
-            facts.append(_text_facts(_long(df, families["string"], "string").withColumn("n", F.lit(1))))
+        facts = [spark.createDataFrame(_scan(df), PASS_ONE), *_sketched(df)]
+        if others:
+            facts.append(_text_shares(df, others))
     else:
+        count = (lambda: texts) if texts is not None or not others else (lambda: count_texts(df, others))
         jobs = [lambda f=family, c=columns: settle(value_counts(df, c, f)) for family, columns in families.items()]
-        records, *settled = together(lambda: _scan(df), *jobs)
-        counts = dict(zip(families, settled))
+        records, texts, *settled = together(lambda: _scan(df), count, *jobs)
+        counts = dict(zip(families, settled, strict=True))
         facts = [spark.createDataFrame(records, PASS_ONE)]
+        distinct = lambda table: table.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
         for family, table in counts.items():
-            facts.append(table.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")))
-            facts.append(_samples(table, times if family == "bigint" else []))
-        if "string" in counts:
-            facts += [_top(counts["string"]), _text_facts(counts["string"])]
+            facts += [distinct(table), _first_values(table, times if family == "bigint" else [])]
+        if others:
+            facts += [distinct(texts.rows), _samples(texts.first(SAMPLE_VALUES), F.col("value")), _top(texts), *_text_facts(texts)]
         numbers = [
             t.where(~F.col("column_name").isin(times)).select("column_name", F.col("value").cast("double").alias("value"), "n")
-            for family, t in counts.items() if family in ("bigint", "double")
+            for t in counts.values()
         ]
         if any(kind_of(f.dataType) == "numeric" for f in df.schema):
             numbers = reduce(DataFrame.unionByName, numbers).where(~F.isnan("value"))
@@ -255,13 +271,13 @@ def profile_columns(df: DataFrame, name: str, hint_mode: str = "substring", appr
 def _quartiles(numbers: DataFrame) -> DataFrame:
     """Quartiles of each column; both steps bring back one row of fixed size per column."""
     spark = numbers.sparkSession
-    sketches = numbers.groupBy("column_name").agg(cut_sketch(F.col("value")).alias("cuts")).collect()
+    sketches = numbers.groupBy("column_name").agg(cut_sketch(F.col("value")).alias("cuts"), F.count(F.lit(1)).alias("rows")).collect()
     cuts = spark.createDataFrame(
         [(r["column_name"], clean_cuts(r["cuts"])) for r in sketches], "column_name string, cuts array<double>"
     )
     placed = numbers.join(F.broadcast(cuts), "column_name")
     placed = with_bucket(placed, "value", F.col("cuts")).drop("cuts")
-    found = exact_quantiles(placed, ["column_name"], QUARTILES, "nearest", few_keys=True)
+    found = exact_quantiles(placed, ["column_name"], QUARTILES, "nearest", few_keys=True, rows=max((r["rows"] for r in sketches), default=0))
     return spark.createDataFrame(found.collect(), "column_name string, q25 double, q50 double, q75 double")
 
 
@@ -277,20 +293,33 @@ def _outliers(numbers: DataFrame, quartiles: DataFrame) -> DataFrame:
     )
 
 
-def _sketched(df: DataFrame, families: dict[str, list[str]]) -> list[DataFrame]:
-    """Distinct counts and quartiles from mergeable sketches, in one pass."""
+def _sketched(df: DataFrame) -> list[DataFrame]:
+    """Distinct counts, quartiles, frequent and least values from mergeable sketches, in one pass."""
     aggs, rows = [], []
     for i, f in enumerate(df.schema):
         c = F.col(f"`{f.name}`")
-        aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
+        aggs += [F.approx_count_distinct(c).alias(f"d{i}"), F.min(c.cast("string")).alias(f"s{i}")]
         numeric = kind_of(f.dataType) == "numeric"
         quart = F.percentile_approx(c.cast("double"), list(QUARTILES.values()), 10000) if numeric else F.lit(None).cast("array<double>")
         aggs.append((quart if numeric else F.first(quart)).alias(f"q{i}"))
-        rows.append(F.struct(F.lit(f.name).alias("column_name"), F.col(f"d{i}").alias("distinct_values"),
+        text = kind_of(f.dataType) == "other"
+        frequent = F.expr(f"approx_top_k(left(cast(`{f.name}` as string), {SHORT}), {TOP_VALUES})") if text else F.lit(None).cast("array<struct<item:string,count:bigint>>")
+        aggs.append((frequent if text else F.first(frequent)).alias(f"t{i}"))
+        top = F.transform(F.filter(F.col(f"t{i}"), lambda e: e["item"].isNotNull()), lambda e: F.struct(e["item"].alias("value"), e["count"].alias("count")))
+        rows.append(F.struct(F.lit(f.name).alias("column_name"), F.col(f"d{i}").alias("distinct_values"), top.alias("top_values"),
+                             F.when(F.col(f"s{i}").isNotNull(), F.array(F.col(f"s{i}"))).alias("sample_values"),
                              *[F.col(f"q{i}")[j].alias(q) for j, q in enumerate(QUARTILES)]))
     return [df.agg(*aggs).select(F.inline(F.array(*rows)))]
 
 
+def _text_shares(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The facts of ``_text_facts`` straight from rows."""
+    value, padded = F.col("value"), is_padded(F.col("value"))
+    return _long(df, columns, "string").groupBy("column_name").agg(
+        F.count_if(padded).alias("whitespace_count"), F.min(F.when(padded, value)).alias("whitespace_example"),
+        F.count_if(value == "").alias("empty_count"), F.avg(like_mail(value).cast("int")).alias("email_share"))
+
+
 def _describe(merged: DataFrame, name: str, hint_mode: str) -> DataFrame:
     rows = F.col("row_count")
     share = lambda part: F.coalesce(F.try_divide(part * F.lit(100.0), rows), F.lit(0.0))
@@ -328,24 +357,38 @@ def _describe(merged: DataFrame, name: str, hint_mode: str) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame, name: str) -> DataFrame:
-    """Rows, and rows that repeat an earlier one exactly: ``(table_name, row_count, duplicate_row_count)``.
-
-    Rows are first counted by a 64-bit hash, so the full shuffle moves eight bytes a row. Only
-    rows whose hash repeats are then compared in full, so hash collisions cannot miscount.
-    """
-    normal = [
+def _hash_of(df: DataFrame) -> Column:
+    """64 bits of a whole row; equal rows have equal ones."""
+    return F.xxhash64(*[
         (F.col(f"`{f.name}`") + F.lit(0.0)).cast(f.dataType) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
         else F.col(f"`{f.name}`")
         for f in df.schema
-    ]
-    hashed = df.withColumn("_hash", F.xxhash64(*normal))
+    ])
+
+
+def _repeats(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows by hash, and the distinct rows that occur more than once with their number ``_n``.
+
+    The full shuffle moves eight bytes a row. Only rows whose hash repeats are then compared in
+    full, so hash collisions cannot miscount.
+    """
+    hashed = df.withColumn("_hash", _hash_of(df))
     by_hash = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = by_hash.where(F.col("_n") > 1).select("_hash")
-    suspects = hashed.join(repeated, "_hash", "left_semi")
-    extra = suspects.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    suspects = hashed.join(by_hash.where(F.col("_n") > 1).select("_hash"), "_hash", "left_semi")
+    same = suspects.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    return by_hash, same.where(F.col("_n") > 1)
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """The distinct rows that occur more than once, and how often as ``_n``."""
+    return _repeats(df)[1]
+
+
+def duplicate_rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows, and rows that repeat an earlier one exactly: ``(table_name, row_count, duplicate_row_count)``."""
+    by_hash, same = _repeats(df)
     counted = by_hash.agg(F.sum("_n").alias("row_count")).unionByName(
-        extra.agg(F.sum(F.col("_n") - 1).alias("duplicate_row_count")), allowMissingColumns=True
+        same.agg(F.sum(F.col("_n") - 1).alias("duplicate_row_count")), allowMissingColumns=True
     )
     return counted.agg(
         F.lit(name).alias("table_name"),

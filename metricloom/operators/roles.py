@@ -131,16 +131,27 @@ def returns_convention(df: DataFrame, quantity: str | None, order_id: str | None
     )
 
 
-def chart_dimensions(columns: DataFrame) -> DataFrame:
-    """Columns worth an axis: times first, then labels, the fewer values the better."""
-    label = F.col("logical_type").isin("geo", "categorical") & (F.col("distinct_count") <= fixed.MAX_AXIS_VALUES)
-    rank = (
-        F.when(F.col("logical_type") == "datetime", 0.9)
-        .when(label, 0.8 - F.least(F.lit(0.3), F.col("distinct_count") / (fixed.MAX_AXIS_VALUES * 4)))
+def _charted(columns: DataFrame, max_values: int) -> DataFrame:
+    """Times and labels with their worth as an axis, and why a column is no axis (null: it is one)."""
+    time, label = F.col("logical_type") == "datetime", F.col("logical_type").isin("geo", "categorical")
+    worth = F.when(time, 0.9).otherwise(0.8 - F.least(F.lit(0.3), F.col("distinct_count") / (max_values * 4)))
+    reason = (
+        F.when(F.col("is_candidate_pk"), "each row has a value of its own")
+        .when(label & (F.col("distinct_count") > max_values), F.format_string(f"%d distinct values, more than {max_values}", "distinct_count"))
     )
-    return columns.withColumn("confidence", F.round(rank, 4)).where(
-        F.col("confidence").isNotNull() & ~F.col("is_candidate_pk")
-    ).select("table_name", "column_name", "logical_type", "distinct_count", "confidence", "position")
+    return columns.where(time | label).withColumns({"confidence": F.round(worth, 4), "reason": reason})
+
+
+def chart_dimensions(columns: DataFrame, max_values: int = fixed.MAX_AXIS_VALUES) -> DataFrame:
+    """Columns worth an axis: times first, then labels of at most ``max_values`` values, the fewer the better."""
+    return _charted(columns, max_values).where("reason is null").select(
+        "table_name", "column_name", "logical_type", "distinct_count", "confidence", "position")
+
+
+def left_out_dimensions(columns: DataFrame, max_values: int = fixed.MAX_AXIS_VALUES) -> DataFrame:
+    """Times and labels that ``chart_dimensions`` leaves out, and why."""
+    return _charted(columns, max_values).where("reason is not null").select(
+        "table_name", "column_name", "logical_type", "distinct_count", "reason", "position")
 
 
 def unbound_notes(bindings: DataFrame) -> DataFrame:
@@ -152,8 +163,8 @@ def unbound_notes(bindings: DataFrame) -> DataFrame:
                          F.lit("'; KPIs that need it were not generated.")).alias("note"))
 
 
-def model_dimensions(columns: DataFrame) -> DataFrame:
-    chart = chart_dimensions(columns).select("table_name", "column_name")
+def model_dimensions(columns: DataFrame, max_values: int = fixed.MAX_AXIS_VALUES) -> DataFrame:
+    chart = chart_dimensions(columns, max_values).select("table_name", "column_name")
     time = F.col("logical_type") == "datetime"
     return columns.join(chart, ["table_name", "column_name"], "left_semi").orderBy("table_name", "position").select(
         "table_name", "column_name", F.col("logical_type").alias("dim_type"),
@@ -213,11 +224,15 @@ class Binding:
         return Binding({**self.roles, **overrides}, self.cancel_prefix, self.has_negative_quantity, self.dimensions)
 
 
-def bind(tables: Mapping[str, DataFrame], columns: DataFrame, overrides: Mapping[str, str] | None = None) -> Binding:
-    """Bind roles for one dataset; reads back a row per role and per dimension."""
-    rows = assign_roles(score_roles(columns)).select("role", "table_name", "column_name").collect()
+def bind(
+    tables: Mapping[str, DataFrame], columns: DataFrame, overrides: Mapping[str, str] | None = None, max_values: int = fixed.MAX_AXIS_VALUES,
+    assigned: DataFrame | None = None,
+) -> Binding:
+    """Bind roles for one dataset; reads back a row per role and per dimension. ``assigned`` are its bindings, if they are there."""
+    assigned = assign_roles(score_roles(columns)) if assigned is None else assigned
+    rows = assigned.select("role", "table_name", "column_name").collect()
     roles = {**{r["role"]: f"{r['table_name']}.{r['column_name']}" for r in rows}, **(overrides or {})}
-    dims = chart_dimensions(columns).orderBy(F.col("confidence").desc(), "table_name", "position").collect()
+    dims = chart_dimensions(columns, max_values).orderBy(F.col("confidence").desc(), "table_name", "position").collect()
     prefix, negative = None, False
     split = {r: ref.split(".", 1) for r, ref in roles.items() if r in ("quantity", "order_id")}
     for table in dict.fromkeys(t for t, _ in split.values()):

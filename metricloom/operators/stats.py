@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,8 @@ Z_LIMIT, MIN_POINTS, MIN_TREND_POINTS, MIN_SEASON_POINTS = 2.5, 4, 3, 6
 IQR_REACH, TREND_R2 = 1.5, 0.2
 PARETO_SHARE, PARETO_ITEMS = 0.8, 25
 MIN_PAIR_ROWS, KEPT_PAIRS = 10, 20
-PAIRS_PER_AGG = 60
+#: Rows whose products one step of a task takes.
+MOMENT_ROWS = 4096
 
 
 def _indexed(points: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Window]:
@@ -147,41 +148,68 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
+def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(left, right, rows, left_ss, right_ss, cross, broken) of every pair of columns, over rows where both are present.
+
+    One reading of the rows: each task keeps one square matrix of counts, sums and products of all
+    columns, less a task's own shift, and gives back a row per pair at its end. Rows of the tasks
+    are put together by their means, so that a large common offset costs no digits. ``broken``
+    counts rows whose value is not a finite number.
+    """
+    names, width = list(columns), len(columns)
+    schema = "a int, b int, n double, mean_a double, mean_b double, ss_a double, ss_b double, cross double, broken double"
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift, sums = None, np.zeros((5, width, width))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, MOMENT_ROWS):
+                part = batch.slice(lo, MOMENT_ROWS)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
+                there = np.column_stack([np.asarray(c.is_valid()) for c in part.columns])
+                odd = there & ~np.isfinite(x)
+                x[~there | odd] = 0.0
+                if shift is None:  # a value of the column itself, so that a constant column is all zeros
+                    shift = x[np.argmax(there & ~odd, axis=0), np.arange(width)]
+                x = np.where(there & ~odd, x - shift, 0.0)
+                has, bad = there.astype(float), odd.astype(float)
+                one = bad.T @ has
+                sums += [has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x, one + one.T]
+        if shift is None:
+            return
+        a, b = np.triu_indices(width, 1)
+        n, sa, sb, ssa, ssb = sums[0][a, b], sums[1][a, b], sums[1][b, a], sums[2][a, b], sums[2][b, a]
+        safe = np.maximum(n, 1)
+        out = [a.astype(np.int32), b.astype(np.int32), n, shift[a] + sa / safe, shift[b] + sb / safe,
+               ssa - sa * sa / safe, ssb - sb * sb / safe, sums[3][a, b] - sa * sb / safe, sums[4][a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=[f.split()[0] for f in schema.split(", ")])
+
+    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    pair = Window.partitionBy("a", "b")  # a row per task
+    apart = doubles.mapInArrow(moments, schema).where("n > 0").select(
+        "*", *[(F.col(f"mean_{c}") - F.max(f"mean_{c}").over(pair)).alias(f"d{c}") for c in "ab"])
+    n, da, db = F.col("n"), F.col("da"), F.col("db")
+    whole = lambda inner, x, y: F.sum(F.col(inner) + n * x * y) - F.sum(n * x) * F.sum(n * y) / F.sum(n)
+    label = F.array(*[F.lit(c) for c in names])
+    return apart.groupBy("a", "b").agg(
+        F.sum(n).cast("bigint").alias("rows"), whole("ss_a", da, da).alias("left_ss"), whole("ss_b", db, db).alias("right_ss"),
+        whole("cross", da, db).alias("cross"), F.sum("broken").cast("bigint").alias("broken"),
+    ).select(label[F.col("a")].alias("left"), label[F.col("b")].alias("right"), "rows", "left_ss", "right_ss", "cross", "broken")
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, keep: int = KEPT_PAIRS) -> DataFrame:
     """Pearson r of every pair of numeric columns over rows where both are present.
 
-    All pairs share one aggregation (wide tables: one per ``PAIRS_PER_AGG`` pairs). A column's
-    deviation is shared by all its pairs, and only taken anew against a partner with nulls. The
-    quotient is null, not an error, when a column is constant.
+    A pair with a column that is constant, or with a value that is no finite number, has none.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    if len(columns) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    present = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in columns]).first()
-    gaps = {c for c in columns if present[c] < present["_rows"]}
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGG):
-        needed: dict[str, Column] = {}
-
-        def share(kind: str, aggregate, x: str, y: str) -> Column:
-            """A per-column aggregate, limited to rows of the partner when that has nulls."""
-            value = F.col(x).cast("double")
-            name = f"{kind}:{x}" + (f":{y}" if y in gaps else "")
-            needed[name] = aggregate(F.when(F.col(y).isNotNull(), value) if y in gaps else value).alias(name)
-            return F.col(f"`{name}`")
-
-        rows = []
-        for i, (a, b) in enumerate(pairs[start:start + PAIRS_PER_AGG]):
-            needed[f"c{i}"] = F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-            deviations = share("s", F.stddev_samp, a, b) * share("s", F.stddev_samp, b, a)
-            rows.append(F.struct(
-                F.lit(a).alias("left"), F.lit(b).alias("right"), F.try_divide(F.col(f"c{i}"), deviations).alias("correlation"),
-                share("n", F.count, a, b).alias("rows")))
-        parts.append(df.agg(*needed.values()).select(F.inline(F.array(*rows))))
+    r = F.try_divide(F.col("cross"), F.sqrt("left_ss") * F.sqrt("right_ss"))
     return (
-        reduce(DataFrame.unionByName, parts)
-        .where((F.col("rows") >= MIN_PAIR_ROWS) & F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+        co_moments(df, columns)
+        .where((F.col("rows") >= MIN_PAIR_ROWS) & (F.col("broken") == 0) & (F.col("left_ss") > 0) & (F.col("right_ss") > 0))
+        .select("left", "right", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation"), "rows")
+        .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
         .orderBy(F.round(F.abs("correlation"), 12).desc(), "left", "right")  # rounding noise is no rank
         .limit(keep)
     )

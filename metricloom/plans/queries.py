@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.text import humanize, mask_value
 from metricloom.operators import (
-    audit, catalog, clean, infer, insights, joins, pii, profile, quality, roles, series, slices, stats,
+    audit, catalog, clean, counts, infer, insights, joins, pii, profile, quality, roles, series, slices, stats,
 )
 from metricloom.operators.measures import Measure, evaluate, grouped, to_long
 from metricloom.plans import suite, views
@@ -417,7 +417,7 @@ def infer_decisions(spark, folder):
 @query
 def infer_format_rates(spark, folder):
     columns = ["us_time", "eu_date", "unsure_date", "iso_time", "mixed_date"]
-    rates = infer.format_rates(profile.value_counts(text_orders(spark, folder), columns, "string"), columns)
+    rates = infer.format_rates(counts.count_texts(text_orders(spark, folder), columns).rows, columns)
     rows = [(c, f, float(r)) for c, found in rates.items() for f, r in found.items() if r]
     return rounded(spark.createDataFrame(rows, "column_name string, format string, parse_rate double"), 6, "parse_rate")
 

@@ -10,14 +10,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.fixed_values import MAX_AXIS_VALUES
 from metricloom.operators import audit, clean, insights, joins, pii, quality, roles, series, stats
 from metricloom.operators.catalog import KpiSpec, catalogue_frame, fallback, instantiate, quoted
-from metricloom.operators.infer import decisions_frame, infer_types
-from metricloom.operators.measures import SpecError, check, evaluate, grouped, to_long
+from metricloom.operators.counts import TextCounts
+from metricloom.operators.infer import decisions_frame, infer_with_counts
+from metricloom.operators.measures import SpecError, check, evaluate, first_dimension, grouped, to_long
 from metricloom.operators.profile import duplicate_rows, profile_columns, profile_tables
-from metricloom.session import checkpoint_dir, settle, settle_all, together
+from metricloom.session import checkpoint_dir, kept, settle, together
 
-SEGMENTS = 15  # segments of a KPI that are listed; shares are of all of them
+SEGMENTS = 15  # segments of a KPI that are listed if the caller names no number; shares are of all of them
 
 
 @dataclass
@@ -40,9 +42,13 @@ def _empty(df: DataFrame, schema: str) -> DataFrame:
 
 def compute_kpis(
     tables: Mapping[str, DataFrame], specs: Sequence[KpiSpec], binding: roles.Binding, run_id: str,
-    relationships: Sequence[joins.Relationship] = (),
+    relationships: Sequence[joins.Relationship] = (), segments: int = SEGMENTS,
 ) -> KpiResults:
-    """Value, series and breakdown of every KPI: one aggregation each per set of joined tables."""
+    """Value, series and breakdown of every KPI: one aggregation each per set of joined tables.
+
+    A breakdown is by the first label dimension, in the order of their worth, that has any value
+    on the joined tables.
+    """
     first = next(iter(tables.values()))
     spark = first.sparkSession
     values, points, parts, failed = [], [], [], {}
@@ -66,16 +72,18 @@ def compute_kpis(
         if date and date.split(".", 1)[0] in names:
             seen = series.time_range(tables[date.split(".", 1)[0]], F.col(f"`{date.split('.', 1)[1]}`"))
             points.append(series.kpi_series(base, measures, F.col(quoted(date)), seen=seen))
-        label = next((d for d, kind in binding.dimensions if kind != "datetime" and d.split(".", 1)[0] in names), None)
-        if label:
-            parts.append(grouped(base, measures, F.col(quoted(label)), limit=SEGMENTS, totals=True))
+        labels = [d for d, kind in binding.dimensions if kind != "datetime" and d.split(".", 1)[0] in names]
+        place = first_dimension(base, [F.col(quoted(d)) for d in labels])
+        if place is not None:
+            broken = grouped(base, measures, F.col(quoted(labels[place])), limit=segments, totals=True)
+            parts.append(broken.withColumn("dimension_name", F.lit(labels[place])))
     run = F.lit(run_id).alias("run_id")
     union = lambda frames, schema: reduce(DataFrame.unionByName, frames) if frames else _empty(first, schema)
     # Small tables (a row per KPI, point or segment) that many findings read: computed once.
-    value, line, part = settle_all(
-        union(values, "kpi string, value double"),
-        union(points, "period timestamp_ntz, kpi string, value double, partial boolean").select(run, "*"),
-        union(parts, "dimension string, kpi string, value double, rank int, segments bigint, total double").select(run, "*"),
+    value, line, part = together(
+        lambda: kept(union(values, "kpi string, value double")),
+        lambda: settle(union(points, "period timestamp_ntz, kpi string, value double, partial boolean").select(run, "*")),
+        lambda: kept(union(parts, "dimension string, kpi string, value double, rank int, segments bigint, total double, dimension_name string").select(run, "*")),
     )
     change = series.period_change(line, ["run_id", "kpi"]).drop("run_id")
     catalogue = catalogue_frame(spark, specs).withColumnRenamed("slug", "kpi")
@@ -90,10 +98,14 @@ def compute_kpis(
 
 def run_suite(
     tables: Mapping[str, DataFrame], objective: str = "", domain: str | None = None, folder: str | None = None,
-    overrides: Mapping[str, str] | None = None, run_id: str | None = None,
+    overrides: Mapping[str, str] | None = None, run_id: str | None = None, segments: int = SEGMENTS,
+    axis_values: int = MAX_AXIS_VALUES,
 ) -> dict[str, DataFrame]:
     """Infer, profile, score, clean, bind, compute, analyse and audit. Returns every artefact by name.
 
+    ``segments`` of a breakdown are listed; labels of more than ``axis_values`` values are no
+    dimensions and listed, with the reason, under ``dimensions_left_out``.
+
     Joins are found on the raw tables, KPIs are computed on the cleaned layer, which is written
     as Parquet under ``folder`` (the session's checkpoint folder when none is given).
     """
@@ -102,29 +114,27 @@ def run_suite(
     folder = f"{folder or checkpoint_dir(spark)}/{run_id}-{uuid.uuid4().hex[:12]}"  # no run overwrites another's
 
     # Types, profiles, quality
-    typed, decisions = {}, []
+    typed, texts, decisions = {}, {}, []
     for name, df in tables.items():
-        typed[name], found = infer_types(df, name)
+        typed[name], found, texts[name] = infer_with_counts(df, name)
         if any(d.action != "keep" for d in found):
             typed[name] = settle(typed[name])  # parsed once, read many times
         decisions += found
     decided = decisions_frame(spark, decisions)
-    raw_columns, raw_tables = _profile(typed)
-    relations = settle(joins.discover_joins(typed)) if len(typed) > 1 else None
-    issues = settle(quality.quality_issues(raw_columns, raw_tables, decided, relations))
+    (raw_columns, raw_tables), relations = together(
+        lambda: _profile(typed, texts), lambda: kept(joins.discover_joins(typed)) if len(typed) > 1 else None)
+    issues = kept(quality.quality_issues(raw_columns, raw_tables, decided, relations))
     scores = quality.scorecard(raw_tables, issues)
-    personal = reduce(DataFrame.unionByName, [pii.detect_pii(df, name) for name, df in typed.items()])
+    personal = reduce(DataFrame.unionByName, [pii.detect_pii(df, name, texts[name]) for name, df in typed.items()])
 
     # Cleaned layer
     plan = clean.collect_plan(issues)
     cleaned, log = clean.clean_to(typed, plan, folder)
-    changed = {step.table_name for step in plan}
-    columns = raw_columns.where(~F.col("table_name").isin(*changed))
-    if changed:  # a table no step touched keeps its profile
-        columns = columns.unionByName(_profile({n: cleaned[n] for n in changed})[0])
+    columns = kept(_cleaned_profile(raw_columns, cleaned, plan, log))
 
     # Roles and KPIs
-    binding = roles.bind(cleaned, columns, overrides)
+    bound = kept(roles.with_overrides(roles.assign_roles(roles.score_roles(columns)), columns, overrides or {}))
+    binding = roles.bind(cleaned, columns, overrides, axis_values, bound)
     if domain is None:
         names = [c for df in tables.values() for c in df.columns]
         asked = spark.createDataFrame([(objective, names)], "objective string, names array<string>")
@@ -136,15 +146,14 @@ def run_suite(
         specs = fallback(measures, [f"{k['table_name']}.{k['column_name']}" for k in keys])
     links = joins.collect_relationships(relations) if relations is not None else []
     results, (pareto, pairs, focus) = together(
-        lambda: compute_kpis(cleaned, specs, binding, run_id, links), lambda: _structure(cleaned, binding, run_id))
-    kpis = settle(results.values)
+        lambda: compute_kpis(cleaned, specs, binding, run_id, links, segments), lambda: _structure(cleaned, binding, run_id))
+    kpis = kept(results.values)
 
     # Statistics and findings
     points, keys = series.complete_points(results.series), ("run_id", "kpi")
-    trends, odd, seasons = settle_all(
-        stats.linear_trend(points, keys), stats.anomalies(points, keys), stats.peak_trough(points, keys))
+    trends, odd, seasons = together(
+        lambda: kept(stats.linear_trend(points, keys)), lambda: settle(stats.anomalies(points, keys)), lambda: kept(stats.peak_trough(points, keys)))
     run = F.lit(run_id).alias("run_id")
-    bound = roles.with_overrides(roles.assign_roles(roles.score_roles(columns)), columns, overrides or {})
     notes = _notes(decided, roles.unbound_notes(bound)).select(run, "*")
     parts = [
         insights.change_findings(kpis, trends), insights.level_findings(kpis), insights.trend_findings(kpis, trends),
@@ -154,7 +163,7 @@ def run_suite(
     ]
     parts += [insights.pareto_findings(pareto)] if pareto is not None else []
     parts += [insights.correlation_findings(pairs)] if pairs is not None else []
-    ranked = settle(insights.rank(insights.score(insights.all_findings(*parts))))
+    ranked = kept(insights.rank(insights.score(insights.all_findings(*parts))))
 
     overall = quality.run_quality(scores).select(run, "overall_score")
     evaluation = reduce(DataFrame.unionByName, [
@@ -164,7 +173,8 @@ def run_suite(
     artefacts = {
         "type_decisions": decided, "column_profile": raw_columns, "table_profile": raw_tables, "pii": personal,
         "quality_issues": issues, "quality_scores": scores, "transformations": logged, "clean_column_profile": columns,
-        "role_bindings": bound, "dimensions": roles.model_dimensions(columns), "measures": roles.model_measures(columns),
+        "role_bindings": bound, "dimensions": roles.model_dimensions(columns, axis_values),
+        "dimensions_left_out": roles.left_out_dimensions(columns, axis_values), "measures": roles.model_measures(columns),
         "kpi_values": kpis, "kpi_series": results.series, "kpi_breakdown": results.breakdown,
         "trends": trends, "anomalies": odd, "seasonality": seasons, "insights": ranked,
         "audit_events": audit.kpi_events(kpis).unionByName(audit.finding_events(ranked)),
@@ -175,15 +185,32 @@ def run_suite(
     return {**artefacts, **{k: v for k, v in optional.items() if v is not None}}
 
 
-def _profile(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _profile(tables: Mapping[str, DataFrame], texts: Mapping[str, TextCounts | None]) -> tuple[DataFrame, DataFrame]:
     """Profiles of all tables, computed once: later steps read them many times."""
     repeats = reduce(DataFrame.unionByName, [duplicate_rows(df, n) for n, df in tables.items()])
     repeats, *profiles = together(
-        lambda: settle(repeats), *[lambda n=n, df=df: settle(profile_columns(df, n)) for n, df in tables.items()])
+        lambda: kept(repeats), *[lambda n=n, df=df: kept(profile_columns(df, n, texts=texts.get(n))) for n, df in tables.items()])
     columns = reduce(DataFrame.unionByName, profiles)
     return columns, profile_tables(columns, repeats)
 
 
+def _cleaned_profile(raw: DataFrame, cleaned: Mapping[str, DataFrame], plan: Sequence[clean.Step], log: DataFrame) -> DataFrame:
+    """The profile of the cleaned layer: a column that no step changed, in a table that lost no row, keeps its own."""
+    lost = {r["table_name"] for r in log.where(F.col("operation").isin(*clean.ROW_STEPS) & (F.col("rows_affected") > 0)).collect()}
+    touched: dict[str, list[str]] = {}
+    for step in plan:
+        own = cleaned[step.table_name].columns
+        touched.setdefault(step.table_name, []).extend(own if step.table_name in lost else [c for c in own if c == step.column_name])
+    touched = {t: list(dict.fromkeys(c)) for t, c in touched.items() if c}
+    if not touched:
+        return raw
+    anew = together(*[lambda t=t, c=c: kept(profile_columns(cleaned[t].select(*[f"`{n}`" for n in c]), t)) for t, c in touched.items()])
+    places = F.create_map(*[x for t, cs in touched.items() for c in cs for x in (F.lit(f"{t}.{c}"), F.lit(cleaned[t].columns.index(c)))])
+    full = F.concat_ws(".", "table_name", "column_name")
+    found = reduce(DataFrame.unionByName, anew).withColumn("position", places[full])
+    return raw.where(~full.isin([f"{t}.{c}" for t, cs in touched.items() for c in cs])).unionByName(found)
+
+
 def _notes(decisions: DataFrame, unbound: DataFrame) -> DataFrame:
     typed = decisions.select("table_name", "column_name", F.posexplode("warnings")).select(
         F.concat_ws("/", F.lit("0"), "table_name", "column_name", F.col("pos").cast("string")).alias("place"),
@@ -197,13 +224,13 @@ def _structure(tables: Mapping[str, DataFrame], binding: roles.Binding, run_id:
     run = F.lit(run_id).alias("run_id")
     pareto, pairs, focus = None, [], None
     for name, df in tables.items():
-        label = next((d for d, k in binding.dimensions if k != "datetime" and d.startswith(f"{name}.")), None)
-        if label and measure and measure.startswith(f"{name}."):
-            dimension, column = label.split(".", 1)[1], measure.split(".", 1)[1]
+        labels = [d.split(".", 1)[1] for d, k in binding.dimensions if k != "datetime" and d.startswith(f"{name}.")]
+        if labels and measure and measure.startswith(f"{name}."):
+            dimension, column = labels[first_dimension(df, [F.col(f"`{d}`") for d in labels]) or 0], measure.split(".", 1)[1]
             top = stats.pareto(df, dimension, column)
             pareto = top.where(F.col("rank") == 1).select(
                 run, F.lit(dimension).alias("dimension_name"), F.lit(column).alias("measure_name"), "cutoff_count", "groups")
             focus = stats.row_concentration(df, dimension)
         if len(stats.numeric_columns(df)) > 1:
             pairs.append(stats.correlation_pairs(df).select(run, F.lit(name).alias("table_name"), "left", "right", "correlation"))
-    return pareto, settle(reduce(DataFrame.unionByName, pairs)) if pairs else None, focus
+    return pareto, kept(reduce(DataFrame.unionByName, pairs)) if pairs else None, focus

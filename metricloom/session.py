@@ -75,6 +75,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Bring a small result back once and give it out as a local table.
+
+    For frames of a row per table, column, role, KPI or finding, however large the data: what
+    reads them later neither computes them again nor opens files. Larger results are settled.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def together(*calls: Callable[[], Any]) -> list:
     """Run independent Spark jobs side by side, so that one's tail does not leave cores idle."""
     if len(calls) == 1:
@@ -84,6 +93,11 @@ def together(*calls: Callable[[], Any]) -> list:
         return [f.result() for f in [pool.submit(inherit(c)) for c in calls]]
 
 
+def kept_all(*frames: DataFrame) -> list[DataFrame]:
+    """Keep independent small results, computed side by side."""
+    return together(*[lambda df=df: kept(df) for df in frames])
+
+
 def settle_all(*frames: DataFrame) -> list[DataFrame]:
     """Settle independent results side by side."""
     return together(*[lambda df=df: settle(df) for df in frames])

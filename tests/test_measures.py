@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.functions.text import like_literal
+from metricloom.operators import measures
 from metricloom.operators.joins import Relationship, join_tables
 from metricloom.operators.measures import Measure, SpecError, check, evaluate, grouped
 
@@ -117,3 +118,38 @@ def test_order_of_rows_does_not_matter(spark, sales):
     shuffled = sales.repartition(5, "unit_price").alias("sales")
     m = {"a": Measure.sum(REVENUE), "d": Measure.count_distinct("invoice_no")}
     assert evaluate(sales, m).collect() == evaluate(shuffled, m).collect()
+
+
+@pytest.mark.parametrize("bits", [62, 2])
+def test_conditional_distinct_counts_match_sets(spark, monkeypatch, bits):
+    monkeypatch.setattr(measures, "MASK_BITS", bits)
+    rng = np.random.default_rng(3)
+    rows = [(int(g) if g else None, f"s{a}" if a else None, int(b), float(c), int(q)) for g, a, b, c, q in
+            zip(rng.integers(0, 4, 900), rng.integers(0, 60, 900), rng.integers(-9, 9, 900), rng.choice([0.0, -0.0, 1.5, float("nan")], 900), rng.integers(-5, 5, 900))]
+    df = spark.createDataFrame(rows, "g int, a string, b int, c double, q int").repartition(5)
+    conditions = {"all": (None, lambda q: True), "low": ("q < 0", lambda q: q < 0), "top": ("q > 3", lambda q: q > 3), "none": ("q > 99", lambda q: False), "null": ("cast(null as boolean)", lambda q: False)}
+    wanted = {f"{of}_{name}": Measure.count_distinct(of, text) for of in ("a", "b", "c", "a || b") for name, (text, _) in conditions.items()}
+    value = {"a": lambda r: r[1], "b": lambda r: r[2], "c": lambda r: "nan" if r[3] != r[3] else r[3] + 0.0, "a || b": lambda r: r[1] and f"{r[1]}{r[2]}"}
+    count = lambda rows, of, test: len({value[of](r) for r in rows if test(r[4]) and value[of](r) is not None})
+    want = lambda rows: {f"{of}_{name}": count(rows, of, test) for of in value for name, (_, test) in conditions.items()}
+    assert evaluate(df, wanted).first().asDict() == want(rows)
+    got = evaluate(df, {**wanted, "n": Measure.count()}, {"g": F.col("g")})
+    assert {r["g"]: {k: r[k] for k in wanted} for r in got.collect()} == {g: want([r for r in rows if r[0] == g]) for g in (1, 2, 3)}
+    assert evaluate(df.where("false"), wanted).first().asDict() == dict.fromkeys(wanted, 0)
+
+
+def test_conditions_of_a_distinct_count_share_one_row(spark, sales):
+    """Four conditions over two columns give each row out twice, not eight times, and no expression is expanded."""
+    found = {f"{c}{i}": Measure.count_distinct(c, f"quantity > {i}") for c in ("invoice_no", "customer_id") for i in range(4)}
+    plan = evaluate(sales, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("inline") == 1 and plan.count("LocalRelation") + plan.count("LogicalRDD") == 1
+
+
+def test_medians_of_a_base_share_their_counts(spark):
+    df = spark.createDataFrame([(i % 3, float(i), float(-i * i) if i % 5 else None) for i in range(100)], "k int, v double, w double")
+    asked = {"v": Measure.median("v"), "w": Measure.median("w", "k > 0"), "none": Measure.median("v", "k > 9")}
+    got = evaluate(df, asked).first()
+    assert got["v"] == 49.5 and got["none"] is None
+    assert got["w"] == pytest.approx(np.median([-i * i for i in range(100) if i % 5 and i % 3]))
+    by = {r["k"]: r["w"] for r in evaluate(df, asked, {"k": F.col("k")}).collect()}
+    assert by[0] is None and by[1] == pytest.approx(np.median([-i * i for i in range(1, 100, 3) if i % 5]))

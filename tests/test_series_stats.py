@@ -96,6 +96,36 @@ def test_correlation_skips_constants_and_short_pairs(spark):
     assert [(r["left"], r["right"]) for r in got] == [("a", "b")] and got[0]["correlation"] == pytest.approx(-1)
 
 
+def test_correlation_of_pairs_present_in_both(spark):
+    """Nulls pair by pair, a common offset of ten digits, values that are no numbers, many tasks."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=3000)
+    table = np.column_stack([base + rng.normal(size=3000) * k for k in range(6)]) + 3e9
+    holes = rng.random(table.shape) < 0.2
+    rows = [[None if gone else float(v) for v, gone in zip(r, g)] for r, g in zip(table, holes)]
+    rows = [[*r, 0.1, float("nan") if i == 7 else float(i), float("inf") if i == 9 else 1.0 * i * i] for i, r in enumerate(rows)]
+    names = [*(f"c{i}" for i in range(6)), "constant", "nan", "inf"]
+    got = stats.correlation_pairs(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(9), keep=99).collect()
+    # a row that is no number counts only against columns that have a value there
+    spared = {(f"c{i}", name) for i in range(6) for name, row in (("nan", 7), ("inf", 9)) if holes[row, i]}
+    assert spared and {(r["left"], r["right"]) for r in got} == spared | {(f"c{i}", f"c{j}") for i in range(6) for j in range(i + 1, 6)}
+    for r in got:
+        if r["right"] in ("nan", "inf"):
+            continue
+        a, b = int(r["left"][1]), int(r["right"][1])
+        both = ~holes[:, a] & ~holes[:, b]
+        assert r["rows"] == both.sum()
+        assert r["correlation"] == pytest.approx(np.corrcoef(table[both, a] - 3e9, table[both, b] - 3e9)[0, 1], abs=1e-6)
+
+
+def test_correlation_reads_a_wide_table_once(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    spark.createDataFrame(rng.normal(size=(50, 60)).tolist(), ", ".join(f"c{i} double" for i in range(60))).write.parquet(str(tmp_path / "t"))
+    pairs = stats.correlation_pairs(spark.read.parquet(str(tmp_path / "t")), keep=5000)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and pairs.count() == 60 * 59 // 2
+
+
 def test_row_concentration(spark):
     got = stats.row_concentration(spark.createDataFrame([("a",)] * 3 + [("b",), (None,)], "k string"), "k").first()
     assert (got["top_value"], got["share"], got["distinct_values"]) == ("a", 0.75, 2)
