@@ -232,6 +232,17 @@ def distinct_counts(df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str
     return values.groupBy(*by).agg(*counts) if by else values.agg(*counts)
 
 
+def spec_problems(df: DataFrame, measures: Mapping[str, Measure]) -> dict[str, str]:
+    """The measures that ``check`` refuses, each with the reason."""
+    found = {}
+    for name, measure in measures.items():
+        try:
+            check(df, {name: measure})
+        except SpecError as error:
+            found[name] = str(error)
+    return found
+
+
 def evaluate(
     df: DataFrame,
     measures: Mapping[str, Measure],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from metricloom import fixed_values as fixed
 from metricloom.plans import views
+from metricloom.plans.queries import catalogue
 
 SALES = f"WITH sales AS ({views.duck(views.SALES)})"
 MESSY = f"WITH orders_m AS ({views.duck(views.MESSY)})"
@@ -602,3 +603,128 @@ ORACLES["csv_read"] = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_ord
 ORACLES["layer_round_trip"] = "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 ORACLES["kpi_csv_sink"] = f"""WITH c AS ({ORACLES["kpi_catalogue"]}) SELECT name, value, unit, 'computed' AS status FROM c"""
 ORACLES["report_json_sink"] = f"""WITH c AS ({ORACLES["kpi_scalar_suite"]}) SELECT kpi, value, 'computed' AS status FROM c"""
+
+# --- Findings in words, and their ranking
+
+
+def worded(v: str) -> str:
+    """Numbers as findings give them."""
+    return (f"CASE WHEN abs({v}) >= 1000 THEN format('{{:,.0f}}', {v}) WHEN abs({v}) >= 1 THEN regexp_replace(format('{{:,.2f}}', {v}), '\\.?0+$', '') "
+            f"WHEN {v} = 0 THEN '0' ELSE format('{{:.4g}}', {v}) END")
+
+
+def percents(v: str, sign: str = "") -> str:
+    return f"printf('%{sign}.1f%%', {v} * 100)"
+
+
+_formulas = ", ".join(f"('{s.slug}', $f${s.measure.text}$f$)" for s in catalogue())
+WORDS = f"""{RUN}, formulas(kpi, formula) AS (VALUES {_formulas}),
+kk AS (SELECT k.*, formula, r2, points FROM k JOIN formulas USING (kpi) LEFT JOIN tr USING (kpi)),
+w_change AS (SELECT 'change' AS rule, kpi, priority * 100 AS position, chf.title, chf.category, chf.severity, chf.confidence, chf.comparison, chf.recommendation_basis,
+  CASE WHEN abs(change) >= {fixed.MATERIAL_MOVE} AND (change > 0) <> better THEN name || CASE WHEN change > 0 THEN ' rose ' ELSE ' fell ' END || {percents("abs(change)")} || ' in '
+      || period || ' (' || {worded("previous_value")} || ' → ' || {worded("current_value")} || '). Split both periods by segment: a move in every segment points at pricing or demand, a move in one of them at that account or channel.'
+    WHEN abs(change) >= {fixed.MATERIAL_MOVE} THEN name || ' improved ' || {percents("abs(change)")} || ' in ' || period || '. '
+      || coalesce('The fit over the whole series is R²=' || printf('%.2f', r2) || CASE WHEN r2 >= 0.5 THEN ', consistent enough to plan on. ' ELSE ', which is weak; treat the level as provisional. ' END, '')
+      || 'Compare with the same period a year earlier before calling it growth.' END AS recommendation
+  FROM chf JOIN (SELECT kpi, name, better, priority, previous_value, current_value, r2 FROM kk) USING (kpi)),
+w_trend AS (SELECT rule, kpi, priority * 100 + 1, title, category, severity, confidence, NULL::VARCHAR, recommendation_basis, NULL::VARCHAR FROM trf JOIN names USING (kpi)),
+an AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z, count(*) OVER w AS n, quantile_cont(value, 0.25) OVER w AS q1, quantile_cont(value, 0.75) OVER w AS q3
+  FROM pts WINDOW w AS (PARTITION BY kpi)),
+flagged AS (SELECT kpi, period, index, value, z, 'zscore' AS method FROM an WHERE n >= 4 AND abs(z) >= 2.5
+  UNION ALL SELECT kpi, period, index, value, NULL, 'iqr' FROM an WHERE n >= 4 AND q3 <> q1 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))),
+odd AS (SELECT * FROM flagged QUALIFY row_number() OVER (PARTITION BY kpi ORDER BY abs(coalesce(z, 0)) DESC, z IS NULL, index) = 1),
+w_anomaly AS (SELECT 'anomaly', kpi, priority * 100 + 2, 'Anomalous ' || name || ' in ' || CAST(period AS VARCHAR), 'anomaly', 'warning', CAST(0.75 AS DOUBLE), NULL::VARCHAR, method || ' outlier',
+  name || ' reached ' || {worded("odd.value")} || ' in ' || CAST(period AS VARCHAR) || ', outside the range of the other ' || greatest(coalesce(points, 1) - 1, 0) || ' periods by the ' || method
+    || ' test. Confirm the cause first: a partial load, one large order and a promotion all look like this.' FROM odd JOIN kk USING (kpi)),
+w_return AS (SELECT rule, kpi, priority * 100 + 3, title, category, severity, confidence, NULL::VARCHAR, recommendation_basis,
+  title || coalesce(', worth ' || (SELECT {worded("abs(value)")} FROM k WHERE kpi = 'returned_value' AND value <> 0), '') || '. Split them by product and by country: a few products point at listing or quality, an even spread at fulfilment or expectations.'
+  FROM ref JOIN names USING (kpi)),
+parts AS ({long(KPI, "sales WHERE country IS NOT NULL", "country AS dimension", None)}),
+sh AS (SELECT kpi, dimension, value AS part, abs(value) / nullif(sum(abs(value)) OVER w, 0) AS share, count(*) OVER w AS n, row_number() OVER (PARTITION BY kpi ORDER BY value DESC NULLS LAST, dimension) AS rank
+  FROM parts WINDOW w AS (PARTITION BY kpi)),
+w_segment AS (SELECT 'segment', kpi, priority * 100 + 4, dimension || ' accounts for ' || {percents("share")} || ' of ' || name, CASE WHEN share >= 0.6 THEN 'risk' ELSE 'finding' END,
+  CASE WHEN share >= 0.6 THEN 'warning' ELSE 'info' END, CAST(0.8 AS DOUBLE), {percents("share")} || ' of ' || n || ' segments', '{fixed.BASIS["concentration"]}',
+  dimension || ' carries ' || {percents("share")} || ' of ' || name || '. A 10% fall there takes away about ' || {worded("(part * 0.1)")}
+    || '; size that against the plan. If the concentration is not intended, look at what limits the other segments.'
+  FROM sh JOIN names USING (kpi) WHERE rank = 1 AND n >= 3 AND additivity = 'additive' AND share >= {fixed.CONCENTRATION_FLOOR}),
+w_season AS (SELECT rule, kpi, priority * 100 + 5, title, category, severity, confidence, NULL::VARCHAR, recommendation_basis,
+  CASE WHEN recommendation_basis IS NOT NULL THEN name || ' swings ' || printf('%.0f', (pv - tv) / abs(CASE WHEN tv <> 0 THEN tv ELSE pv END) * 100) || '% between ' || CAST(tp AS VARCHAR) || ' and ' || CAST(pp AS VARCHAR)
+    || '. Plan for the ' || CAST(pp AS VARCHAR) || ' peak rather than the average, and compare months with the same month a year before.' END FROM sef JOIN names USING (kpi) JOIN pk USING (kpi)),
+pg AS (SELECT country AS g, sum(quantity) AS v FROM sales WHERE country IS NOT NULL GROUP BY 1 HAVING v IS NOT NULL),
+pc AS (SELECT g, sum(v) OVER (ORDER BY v DESC, g) / (SELECT sum(v) FROM pg) AS share FROM pg),
+cut AS (SELECT count(*) FILTER (share < 0.8) + 1 AS c, count(*) AS n FROM pc),
+w_pareto AS (SELECT 'pareto', NULL::VARCHAR, 100000, c || ' of ' || n || ' country values drive 80% of quantity', 'opportunity', 'info', CAST(0.8 AS DOUBLE), NULL::VARCHAR,
+  CASE WHEN c < n THEN '{fixed.BASIS["pareto"]}' END, CASE WHEN c < n THEN c || ' of ' || n || ' country values produce 80% of quantity. Give those ' || c || ' explicit coverage and decide whether the other ' || (n - c) || ' earn their cost.' END
+  FROM cut WHERE n > 0),
+cr AS (SELECT * FROM ({_corr.replace("AS left", 'AS "left"').replace("AS right", 'AS "right"')}) WHERE rows >= 10 ORDER BY round(abs(correlation), 12) DESC, "left", "right" LIMIT 1),
+w_pairs AS (SELECT 'correlation', NULL::VARCHAR, 100001, "left" || ' and ' || "right" || ' move together (r = ' || printf('%.2f', correlation) || ')', 'finding', 'info', CAST(0.65 AS DOUBLE), NULL::VARCHAR, '{fixed.BASIS["correlation"]}',
+  "left" || ' and ' || "right" || ' move together at r=' || printf('%.2f', correlation) || '. That is association, not cause: check for a common driver such as season before forecasting one from the other.'
+  FROM cr WHERE abs(correlation) >= 0.5),
+missing AS (SELECT * FROM ({ORACLES["role_notes"]})),
+w_caveat AS (SELECT 'caveat', NULL::VARCHAR, 100012, trim(split_part(note, ':', 1)), 'quality_caveat', 'warning', CAST(1.0 AS DOUBLE), NULL::VARCHAR, '{fixed.BASIS["caveat"]}',
+  note || ' Settle this at the source before the figures are used; it is reported, not repaired.' FROM missing),
+worded AS ({union(f"SELECT * FROM w_{part}" for part in ("change", "trend", "anomaly", "return", "segment", "season", "pareto", "pairs", "caveat"))})"""
+_shown = "rule, kpi, title, category, severity, recommendation_basis, recommendation"
+ORACLES["insights_advice"] = f"{WORDS} SELECT {_shown} FROM worded"
+_level = f"SELECT kpi, name, value, unit, formula FROM k JOIN formulas USING (kpi) JOIN units USING (kpi)"
+ORACLES["insights_level"] = f"""{RUN}, formulas(kpi, formula) AS (VALUES {_formulas}), units(kpi, unit) AS (VALUES {_units})
+SELECT 'level' AS rule, kpi, name || ' is ' || {worded("value")} || ' ' || unit AS title, name || ' was computed as ' || {worded("value")} || ' using ' || formula || '.' AS description FROM ({_level})"""
+
+
+def greedy(source: str, in_all: int, per_metric: int, per_rule: int) -> str:
+    """Ranking as recursion over the findings of a run: ``source`` has run_id, nth (from 1), title, metric, basis (null: none)."""
+    bar = f"""f.title IN (SELECT unnest(titles)) OR len(list_filter(metrics, lambda m: m = f.metric)) >= {per_metric}
+      OR (f.basis IS NOT NULL AND len(list_filter(bases, lambda b: b = f.basis)) >= {per_rule}) OR len(titles) >= {in_all}"""
+    bar = bar.replace("f.title IN (SELECT unnest(titles))", "list_contains(titles, f.title)")
+    return f"""picked AS (SELECT run_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS rank, []::VARCHAR[] AS titles, []::VARCHAR[] AS metrics, []::VARCHAR[] AS bases FROM (SELECT DISTINCT run_id FROM {source})
+  UNION ALL SELECT run_id, nth, CASE WHEN NOT barred THEN len(titles) + 1 END, CASE WHEN barred THEN titles ELSE list_append(titles, title) END,
+    CASE WHEN barred THEN metrics ELSE list_append(metrics, metric) END, CASE WHEN barred OR basis IS NULL THEN bases ELSE list_append(bases, basis) END
+  FROM (SELECT f.*, titles, metrics, bases, {bar} AS barred FROM picked p JOIN {source} f ON f.run_id = p.run_id AND f.nth = p.nth + 1))"""
+
+
+_weight = lambda table, of: "CASE " + of + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0.4 END"
+_move = "coalesce(least(0.6, abs(TRY_CAST(nullif(regexp_extract(comparison, '([-+]?\\d+(?:\\.\\d+)?)%', 1), '') AS DOUBLE)) / 100), 0)"
+ORACLES["insights_ranked"] = f"""{WORDS.replace("WITH sales", "WITH RECURSIVE sales", 1)},
+sc AS (SELECT 'run-1' AS run_id, *, round({_weight(fixed.CATEGORY_WEIGHT, "category")} + {_weight(fixed.SEVERITY_WEIGHT, "severity")} + confidence * 0.5
+  + CASE WHEN recommendation IS NULL THEN 0 ELSE 0.3 END + {_move}, 9) AS score FROM worded),
+metric_of AS (SELECT sc.*, coalesce(kpi, CASE rule WHEN 'pareto' THEN 'quantity by country' WHEN 'correlation' THEN split_part(title, ' and ', 1) || ' ~ ' || split_part(split_part(title, ' and ', 2), ' move', 1) END) AS own FROM sc),
+fs AS (SELECT run_id, row_number() OVER (ORDER BY score DESC, position, title) AS nth, lower(title) AS title, coalesce(own, '#' || (row_number() OVER (ORDER BY score DESC, position, title) - 1)) AS metric, recommendation_basis AS basis,
+  rule, kpi, title AS said, score, recommendation FROM metric_of),
+{greedy("fs", fixed.MAX_FINDINGS, fixed.MAX_FINDINGS_PER_METRIC, fixed.MAX_FINDINGS_PER_RULE)}
+SELECT rank, rule, kpi, said AS title, score, recommendation, basis AS recommendation_basis FROM fs JOIN picked USING (run_id, nth) WHERE rank IS NOT NULL"""
+ORACLES["ranking_by_run"] = f"""WITH RECURSIVE fs AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, position) AS nth, lower(title) AS title, metric, basis, position FROM (
+  SELECT 'c' || o_custkey % 40 AS run_id, o_orderkey AS position, CASE WHEN o_orderkey % 2 = 0 THEN 'Finding ' ELSE 'FINDING ' END || o_orderkey % 97 AS title, 'm' || o_orderkey % 11 AS metric,
+    CASE WHEN o_orderkey % 5 <> 0 THEN 'rule ' || o_orderkey % 6 END AS basis, round(o_totalprice / 50000) AS score FROM orders)),
+{greedy("fs", fixed.MAX_FINDINGS, fixed.MAX_FINDINGS_PER_METRIC, fixed.MAX_FINDINGS_PER_RULE)}
+SELECT run_id, rank, position FROM fs JOIN picked USING (run_id, nth) WHERE rank IS NOT NULL"""
+
+# --- Types and counts that need care
+_BIG = "CAST(9007199254740993 AS DECIMAL(20, 0)) + o_orderkey"
+ORACLES["profile_decimal"] = f"""WITH d AS (SELECT CAST({_BIG} AS DECIMAL(20, 0)) AS big_id, CAST({_BIG} - o_orderkey % 7 AS DECIMAL(20, 0)) AS near, CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS total,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 11 AS DECIMAL(38, 30)) / 1000000000 END AS fine FROM orders),
+u AS ({union(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) + CAST(count(*) > count({c}) AS BIGINT) AS distinct_count, count(*) AS n, count(*) - count({c}) AS null_count, CAST(min({c}) AS VARCHAR) AS least FROM d" for c in ("big_id", "near", "total", "fine"))})
+SELECT column_name, distinct_count, null_count, distinct_count * 100.0 / n >= 99.5 AND null_count = 0 AS is_candidate_pk, least FROM u"""
+_edged = "value <> trim(value, E' \\t\\n\\r')"
+_texts = ("text", "source", "lang", "padded")
+ORACLES["profile_long_text"] = f"""WITH d AS (SELECT text, source, lang, CASE WHEN doc_id % 3 = 0 THEN '  ' || text || ' ' WHEN doc_id % 3 = 1 THEN '' END AS padded FROM documents),
+v AS ({union(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY 2" for c in _texts)}),
+top AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) <= 10),
+low AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY value) <= 5)
+SELECT column_name, count(*) AS distinct_values, CAST(coalesce(sum(n) FILTER ({_edged}), 0) AS BIGINT) AS whitespace_count, CAST(coalesce(sum(n) FILTER (value = ''), 0) AS BIGINT) AS empty_count,
+  md5(min(value) FILTER ({_edged})) AS example,
+  (SELECT md5(string_agg(value || ':' || n, '|' ORDER BY n DESC, value)) FROM top t WHERE t.column_name = v.column_name) AS top_values,
+  (SELECT md5(string_agg(value, '|' ORDER BY value)) FROM low l WHERE l.column_name = v.column_name) AS sample_values FROM v GROUP BY 1"""
+ORACLES["typed_load"] = """SELECT CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_day, round(sum(o_totalprice), 2) AS total, count(*) AS rows,
+'ordered=parse_datetime,priority=keep,total=cast_numeric' AS decisions FROM orders"""
+ORACLES["row_limit"] = """SELECT count(*) AS rows, least(count(*), 100) AS limited, least(count(*), 20) AS sampled, count(*) AS whole FROM lineitem"""
+ORACLES["spec_errors"] = """SELECT kpi, status, value FROM (VALUES ('any_case', 'computed', (SELECT count(*) FROM orders)), ('qualified', 'computed', (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))),
+('unknown_column', 'invalid_formula', NULL), ('unknown_table', 'invalid_formula', NULL), ('ambiguous', 'invalid_formula', NULL), ('no_aggregate', 'invalid_formula', NULL)) t(kpi, status, value)"""
+ORACLES["breakdown_fall_through"] = f"""{SALES}, s AS ({long(pick("net_revenue", "order_count"), "sales WHERE country IS NOT NULL", "country AS dimension", None)}),
+e AS (SELECT event_type AS dimension, 'avg_value' AS kpi, avg(value) AS value FROM events WHERE event_type IS NOT NULL GROUP BY 1),
+r AS (SELECT 'sales.country' AS dimension_name, kpi, dimension, value FROM s UNION ALL SELECT 'events.event_type', kpi, dimension, value FROM e)
+SELECT kpi, dimension_name, dimension, round(value, 2) AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY kpi ORDER BY value DESC NULLS LAST, dimension) AS rank FROM r) WHERE rank <= 7"""
+_labels = {"basket": "'c' || o_orderkey % 201", "shelf": "'d' || o_orderkey % 200", "customer_city": "'e' || o_custkey % 3", "order_day": "o_orderdate"}
+ORACLES["dimensions_left_out"] = f"""WITH u AS ({union(f"SELECT '{c}' AS column_name, count(DISTINCT {e}) AS n, count(*) AS rows FROM orders" for c, e in _labels.items())})
+SELECT column_name, CASE WHEN column_name <> 'order_day' AND n > 200 THEN n || ' distinct values, more than 200' END AS reason, CASE WHEN column_name = 'order_day' THEN CAST(0.9 AS DOUBLE)
+  WHEN n <= 200 THEN round(0.8 - least(0.3, n / 800.0), 4) END AS confidence FROM u"""
+ORACLES["csv_lines"] = """SELECT o_orderstatus, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, 'semicolon, one line a record' AS shape FROM orders GROUP BY 1"""

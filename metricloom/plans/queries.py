@@ -13,7 +13,7 @@ from metricloom.functions.text import humanize, mask_value
 from metricloom.operators import (
     audit, catalog, clean, counts, infer, insights, joins, pii, profile, quality, roles, series, slices, stats,
 )
-from metricloom.operators.measures import Measure, evaluate, grouped, to_long
+from metricloom.operators.measures import Measure, evaluate, grouped, spec_problems, to_long
 from metricloom.plans import suite, views
 from metricloom.session import checkpoint_dir, configure, settle
 from metricloom.sources import readers, writers
@@ -341,6 +341,27 @@ def profile_samples(spark, folder):
         "column_name", F.array_join("sample_values", "|").alias("sample_values"))
 
 
+@query
+def profile_decimal(spark, folder):
+    """Decimal keys that are one number as doubles."""
+    o, key = views.tables(spark, folder, "orders")["orders"], F.col("o_orderkey").cast("decimal(20,0)")
+    big = (F.lit(9007199254740993).cast("decimal(20,0)") + key).cast("decimal(20,0)")
+    fine = F.when(F.col("o_orderkey") % 3 == 0, F.expr("cast(cast(o_orderkey % 11 as decimal(5,0)) / 1000000000BD as decimal(38,30))"))
+    table = o.select(big.alias("big_id"), (big - key % 7).cast("decimal(20,0)").alias("near"), F.round("o_totalprice", 2).cast("decimal(18,2)").alias("total"), fine.alias("fine"))
+    return profile.profile_columns(table, "orders").select("column_name", "distinct_count", "null_count", "is_candidate_pk", F.col("sample_values")[0].alias("least"))
+
+
+@query
+def profile_long_text(spark, folder):
+    """Counts, frequent and least values of whole documents, which are counted by fingerprint."""
+    d = views.tables(spark, folder, "documents")["documents"]
+    padded = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), "text", F.lit(" "))).when(F.col("doc_id") % 3 == 1, "")
+    found = profile.profile_columns(d.select("text", "source", "lang", padded.alias("padded")), "documents")
+    top = F.array_join(F.transform("top_values", lambda t: F.concat(t.value, F.lit(":"), t["count"].cast("string"))), "|")
+    return found.select("column_name", (F.col("distinct_count") - (F.col("null_count") > 0).cast("int")).alias("distinct_values"), "whitespace_count", "empty_count",
+                        F.md5("whitespace_example").alias("example"), F.md5(top).alias("top_values"), F.md5(F.array_join("sample_values", "|")).alias("sample_values"))
+
+
 @query
 def profile_table(spark, folder):
     out = messy_table(spark, folder)
@@ -560,6 +581,43 @@ def chart_dimensions(spark, folder):
     return roles.chart_dimensions(sales_profile(spark, folder)).drop("position")
 
 
+@query
+def dimensions_left_out(spark, folder):
+    """Labels of 200 and of 201 values: the second is no axis, and is told with the reason."""
+    o, label = views.tables(spark, folder, "orders")["orders"], lambda head, c, n: F.concat(F.lit(head), (F.col(c) % n).cast("string"))
+    table = o.select(label("c", "o_orderkey", 201).alias("basket"), label("d", "o_orderkey", 200).alias("shelf"), label("e", "o_custkey", 3).alias("customer_city"), F.col("o_orderdate").alias("order_day"))
+    columns = settle(profile.profile_columns(table, "orders"))
+    both = roles.chart_dimensions(columns).unionByName(roles.left_out_dimensions(columns), allowMissingColumns=True)
+    return both.select("column_name", "reason", "confidence")
+
+
+@query
+def breakdown_fall_through(spark, folder):
+    """Breakdowns whose first dimension has no value on any row: the next one is taken, per set of tables."""
+    tables = {"sales": views.sales(spark, folder).withColumn("nothing", F.lit(None).cast("string")), "events": views.tables(spark, folder, "events")["events"]}
+    specs = [s for s in catalogue() if s.slug in ("net_revenue", "order_count")] + catalog.fallback([("events", "value", "AVG", None)], [])
+    bound = roles.Binding({}, "C", True, (("sales.nothing", "categorical"), ("sales.country", "geo"), ("events.event_type", "categorical")))
+    parts = suite.compute_kpis(tables, specs, bound, RUN, segments=7).breakdown
+    return whole(rounded(parts.select("kpi", "dimension_name", "dimension", "value", "rank"), 2, "value"), "rank")
+
+
+@query
+def spec_errors(spark, folder):
+    """Measures that name columns in any case, and such that name none, two or no table of theirs."""
+    t = views.tables(spark, folder, "orders", "customer")
+    customers = t["customer"].withColumnRenamed("c_name", "o_orderstatus")
+    both = joins.join_tables({"orders": t["orders"], "customer": customers}, ["orders", "customer"], STAR[:1], base="orders")
+    asked = {
+        "any_case": Measure.count("ORDERS.O_OrderKey"), "qualified": Measure.count_distinct("customer.c_custkey"), "unknown_column": Measure.sum("o_nothing"),
+        "unknown_table": Measure.sum("suppliers.o_totalprice"), "ambiguous": Measure.count("o_orderstatus"), "no_aggregate": Measure("num", 3),
+    }
+    errors = spec_problems(both, asked)
+    good = {k: m for k, m in asked.items() if k not in errors}
+    found = to_long(evaluate(both, good), [], list(good)).withColumn("status", F.lit("computed"))
+    bad = spark.createDataFrame([(k,) for k in errors], "kpi string").withColumns({"value": F.lit(None).cast("double"), "status": F.lit("invalid_formula")})
+    return found.unionByName(bad).select("kpi", "status", F.col("value").cast("bigint").alias("value"))
+
+
 @query
 def model_items(spark, folder):
     columns = sales_profile(spark, folder)
@@ -696,7 +754,33 @@ def insights_returns(spark, folder):
 @query
 def insights_ranked(spark, folder):
     ranked = insights.rank(insights.score(_findings(spark, folder)))
-    return ranked.select("rank", "rule", "kpi", "title", "score", "recommendation", "recommendation_basis")
+    return whole(ranked, "rank").select("rank", "rule", "kpi", "title", "score", "recommendation", "recommendation_basis")
+
+
+@query
+def insights_advice(spark, folder):
+    """Titles and advice of all findings in full."""
+    return _findings(spark, folder).select("rule", "kpi", "title", "category", "severity", "recommendation_basis", "recommendation")
+
+
+@query
+def insights_level(spark, folder):
+    """Without a date there is no change to tell: the plain values in words."""
+    undated = roles.Binding({k: v for k, v in BINDING.roles.items() if k != "event_date"}, BINDING.cancel_prefix, True)
+    found = suite.compute_kpis({"sales": views.sales(spark, folder)}, catalogue(), undated, RUN)
+    return insights.level_findings(found.values).select("rule", "kpi", "title", "description")
+
+
+@query
+def ranking_by_run(spark, folder):
+    """Orders as findings of forty runs: the greedy choice under all three caps."""
+    o = views.tables(spark, folder, "orders")["orders"]
+    key, text = F.col("o_orderkey"), lambda head, n: F.concat(F.lit(head), (F.col("o_orderkey") % n).cast("string"))
+    scored = o.select(
+        F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("run_id"), key.alias("position"), F.lit(None).cast("string").alias("kpi"),
+        F.when(key % 2 == 0, text("Finding ", 97)).otherwise(text("FINDING ", 97)).alias("title"), text("m", 11).alias("metric"),
+        F.when(key % 5 != 0, text("rule ", 6)).alias("recommendation_basis"), F.round(F.col("o_totalprice") / 50000).alias("score"))
+    return whole(insights.rank(scored).select("run_id", "rank", "position"), "rank")
 
 
 @query
@@ -789,8 +873,44 @@ def csv_read(spark, folder):
     path = _scratch(spark) + ".csv"
     note = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('"; x'))
     o.select("o_orderkey", note.alias("note")).write.csv(path, header=True, sep=";", quoteAll=True, escape='"')
-    bad = readers.malformed(spark, path).select("malformed_count")
-    return readers.read_table(spark, path).crossJoin(F.broadcast(bad))
+    bad = readers.malformed(spark, path).first()["malformed_count"]
+    return readers.read_table(spark, path).withColumn("malformed_count", F.lit(bad).cast("bigint"))
+
+
+@query
+def csv_lines(spark, folder):
+    """Orders as CSV without line breaks in fields: read in parts, the shape told by the quotes of its lines."""
+    o = views.tables(spark, folder, "orders")["orders"]
+    path = _scratch(spark) + ".csv"
+    o.select("o_orderkey", "o_orderstatus", F.concat(F.lit('5" x; '), "o_orderpriority").alias("note")).write.csv(path, header=True, sep=";", escape='"')
+    shape = readers.csv_shape(spark, path)
+    told = f"{'semicolon' if shape.delimiter == ';' else shape.delimiter}, {'records over lines' if shape.multi_line else 'one line a record'}"
+    return readers.read_table(spark, path).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("o_orderkey").cast("bigint")).alias("keys")).withColumn("shape", F.lit(told))
+
+
+@query
+def typed_load(spark, folder):
+    """A CSV read with its types inferred."""
+    o = views.tables(spark, folder, "orders")["orders"]
+    path = _scratch(spark) + ".csv"
+    o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), F.col("o_orderpriority").alias("priority"),
+             F.col("o_totalprice").cast("decimal(18,2)").alias("total")).write.csv(path, header=True)
+    typed, decisions = readers.read_typed(spark, path, "orders")
+    told = ",".join(sorted(f"{d.column_name}={d.action}" for d in decisions))
+    return typed.agg(F.min("ordered").cast("date").cast("string").alias("first_day"), F.max("ordered").cast("date").cast("string").alias("last_day"),
+                     F.round(F.sum("total"), 2).alias("total"), F.count(F.lit(1)).alias("rows")).withColumn("decisions", F.lit(told))
+
+
+@query
+def row_limit(spark, folder):
+    """How many rows a limited reading and a sample have, next to all."""
+    lines = f"{folder}/lineitem.parquet"
+    counts = [readers.read_table(spark, lines).agg(F.count(F.lit(1)).alias("rows")),
+              readers.read_table(spark, lines, n_rows=100).agg(F.count(F.lit(1)).alias("limited")),
+              readers.sample(readers.read_table(spark, lines)).agg(F.count(F.lit(1)).alias("sampled")),
+              readers.metadata(readers.read_table(spark, lines), "lineitem").select(F.col("row_count").alias("whole"))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts).agg(*[F.max(c).alias(c) for c in ("rows", "limited", "sampled", "whole")])
 
 
 @query

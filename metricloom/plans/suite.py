@@ -15,7 +15,7 @@ from metricloom.operators import audit, clean, insights, joins, pii, quality, ro
 from metricloom.operators.catalog import KpiSpec, catalogue_frame, fallback, instantiate, quoted
 from metricloom.operators.counts import TextCounts
 from metricloom.operators.infer import decisions_frame, infer_with_counts
-from metricloom.operators.measures import SpecError, check, evaluate, first_dimension, grouped, to_long
+from metricloom.operators.measures import SpecError, evaluate, first_dimension, grouped, spec_problems, to_long
 from metricloom.operators.profile import duplicate_rows, profile_columns, profile_tables
 from metricloom.session import checkpoint_dir, kept, settle, together
 
@@ -58,13 +58,9 @@ def compute_kpis(
         except SpecError:
             failed.update({s.slug: "invalid_formula" for s in group})
             continue
-        measures = {}
-        for s in group:
-            try:
-                check(base, {s.slug: s.measure})
-                measures[s.slug] = s.measure
-            except SpecError:
-                failed[s.slug] = "invalid_formula"
+        refused = spec_problems(base, {s.slug: s.measure for s in group})
+        failed.update(dict.fromkeys(refused, "invalid_formula"))
+        measures = {s.slug: s.measure for s in group if s.slug not in refused}
         if not measures:
             continue
         values.append(to_long(evaluate(base, measures), [], list(measures)))
