@@ -1,7 +1,7 @@
 """Exact quantiles and running totals that never put a whole column in one task.
 
-Both work the same way. A bounded sketch gives up to ``CUTS`` cut points over the values.
-The cut points only split the work: whatever they are, each value falls into one bucket,
+Both work the same way. Cut points split the values: equal parts of the range, or up to ``CUTS``
+points of a bounded sketch. They only split the work: whatever they are, each value falls into one bucket,
 buckets are ordered, and the totals per bucket (a handful of rows) tell which bucket holds a
 rank or which offset a bucket starts from. Rows are then ordered inside a bucket only. A bucket that a
 rank is looked for in is cut again, by a sketch of its own, until it holds at most ``BUCKET_ROWS``
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.session import settle
+from metricloom.session import kept, settle
 
 CUTS = 255
 SKETCH_ACCURACY = 2000
@@ -152,22 +152,34 @@ def narrowed(held: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
 
 
+def by_width(counts: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Counted values with ``_bucket``, one of CUTS + 1 equal parts of their key's range, and the rows of the largest key.
+
+    Keys are few, such as the columns of a table: a small row for each is brought back. Parts of
+    a skewed range may be very unequal; those that matter are cut again.
+    """
+    value = F.col("value")
+    ranges = kept(counts.groupBy(key).agg(
+        F.min(F.when(value * 0 == 0, value)).alias("_low"), F.max(F.when(value * 0 == 0, value)).alias("_high"), F.count(F.lit(1)).alias("_most")))
+    bucket = (F.when(value >= F.col("_high"), CUTS + 2).when(value <= F.col("_low"), 0)
+              .otherwise(F.coalesce(F.width_bucket(value, "_low", "_high", F.lit(CUTS + 1)), F.lit(0))))
+    placed = counts.join(F.broadcast(ranges), key).withColumn("_bucket", bucket).drop("_low", "_high", "_most")
+    return placed, max((r["_most"] for r in ranges.collect()), default=0)
+
+
 def grouped_quantiles(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], prob: float, method: str = "linear"
 ) -> DataFrame:
     """One exact quantile of each of several expressions per group, straight from rows: a column per expression.
 
     All expressions are counted together, ``keys + (which, value) -> n``, in one reading of the
-    rows, and the counts are written: cuts and ranks both use them.
+    rows, and the counts are written: ranges and ranks both use them.
     """
     which = [F.struct(F.lit(i).alias("_which"), v.cast("double").alias("value")) for i, v in enumerate(values.values())]
     rows = df.select(*keys, F.inline(F.array(*which))).where(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = settle(rows.groupBy(*keys, "_which", "value").agg(F.count(F.lit(1)).alias("n")))
-    # one row of fixed size per expression
-    found = counts.groupBy("_which").agg(cut_sketch(F.col("value")).alias("cuts"), F.count(F.lit(1)).alias("rows")).collect()
-    cuts = F.create_map(*[x for r in found for x in (F.lit(r["_which"]), F.lit(clean_cuts(r["cuts"])))]) if found else F.create_map()
-    placed = with_bucket(counts.withColumn("_cuts", cuts[F.col("_which")]), "value", F.col("_cuts")).drop("_cuts") if found else counts.withColumn("_bucket", F.lit(0))
-    one = exact_quantiles(placed, [*keys, "_which"], {"q": prob}, method, rows=max((r["rows"] for r in found), default=0))
+    placed, most = by_width(counts, "_which")
+    one = exact_quantiles(placed, [*keys, "_which"], {"q": prob}, method, rows=most)
     columns = [F.max(F.when(F.col("_which") == i, F.col("q"))).alias(name) for i, name in enumerate(values)]
     return one.groupBy(*keys).agg(*columns) if keys else one.agg(*columns)
 

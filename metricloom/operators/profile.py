@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom import fixed_values as fixed
-from metricloom.functions.ranks import clean_cuts, cut_sketch, exact_quantiles, with_bucket
+from metricloom.functions.ranks import by_width, exact_quantiles
 from metricloom.functions.text import contains_any, finite, is_padded
 from metricloom.operators.counts import SHORT, TextCounts, count_texts, holds, like_mail
-from metricloom.session import settle, together
+from metricloom.session import kept, settle, together
 
 # Fixed values
 TOP_VALUES, SAMPLE_VALUES, IQR_REACH = 10, 5, 1.5
@@ -269,16 +269,9 @@ def profile_columns(
 
 
 def _quartiles(numbers: DataFrame) -> DataFrame:
-    """Quartiles of each column; both steps bring back one row of fixed size per column."""
-    spark = numbers.sparkSession
-    sketches = numbers.groupBy("column_name").agg(cut_sketch(F.col("value")).alias("cuts"), F.count(F.lit(1)).alias("rows")).collect()
-    cuts = spark.createDataFrame(
-        [(r["column_name"], clean_cuts(r["cuts"])) for r in sketches], "column_name string, cuts array<double>"
-    )
-    placed = numbers.join(F.broadcast(cuts), "column_name")
-    placed = with_bucket(placed, "value", F.col("cuts")).drop("cuts")
-    found = exact_quantiles(placed, ["column_name"], QUARTILES, "nearest", few_keys=True, rows=max((r["rows"] for r in sketches), default=0))
-    return spark.createDataFrame(found.collect(), "column_name string, q25 double, q50 double, q75 double")
+    """Quartiles of each column, a row of fixed size per column."""
+    placed, most = by_width(numbers, "column_name")
+    return kept(exact_quantiles(placed, ["column_name"], QUARTILES, "nearest", few_keys=True, rows=most))
 
 
 def _outliers(numbers: DataFrame, quartiles: DataFrame) -> DataFrame:

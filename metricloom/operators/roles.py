@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -14,58 +15,42 @@ from metricloom import fixed_values as fixed
 BASE, TYPE_FITS, TYPE_ODD, EXACT_NAME, LOWEST = 0.55, 0.25, -0.2, 0.2, 0.5
 
 
-def _any_match(name: Column, patterns: list[str]) -> Column:
-    return name.rlike("|".join(f"(?:{p})" for p in patterns))
-
-
-def _score(role: str, kind: str, patterns: list[str], types, ruled_out: list[str]) -> Column:
-    """Score and reason of one role for the column in this row; null when the name does not fit."""
-    name, logical, distinct = F.lower("column_name"), F.col("logical_type"), F.col("distinct_count")
-    fits = logical.isin(*types)
-    # (condition, points, reason) in the order reasons are given
-    steps = [
-        (F.lit(True), BASE, F.concat(F.lit("name matches /"), F.coalesce(*[
-            F.when(name.rlike(p), F.lit(p)) for p in patterns]), F.lit("/"))),
-        (fits, TYPE_FITS, F.concat(F.lit("logical type "), logical)),
-        (~fits, TYPE_ODD, F.concat(F.lit("logical type "), logical, F.lit(" is unusual for this role"))),
-    ]
-    count = distinct.cast("string")
-    if kind == "identifier":
-        steps += [
-            ((distinct > 0) & (distinct < F.col("row_count")), 0.15,
-             F.concat(count, F.lit(" distinct values below the row count"))),
-            (F.col("null_pct") > 50, -0.25, F.format_string("%.1f%% null", F.col("null_pct"))),
-        ]
-    elif kind == "measure":
-        steps += [
-            (F.col("mean").isNotNull(), 0.1, F.lit("numeric statistics available")),
-            (F.col("is_candidate_pk"), -0.5, F.lit("unique per row, so it behaves like a key")),
-        ]
-    else:
-        time, many = logical == "datetime", distinct > fixed.MAX_AXIS_VALUES
-        steps += [
-            (time, 0.1, F.lit(None).cast("string")),
-            (~time & many, -0.3, F.concat(count, F.lit(" distinct values is too many to chart"))),
-            (~time & ~many, 0.1, F.concat(count, F.lit(" distinct values"))),
-        ]
-    exact = name.isin(role, role.replace("_", ""), role.replace("_id", ""))
-    steps.append((exact, EXACT_NAME, F.lit("name matches the role exactly")))
-
-    total = sum((F.when(test, points).otherwise(0.0) for test, points, _ in steps), F.lit(0.0))
-    reason = F.concat_ws("; ", *[F.when(test, text) for test, _, text in steps])
-    applies = _any_match(name, patterns) & ~_any_match(name, ruled_out)
-    return F.when(applies, F.struct(
-        F.lit(role).alias("role"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score"),
-        reason.alias("reason"),
-    ))
+def _rules() -> Column:
+    """The fixed rules as an array of rows: one set of expressions scores all of them."""
+    rows = [dict(zip(("role", "kind", "patterns", "types", "ruled_out"), (r, k, list(p), list(t), list(o)))) for r, k, p, t, o in fixed.ROLES]
+    schema = "array<struct<role:string,kind:string,patterns:array<string>,types:array<string>,ruled_out:array<string>>>"
+    return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
 def score_roles(columns: DataFrame) -> DataFrame:
-    """Candidate roles of every profiled column, one row per role that scores above the floor."""
-    rules = F.array_compact(F.array(*[_score(*rule) for rule in fixed.ROLES]))
+    """Candidate roles of every profiled column, one row per role that scores above the floor.
+
+    A role is a candidate where one of its patterns fits the name and none that rules it out.
+    """
     keep = ["table_name", "column_name", "position", "logical_type", "distinct_count", "null_pct"]
+    facts = columns.select(*keep, "row_count", "mean", "is_candidate_pk", F.lower("column_name").alias("_name"), F.inline(_rules()))
+    fit = facts.withColumn("_pattern", F.expr("get(filter(patterns, p -> _name rlike p), 0)")).where(
+        "_pattern is not null and not exists(ruled_out, p -> _name rlike p)")
+    many = f"(logical_type <> 'datetime' and distinct_count > {fixed.MAX_AXIS_VALUES})"
+    few = f"(logical_type <> 'datetime' and distinct_count <= {fixed.MAX_AXIS_VALUES})"
+    entity, measure, axis = (f"kind = '{k}'" if k else "kind not in ('identifier', 'measure')" for k in ("identifier", "measure", ""))
+    steps = [  # (condition, points, reason) in the order reasons are given
+        ("true", BASE, "concat('name matches /', _pattern, '/')"),
+        ("array_contains(types, logical_type)", TYPE_FITS, "concat('logical type ', logical_type)"),
+        ("not array_contains(types, logical_type)", TYPE_ODD, "concat('logical type ', logical_type, ' is unusual for this role')"),
+        (f"{entity} and distinct_count > 0 and distinct_count < row_count", 0.15, "concat(distinct_count, ' distinct values below the row count')"),
+        (f"{entity} and null_pct > 50", -0.25, "format_string('%.1f%% null', null_pct)"),
+        (f"{measure} and mean is not null", 0.1, "'numeric statistics available'"),
+        (f"{measure} and is_candidate_pk", -0.5, "'unique per row, so it behaves like a key'"),
+        (f"{axis} and logical_type = 'datetime'", 0.1, "cast(null as string)"),
+        (f"{axis} and {many}", -0.3, "concat(distinct_count, ' distinct values is too many to chart')"),
+        (f"{axis} and {few}", 0.1, "concat(distinct_count, ' distinct values')"),
+        ("_name in (role, replace(role, '_', ''), replace(role, '_id', ''))", EXACT_NAME, "'name matches the role exactly'"),
+    ]
+    total = " + ".join(f"case when {test} then {points}D else 0D end" for test, points, _ in steps)
+    reason = ", ".join(f"case when {test} then {text} end" for test, _, text in steps)
     return (
-        columns.select(*keep, F.inline(rules))
+        fit.withColumn("score", F.expr(f"greatest(0D, least(1D, {total}))")).withColumn("reason", F.expr(f"concat_ws('; ', {reason})"))
         .where(F.col("score") > LOWEST)
         .select("role", "table_name", "column_name", F.round("score", 4).alias("confidence"), "reason",
                 "logical_type", "distinct_count", "null_pct", "position")

@@ -15,7 +15,7 @@ from metricloom.operators import (
 )
 from metricloom.operators.measures import Measure, evaluate, grouped, spec_problems, to_long
 from metricloom.plans import suite, views
-from metricloom.session import checkpoint_dir, configure, settle
+from metricloom.session import checkpoint_dir, configure, settle, together
 from metricloom.sources import readers, writers
 from metricloom.sources.readers import metadata
 
@@ -393,7 +393,7 @@ def pii_scan(spark, folder):
         F.concat(F.lower("c_name"), F.lit("@example.com")).alias("contact"),
         F.concat(F.lit("+1 "), F.lpad(F.col("c_custkey").cast("string"), 10, "5")).alias("line"), "c_mktsegment",
         F.concat(F.lpad(F.hex("c_custkey"), 8, "0"), F.lit("-0000-4000-8000-000000000000")).alias("token"))
-    found = [pii.detect_pii(df, name) for name, df in {**t, "contacts": contacts}.items()]
+    found = together(*[lambda df=df, name=name: pii.detect_pii(df, name) for name, df in {**t, "contacts": contacts}.items()])
     return reduce(DataFrame.unionByName, found).drop("action")
 
 

@@ -121,7 +121,7 @@ def run_suite(
         lambda: _profile(typed, texts), lambda: kept(joins.discover_joins(typed)) if len(typed) > 1 else None)
     issues = kept(quality.quality_issues(raw_columns, raw_tables, decided, relations))
     scores = quality.scorecard(raw_tables, issues)
-    personal = reduce(DataFrame.unionByName, [pii.detect_pii(df, name, texts[name]) for name, df in typed.items()])
+    personal = reduce(DataFrame.unionByName, together(*[lambda n=n, df=df: pii.detect_pii(df, n, texts[n]) for n, df in typed.items()]))
 
     # Cleaned layer
     plan = clean.collect_plan(issues)
@@ -151,14 +151,14 @@ def run_suite(
         lambda: kept(stats.linear_trend(points, keys)), lambda: settle(stats.anomalies(points, keys)), lambda: kept(stats.peak_trough(points, keys)))
     run = F.lit(run_id).alias("run_id")
     notes = _notes(decided, roles.unbound_notes(bound)).select(run, "*")
-    parts = [
-        insights.change_findings(kpis, trends), insights.level_findings(kpis), insights.trend_findings(kpis, trends),
-        insights.anomaly_findings(kpis, odd, trends), insights.return_findings(kpis),
-        insights.segment_findings(kpis, results.breakdown), insights.season_findings(kpis, seasons),
-        insights.caveat_findings(notes),
-    ]
-    parts += [insights.pareto_findings(pareto)] if pareto is not None else []
-    parts += [insights.correlation_findings(pairs)] if pairs is not None else []
+    parts = together(*[call for call in (
+        lambda: insights.change_findings(kpis, trends), lambda: insights.level_findings(kpis), lambda: insights.trend_findings(kpis, trends),
+        lambda: insights.anomaly_findings(kpis, odd, trends), lambda: insights.return_findings(kpis),
+        lambda: insights.segment_findings(kpis, results.breakdown), lambda: insights.season_findings(kpis, seasons),
+        lambda: insights.caveat_findings(notes),
+        (lambda: insights.pareto_findings(pareto)) if pareto is not None else None,
+        (lambda: insights.correlation_findings(pairs)) if pairs is not None else None,
+    ) if call is not None])
     ranked = kept(insights.rank(insights.score(insights.all_findings(*parts))))
 
     overall = quality.run_quality(scores).select(run, "overall_score")
