@@ -192,7 +192,8 @@ class Items:
                 for j in np.argsort(-alike, kind="stable"):
                     k, at = int(item[own[j]]), int(start[own[j]])
                     pair = (int(np.searchsorted(first, at, "right") - 1), k)
-                    most = int(self.most[k]) if pair not in best else best[pair][1] - 1
+                    # of windows at one distance the first counts, whatever shares a step with them
+                    most = int(self.most[k]) if pair not in best else best[pair][1] - (at > best[pair][0])
                     if most >= 0 and (far := edit_distance(self.masks[k], int(n), grid[j, : size[own[j]]].tolist(), most)) <= most:
                         best[pair] = (at, far)
         for (text, k), (at, far) in sorted(best.items()):
@@ -210,7 +211,7 @@ def item_blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[tuple
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, draws: int = DRAWS, sampled: int = SAMPLED, short: bool = False) -> DataFrame:
-    """doc_id, item_id, start_word, item_words, distance: every document and item it leaks, at its best window.
+    """doc_id, item_id, start_word, item_words, distance: every document and item it leaks, at its best window, the first of equals.
 
     Defined results: null or empty texts leak nothing, nor do texts shorter than an item by more
     than the edits; a window at a border of a document may be shorter than its item; items with

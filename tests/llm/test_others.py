@@ -212,6 +212,27 @@ def test_decontamination_recall_at_full_tolerance():
         assert not lost, length
 
 
+def test_decontamination_takes_the_first_of_equal_windows(monkeypatch):
+    """What shares a step with a window does not decide between it and another at the same distance."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for length in (9, 20, 33):
+        item = [word() for _ in range(length)]
+        most = decontaminate.allowed(length)
+        text = [word() for _ in range(30)]
+        for _ in range(2):
+            copy = list(item)
+            for at in rng.sample(range(1, length - 1), most):
+                copy[at] = word()
+            text += copy + [word() for _ in range(17)]
+        seen = set()
+        for grid in (1, 64, 300, 1 << 21):
+            monkeypatch.setattr(decontaminate, "GRID", grid)
+            items = decontaminate.Items([7], [" ".join(item)], decontaminate.TOLERANCE, decontaminate.DRAWS, decontaminate.SAMPLED)
+            seen |= {tuple(f) for f in items.near(decontaminate.item_words(" ".join(text)), np.array([0, len(text)]))}
+        assert len(seen) == 1 and next(iter(seen))[2] <= 30
+
+
 def test_decontamination_at_borders_and_of_short_items(spark, tmp_path):
     item = [f"w{i}" for i in range(20)]
     texts = {1: item[1:], 2: item[:-4], 3: item[2:-2], 4: item[:-5], 5: ["a", *item[:17]], 6: [*item[3:], "b"], 7: ["so", "red", "barn", "Yes"], 8: ["red", "barns"], 9: ["yes,"], 10: []}
