@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages over the documents table, each on all that its predecessor kept.
 
-Rows that share a doc_id, or have none, are documents of their own in every stage.
+Rows that share a doc_id, or have none, are documents of their own in every stage. A null text is
+empty, texts of any length are read whole, nulls in other columns change nothing, and columns
+besides those of documents are left out; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language: texts without letters and texts more like noise than like any language."""
     _small_batches(spark)
-    docs, _ = common.rowed(docs)
+    docs, _ = common.rowed(docs.select(*COLUMNS))
     found = language_id.identify(language_id.of_documents(docs))
     return _without(docs, found.where("not kept"))
 
@@ -40,7 +42,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near-duplicates."""
     _small_batches(spark)
-    docs, _ = common.rowed(docs)
+    docs, _ = common.rowed(docs.select(*COLUMNS))
     found = minhash.near_duplicates(docs)
     return _without(docs, found.where("not kept"))
 
@@ -51,7 +53,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     The bytes of characters that a cut leaves incomplete go as well. All documents stay, some empty.
     """
     _small_batches(spark)
-    docs, _ = common.rowed(docs)
+    docs, _ = common.rowed(docs.select(*COLUMNS))
     kept = suffix_dedup.suffix_dedup(docs, text=True).select(F.col("doc_id").alias("_row"), F.col("kept").alias("text"))
     rest = docs.select("doc_id", "_doc", "lang", "source")
     rest = rest.join(kept, F.col("doc_id").eqNullSafe(F.col("_row"))).withColumn("doc_id", F.col("_doc"))
@@ -61,7 +63,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that leak a benchmark item."""
     _small_batches(spark)
-    docs, _ = common.rowed(docs)
+    docs, _ = common.rowed(docs.select(*COLUMNS))
     return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True))
 
 
