@@ -95,12 +95,13 @@ def compute_kpis(
 def run_suite(
     tables: Mapping[str, DataFrame], objective: str = "", domain: str | None = None, folder: str | None = None,
     overrides: Mapping[str, str] | None = None, run_id: str | None = None, segments: int = SEGMENTS,
-    axis_values: int = MAX_AXIS_VALUES,
+    axis_values: int = MAX_AXIS_VALUES, approximate: bool = False,
 ) -> dict[str, DataFrame]:
     """Infer, profile, score, clean, bind, compute, analyse and audit. Returns every artefact by name.
 
     ``segments`` of a breakdown are listed; labels of more than ``axis_values`` values are no
-    dimensions and listed, with the reason, under ``dimensions_left_out``.
+    dimensions and listed, with the reason, under ``dimensions_left_out``. ``approximate`` takes
+    distinct counts, quartiles and frequent values of the profiles from sketches.
 
     Joins are found on the raw tables, KPIs are computed on the cleaned layer, which is written
     as Parquet under ``folder`` (the session's checkpoint folder when none is given).
@@ -118,7 +119,7 @@ def run_suite(
         decisions += found
     decided = decisions_frame(spark, decisions)
     (raw_columns, raw_tables), relations = together(
-        lambda: _profile(typed, texts), lambda: kept(joins.discover_joins(typed)) if len(typed) > 1 else None)
+        lambda: _profile(typed, texts, approximate), lambda: kept(joins.discover_joins(typed)) if len(typed) > 1 else None)
     issues = kept(quality.quality_issues(raw_columns, raw_tables, decided, relations))
     scores = quality.scorecard(raw_tables, issues)
     personal = reduce(DataFrame.unionByName, together(*[lambda n=n, df=df: pii.detect_pii(df, n, texts[n]) for n, df in typed.items()]))
@@ -126,7 +127,7 @@ def run_suite(
     # Cleaned layer
     plan = clean.collect_plan(issues)
     cleaned, log = clean.clean_to(typed, plan, folder)
-    columns = kept(_cleaned_profile(raw_columns, cleaned, plan, log))
+    columns = kept(_cleaned_profile(raw_columns, cleaned, plan, log, approximate))
 
     # Roles and KPIs
     bound = kept(roles.with_overrides(roles.assign_roles(roles.score_roles(columns)), columns, overrides or {}))
@@ -181,16 +182,16 @@ def run_suite(
     return {**artefacts, **{k: v for k, v in optional.items() if v is not None}}
 
 
-def _profile(tables: Mapping[str, DataFrame], texts: Mapping[str, TextCounts | None]) -> tuple[DataFrame, DataFrame]:
+def _profile(tables: Mapping[str, DataFrame], texts: Mapping[str, TextCounts | None], approximate: bool) -> tuple[DataFrame, DataFrame]:
     """Profiles of all tables, computed once: later steps read them many times."""
     repeats = reduce(DataFrame.unionByName, [duplicate_rows(df, n) for n, df in tables.items()])
     repeats, *profiles = together(
-        lambda: kept(repeats), *[lambda n=n, df=df: kept(profile_columns(df, n, texts=texts.get(n))) for n, df in tables.items()])
+        lambda: kept(repeats), *[lambda n=n, df=df: kept(profile_columns(df, n, approximate=approximate, texts=texts.get(n))) for n, df in tables.items()])
     columns = reduce(DataFrame.unionByName, profiles)
     return columns, profile_tables(columns, repeats)
 
 
-def _cleaned_profile(raw: DataFrame, cleaned: Mapping[str, DataFrame], plan: Sequence[clean.Step], log: DataFrame) -> DataFrame:
+def _cleaned_profile(raw: DataFrame, cleaned: Mapping[str, DataFrame], plan: Sequence[clean.Step], log: DataFrame, approximate: bool) -> DataFrame:
     """The profile of the cleaned layer: a column that no step changed, in a table that lost no row, keeps its own."""
     lost = {r["table_name"] for r in log.where(F.col("operation").isin(*clean.ROW_STEPS) & (F.col("rows_affected") > 0)).collect()}
     touched: dict[str, list[str]] = {}
@@ -200,7 +201,7 @@ def _cleaned_profile(raw: DataFrame, cleaned: Mapping[str, DataFrame], plan: Seq
     touched = {t: list(dict.fromkeys(c)) for t, c in touched.items() if c}
     if not touched:
         return raw
-    anew = together(*[lambda t=t, c=c: kept(profile_columns(cleaned[t].select(*[f"`{n}`" for n in c]), t)) for t, c in touched.items()])
+    anew = together(*[lambda t=t, c=c: kept(profile_columns(cleaned[t].select(*[f"`{n}`" for n in c]), t, approximate=approximate)) for t, c in touched.items()])
     places = F.create_map(*[x for t, cs in touched.items() for c in cs for x in (F.lit(f"{t}.{c}"), F.lit(cleaned[t].columns.index(c)))])
     full = F.concat_ws(".", "table_name", "column_name")
     found = reduce(DataFrame.unionByName, anew).withColumn("position", places[full])

@@ -88,6 +88,42 @@ def test_two_tables(spark):
     values = {r["kpi"]: r["value"] for r in out["kpi_values"].collect()}
     assert values["net_revenue"] == sum(10.0 + i % 7 for i in range(240)) and values["unique_customers"] == 20
     assert out["join_candidates"].first()["validated"]
+    # the label of a joined table breaks its KPIs down, the one of orders does not exist
+    assert {r["dimension_name"] for r in out["kpi_breakdown"].collect()} <= {"customers.customer_city"}
+
+
+def test_breakdown_passes_over_a_dimension_without_values(spark):
+    from metricloom.operators import catalog, roles
+
+    df = spark.createDataFrame([(None, "a", 1.0), (None, "b", 2.0)] * 9, "empty string, label string, v double")
+    bound = roles.Binding({}, None, False, (("t.empty", "categorical"), ("t.label", "categorical")))
+    out = suite.compute_kpis({"t": df}, catalog.fallback([("t", "v", "SUM", None)], []), bound, "r").breakdown.collect()
+    assert [(r["dimension_name"], r["dimension"], r["value"]) for r in sorted(out, key=lambda r: r["rank"])] == [("t.label", "b", 18.0), ("t.label", "a", 9.0)]
+    none = roles.Binding({}, None, False, (("t.empty", "categorical"), ("t.empty", "geo")))
+    assert suite.compute_kpis({"t": df}, catalog.fallback([("t", "v", "SUM", None)], []), none, "r").breakdown.count() == 0
+
+
+def test_approximate_run(spark):
+    df = spark.createDataFrame([(i * 1.5, f"x{i % 4}") for i in range(60)], "alpha double, beta string")
+    out = suite.run_suite({"plain": df}, "nothing", "general", run_id="r5", approximate=True)
+    columns = {r["column_name"]: r for r in out["column_profile"].collect()}
+    assert columns["beta"]["distinct_count"] == 4 and sorted(t["value"] for t in columns["beta"]["top_values"]) == ["x0", "x1", "x2", "x3"]
+    assert out["kpi_values"].count() > 0
+
+
+def test_cleaned_profile_keeps_untouched_columns(spark, monkeypatch):
+    """Without lost rows only the columns that a step changed are profiled again, and stand in their place."""
+    from metricloom.plans import suite as plan
+
+    seen = []
+    original = plan.profile_columns
+    monkeypatch.setattr(plan, "profile_columns", lambda df, name, **kw: seen.append(df.columns) or original(df, name, **kw))
+    df = spark.createDataFrame([(i, f" l{i % 3} ", f"c{i % 4}", 1.5 * i) for i in range(90)], "k int, label string, city string, v double")
+    out = suite.run_suite({"t": df}, "nothing", "general", run_id="r4")
+    assert seen == [["k", "label", "city", "v"], ["label"]]
+    columns = {r["column_name"]: r for r in out["clean_column_profile"].collect()}
+    assert [columns[c]["position"] for c in df.columns] == [0, 1, 2, 3] and columns["label"]["whitespace_count"] == 0
+    assert out["column_profile"].where("column_name = 'label'").first()["whitespace_count"] == 90
 
 
 def test_entry(spark):
@@ -106,11 +142,11 @@ def test_query_matches_sql(spark, name):
     assert normal(queries()[name](spark, SMALL).toPandas()) == normal(con.execute(oracle_sql()[name]).df())
 
 
-def test_every_query_has_sql_but_the_ranking():
+def test_every_query_has_sql():
     from metricloom.plans.oracles import ORACLES
     from metricloom.plans.queries import QUERIES
 
-    assert set(QUERIES) - set(ORACLES) == {"insights_ranked"} and set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_quoted_line_breaks_and_ragged_lines(spark, tmp_path):
@@ -126,6 +162,35 @@ def test_quoted_line_breaks_and_ragged_lines(spark, tmp_path):
     assert df.columns == ["a", "b"] and {d.column_name for d in decisions} <= {"a", "b"}
 
 
+def test_shape_follows_quotes_over_lines_and_file_parts(spark, tmp_path):
+    """Separators inside quotes that go on over line ends do not count, wherever a file part begins."""
+    lines = ["a;b"] + [f'{i};"x,,,,\n,{i},\n,"",,"' for i in range(4000)]
+    path = write(tmp_path / "x.csv", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        shape = readers.csv_shape(spark, path)
+        assert (shape.delimiter, shape.multi_line) == (";", True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    df = readers.read_table(spark, path)
+    assert df.count() == 4000 and df.where(F.col("b") == F.concat(F.lit("x,,,,\n,"), "a", F.lit(',\n,",,'))).count() == 4000
+
+
+def test_files_of_one_line_records_are_read_in_parts(spark, tmp_path):
+    lines = ["id,note"] + [f'{i},"a ""quoted"", word {i}"' for i in range(6000)]
+    path = write(tmp_path / "x.csv", "\n".join(lines) + "\n")
+    assert not readers.csv_shape(spark, path).multi_line
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        parts, whole = readers.read_table(spark, path), readers.read_table(spark, path, multi_line=True)
+        assert parts.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_a_callers_limit_holds(spark):
     from metricloom.operators.measures import Measure
     from metricloom.operators.slices import filter_options, slice_kpi

@@ -65,6 +65,27 @@ def test_explicit_steps(spark):
     assert [r["rows_affected"] for r in log.orderBy("step").collect()] == [1, 2, 2, 2]
 
 
+def test_counts_are_aggregates_of_rows(spark, tmp_path):
+    """Copies count once, whatever the order of steps; no count comes from an accumulator, which a repeated task would add to twice."""
+    rows = [(" a", "1")] * 4 + [("a", "1")] * 2 + [("", "2"), (None, None), (None, None), (" b ", None)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(5)
+    step = lambda operation, column=None: clean.Step(operation, "t", column)
+    plans = {
+        "copies first": ([step("drop_duplicates"), step("trim_whitespace", "a"), step("empty_to_null", "a"), step("drop_all_null_rows")], [5, 2, 1, 1], 4),
+        "copies last": ([step("trim_whitespace", "a"), step("empty_to_null", "a"), step("drop_duplicates")], [5, 1, 6], 4),
+        "twice": ([step("drop_duplicates"), step("trim_whitespace", "a"), step("drop_duplicates"), step("normalize_case", "a")], [4, 2, 1, 4], 4),
+        "empty rows first": ([step("drop_all_null_rows"), step("drop_duplicates"), step("trim_whitespace", "a")], [2, 4, 2], 4),
+    }
+    for name, (plan, want, left) in plans.items():
+        cleaned, log = clean.execute_plan({"t": df}, plan)
+        written, again = clean.clean_to({"t": df}, plan, str(tmp_path / name.replace(" ", "-")))
+        counted = [r["rows_affected"] for r in log.orderBy("step").collect()]
+        assert [r["rows_affected"] for r in again.orderBy("step").collect()] == counted
+        assert sorted(map(str, written["t"].collect())) == sorted(map(str, cleaned["t"].collect()))
+        assert "CollectMetrics" not in cleaned["t"]._jdf.queryExecution().optimizedPlan().toString()
+        assert (name, counted, cleaned["t"].count()) == (name, want, left)
+
+
 def test_join_overlap_is_exact(spark):
     left = spark.createDataFrame([(i % 300, i) for i in range(900)], "customer_id int, order_id int")
     right = spark.createDataFrame([(i, f"n{i}") for i in range(100, 500)], "customer_id bigint, name string")
@@ -76,6 +97,16 @@ def test_join_overlap_is_exact(spark):
     assert not strict.first()["validated"]
 
 
+def test_many_pairs_take_several_aggregations(spark, monkeypatch):
+    names = [f"customer_id_{i}" for i in range(7)]
+    left = spark.createDataFrame([tuple(range(i, i + 7)) for i in range(50)], ", ".join(f"{n} int" for n in names))
+    right = spark.createDataFrame([tuple(range(i, i + 7)) for i in range(25, 90)], ", ".join(f"{n} int" for n in names))
+    shown = lambda: sorted(map(tuple, joins.discover_joins({"a": left, "b": right}, 0.1).collect()), key=str)
+    whole = shown()
+    monkeypatch.setattr(joins, "PAIRS_AT_ONCE", 4)
+    assert len(whole) >= 7 and shown() == whole
+
+
 def test_referential_issue(spark):
     left = spark.createDataFrame([(i,) for i in range(10)], "customer_id int")
     right = spark.createDataFrame([(i,) for i in range(3, 10)], "customer_id int")

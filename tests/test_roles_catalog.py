@@ -75,3 +75,13 @@ def test_domain(spark):
     df = spark.createDataFrame(rows, "objective string, names array<string>")
     got = [r["domain"] for r in roles.infer_domain(df, F.col("objective"), F.col("names")).collect()]
     assert got == ["telecommunications", "ecommerce", "general", "retail"]
+
+
+def test_axes_by_parameter_and_reasons(spark):
+    rows = [("t", "few", "geo", 3, False, 0), ("t", "many", "categorical", 201, False, 1), ("t", "key", "geo", 9, True, 2), ("t", "day", "datetime", 999, False, 3), ("t", "text", "text", 5, False, 4)]
+    columns = spark.createDataFrame(rows, "table_name string, column_name string, logical_type string, distinct_count long, is_candidate_pk boolean, position int")
+    names = lambda df: {r["column_name"] for r in df.collect()}
+    assert names(roles.chart_dimensions(columns)) == {"few", "day"} and names(roles.chart_dimensions(columns, 300)) == {"few", "many", "day"}
+    assert {r["column_name"]: r["reason"] for r in roles.left_out_dimensions(columns).collect()} == {
+        "many": "201 distinct values, more than 200", "key": "each row has a value of its own"}
+    assert names(roles.left_out_dimensions(columns, 2)) == {"few", "many", "key"}
