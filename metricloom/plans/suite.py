@@ -120,9 +120,10 @@ def run_suite(
     decided = decisions_frame(spark, decisions)
     (raw_columns, raw_tables), relations = together(
         lambda: _profile(typed, texts, approximate), lambda: kept(joins.discover_joins(typed)) if len(typed) > 1 else None)
-    issues = kept(quality.quality_issues(raw_columns, raw_tables, decided, relations))
-    scores = quality.scorecard(raw_tables, issues)
-    personal = reduce(DataFrame.unionByName, together(*[lambda n=n, df=df: pii.detect_pii(df, n, texts[n]) for n, df in typed.items()]))
+    issues, *personal = together(
+        lambda: kept(quality.quality_issues(raw_columns, raw_tables, decided, relations)),
+        *[lambda n=n, df=df: pii.detect_pii(df, n, texts[n]) for n, df in typed.items()])
+    scores, personal = quality.scorecard(raw_tables, issues), reduce(DataFrame.unionByName, personal)
 
     # Cleaned layer
     plan = clean.collect_plan(issues)
@@ -162,21 +163,26 @@ def run_suite(
     ) if call is not None])
     ranked = kept(insights.rank(insights.score(insights.all_findings(*parts))))
 
+    # The rest is planned side by side and computed when it is asked for
     overall = quality.run_quality(scores).select(run, "overall_score")
-    evaluation = reduce(DataFrame.unionByName, [
-        audit.formula_validity(kpis), audit.groundedness(ranked), audit.hallucination_rate(ranked),
-        audit.type_resolution(decided), audit.binding_rate(kpis), audit.baseline_lift(kpis, columns)])
     logged = log.select(run, "*")
+    evaluation = (
+        lambda: audit.formula_validity(kpis), lambda: audit.groundedness(ranked), lambda: audit.hallucination_rate(ranked),
+        lambda: audit.type_resolution(decided), lambda: audit.binding_rate(kpis), lambda: audit.baseline_lift(kpis, columns))
+    planned = {
+        "dimensions": lambda: roles.model_dimensions(columns, axis_values), "dimensions_left_out": lambda: roles.left_out_dimensions(columns, axis_values),
+        "measures": lambda: roles.model_measures(columns), "verdict": lambda: audit.verdict(kpis, overall),
+        "audit_events": lambda: audit.kpi_events(kpis).unionByName(audit.finding_events(ranked)),
+        "explanations": lambda: audit.explanations(kpis, logged, notes), "lineage_nodes": lambda: audit.lineage_nodes(kpis),
+        "lineage_edges": lambda: audit.lineage_edges(kpis),
+    }
+    frames = together(*planned.values(), *evaluation)
     artefacts = {
         "type_decisions": decided, "column_profile": raw_columns, "table_profile": raw_tables, "pii": personal,
-        "quality_issues": issues, "quality_scores": scores, "transformations": logged, "clean_column_profile": columns,
-        "role_bindings": bound, "dimensions": roles.model_dimensions(columns, axis_values),
-        "dimensions_left_out": roles.left_out_dimensions(columns, axis_values), "measures": roles.model_measures(columns),
+        "quality_issues": issues, "quality_scores": scores, "transformations": logged, "clean_column_profile": columns, "role_bindings": bound,
         "kpi_values": kpis, "kpi_series": results.series, "kpi_breakdown": results.breakdown,
         "trends": trends, "anomalies": odd, "seasonality": seasons, "insights": ranked,
-        "audit_events": audit.kpi_events(kpis).unionByName(audit.finding_events(ranked)),
-        "verdict": audit.verdict(kpis, overall), "explanations": audit.explanations(kpis, logged, notes),
-        "lineage_nodes": audit.lineage_nodes(kpis), "lineage_edges": audit.lineage_edges(kpis), "evaluation": evaluation,
+        **dict(zip(planned, frames)), "evaluation": reduce(DataFrame.unionByName, frames[len(planned):]),
     }
     optional = {"join_candidates": relations, "pareto": pareto, "correlations": pairs, "concentration": focus}
     return {**artefacts, **{k: v for k, v in optional.items() if v is not None}}
