@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from metricloom.llm import common
 
 WIDTH, END = 2048, 1
-#: Words kept per generation of a worker's lookup; two generations at most.
+#: Words kept per generation of a worker's lookup, if the caller names no number; two generations at most.
 KNOWN = 400_000
 #: Token ids of a text are written in rows of at most this many, so that no row grows with its text.
 ROW = 1 << 20
@@ -42,16 +42,16 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PR
 
 
 class Lookup(dict):
-    """Values made on demand and kept for a while: at most two generations of KNOWN."""
+    """Values made on demand and kept for a while: at most two generations of `known`."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, known: int):
+        self.make, self.known, self.old = make, known, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= KNOWN:
+        if len(self) >= self.known:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -67,7 +67,8 @@ class WordIds:
     white space, which the tokenizer splits itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int | None = None):
+        known = known or KNOWN
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,15 +80,15 @@ class WordIds:
             shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(_BYTES)
             return array("I", [t.id for t in tokenize(shown)]).tobytes()
 
-        pieces = Lookup(piece)
-        self.latin = Lookup(lambda word: b"".join([pieces[p] for p in _PIECE.findall(word.lower())]))
-        self.words = Lookup(lambda word: array("I", whole.encode(word, add_special_tokens=False).ids).tobytes())
+        pieces = Lookup(piece, known)
+        self.latin = Lookup(lambda word: b"".join([pieces[p] for p in _PIECE.findall(word.lower())]), known)
+        self.words = Lookup(lambda word: array("I", whole.encode(word, add_special_tokens=False).ids).tobytes(), known)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self.words.__getitem__, _SPACE.split(t)) if _OTHER.search(t) else map(self.latin.__getitem__, t.split())) for t in texts]
 
 
-def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end: int = END, known: int | None = None) -> DataFrame:
     """(doc_id, part, at, start, doc_tokens, ids): ids of each document with `end` last, as 32-bit bytes.
 
     `at` is the offset within the part, `start` the offset within the document; long documents
@@ -99,7 +100,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         # of this task only: a worker that goes on to other work should not hold it
-        ids_of = WordIds(path)
+        ids_of = WordIds(path, known)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             # blocks by length, so that a batch of long texts is not held as tokens at once
@@ -118,13 +119,15 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         encode, "doc_id long, part int, at long, start long, doc_tokens long, ids binary")
 
 
-def packed(docs: DataFrame, path: str, width: int = WIDTH, end: int = END) -> DataFrame:
+def packed(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, known: int | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit little-endian bytes).
 
+    `known` words are remembered by a worker (KNOWN if none is named): fewer take less memory and more time, the ids are the same.
+
     Defined results: a null or empty text is the end token alone; a null doc_id stays null; rows
     that repeat a doc_id are packed each on its own; other columns are ignored; no rows, no pieces.
     """
-    rows = common.settle(tokenized(docs, path, end))
+    rows = common.settle(tokenized(docs, path, end, known))
     # one row per task of the first pass
     totals = rows.groupBy("part").agg(F.sum(F.length("ids") / 4).cast("long").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
