@@ -13,6 +13,8 @@ from metricloom.llm import common, decontaminate, language_id, minhash, packing,
 from metricloom.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words a worker of the packing stage remembers; what it takes up stays with the worker, which goes on to other work.
+KNOWN_WORDS = 100_000
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -70,7 +72,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts into sequences of 2048 tokens: one row per piece, as operator 10 gives them."""
     _small_batches(spark)
-    return packing.packed(docs, tokenizer_path()).drop("ids")
+    return packing.packed(docs, tokenizer_path(), known=KNOWN_WORDS).drop("ids")
 
 
 STAGES = [
