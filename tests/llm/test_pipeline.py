@@ -79,7 +79,8 @@ def test_stages(spark, folder, corpus):
 
 def test_stages_of_odd_documents(spark, odd, nothing, folder):
     clash = {c: F.lit(7) for c in ("_gone", "_doc", "_row", "_tie", "kept", "part", "at", "h")}
-    for docs, left in ((odd, 2), (nothing, 0)):
+    words = odd.withColumn("text", F.translate("text", "0123456789", "abcdefghij"))
+    for docs, left in ((words, 2), (odd, 0), (nothing, 0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs.withColumns(clash), folder)
             if name != "packing":
