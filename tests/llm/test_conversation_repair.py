@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 import zlib
-from itertools import groupby
 
 import numpy as np
 import pytest
