@@ -91,13 +91,3 @@ def together(*calls: Callable[[], Any]) -> list:
     inherit = inheritable_thread_target(SparkSession.active())  # job groups and other local settings
     with ThreadPoolExecutor(max_workers=min(4, len(calls))) as pool:
         return [f.result() for f in [pool.submit(inherit(c)) for c in calls]]
-
-
-def kept_all(*frames: DataFrame) -> list[DataFrame]:
-    """Keep independent small results, computed side by side."""
-    return together(*[lambda df=df: kept(df) for df in frames])
-
-
-def settle_all(*frames: DataFrame) -> list[DataFrame]:
-    """Settle independent results side by side."""
-    return together(*[lambda df=df: settle(df) for df in frames])
