@@ -96,6 +96,34 @@ def test_ranking_caps_interact(spark):
     assert got[:5] == [0, 1, 3, 4, 7] and len(got) == 24
 
 
+@pytest.mark.parametrize("turns", [1, 3, 512])
+def test_ranking_in_rounds_is_the_fold(spark, monkeypatch, turns):
+    import random
+
+    monkeypatch.setattr(insights, "TURNS", turns)
+    rng = random.Random(turns)
+    rows = [(rng.choice(["r", "q", None]), rng.randrange(40), rng.choice(["A", "a", "B", "c", "D", "e", None]), rng.choice([None, "", "k1", "k2", "k3"]), rng.choice([None, "m"]),
+             rng.choice([None, "", "x", "y", "z"]), float(rng.randrange(4))) for _ in range(120)]
+    df = spark.createDataFrame(rows, "run_id string, position int, title string, kpi string, metric string, recommendation_basis string, score double")
+    nulls = lambda row: tuple((x is not None, x if x is not None else 0) for x in row)
+    want, reasons = [], []
+    for run in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == run), key=lambda r: (-r[6], r[1], nulls(r[2:3]), nulls(r))):
+            title, metric, basis = r[2] and r[2].lower(), r[3] or r[4] or None, r[5] or ""
+            reason = ("same title" if title is not None and title in [k[0] for k in kept]
+                      else "enough of its metric" if metric and [k[1] for k in kept].count(metric) >= 3
+                      else "enough of its rule" if basis and [k[2] for k in kept].count(basis) >= 2
+                      else "enough findings" if len(kept) >= 6 else None)
+            if reason is None:
+                kept.append((title, metric, basis))
+                want.append((*r, len(kept)))
+            reasons.append((*r, reason, None if reason else len(kept)))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, insights.rank(df, in_all=6).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, insights.rank(df, in_all=6, left_out=True).collect()), key=key) == sorted(reasons, key=key)
+
+
 def test_score(spark):
     got = insights.score(insights.change_findings(frame(spark, kpi(change=0.25)), trends(spark))).first()["score"]
     assert got == pytest.approx(0.6 + 0.75 + 0.85 * 0.5 + 0.3 + 0.25)
