@@ -31,3 +31,13 @@ def test_the_sales_view_is_joined_once_a_query(spark, folder, monkeypatch):
     assert queries.QUERIES["insights_advice"](spark, folder).count() > 0
     assert len(joined) == 1 and len(read) == 2
     assert all("/settled-" in f for df in read for f in df.inputFiles())
+
+
+def test_the_sales_view_writes_factors_and_has_the_rows_of_its_sql(spark, folder):
+    """What is written are the tables' own columns; the view's text and the joins in another order give the same rows."""
+    written = []
+    found = views.sales(spark, folder, lambda joined: written.append(joined) or joined)
+    assert not {"unit_price", "cost", "discount", "freight", "order_id"} & set(written[0].columns)
+    told = views.view(spark, folder, views.SALES)
+    assert found.schema == told.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, told.collect())) != []
