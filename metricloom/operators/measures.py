@@ -6,16 +6,21 @@ A ``Measure`` is built from Spark SQL expressions (text or ``Column``) and combi
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.functions.ranks import grouped_quantiles
 from metricloom.functions.text import finite
+from metricloom.session import together
 
 ADDITIVE, SEMI_ADDITIVE, NON_ADDITIVE = "additive", "semi_additive", "non_additive"
 _RANK = {ADDITIVE: 0, SEMI_ADDITIVE: 1, NON_ADDITIVE: 2}
@@ -196,14 +201,16 @@ def check(df: DataFrame, measures: Mapping[str, Measure]) -> None:
 
 #: Conditions one mask of a distinct count holds; an expression with more takes several masks.
 MASK_BITS = 62
+#: Masks for the groups of one grouping; a grouping that needs more is counted by itself.
+GROUP_WORDS = 8
 
 
-def distinct_counts(df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str, Aggregate]) -> DataFrame:
-    """Distinct values of expressions under conditions, per group: a column per name.
+def _given_out(
+    df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str, Aggregate], numbered: Callable[[DataFrame], DataFrame] = lambda picked: picked,
+) -> tuple[list[list[tuple[str, Aggregate]]], list, DataFrame]:
+    """Aggregates by expression, the types of these, and rows ``by + (_of, _t0, ..., _mask)``, one per row and expression.
 
-    First every (group, expression, value) gets a mask that tells which conditions it was met
-    under, then set bits are counted per group. A row is given out once per expression, however
-    many conditions count it, and a group of any size is spread by its values.
+    ``numbered`` may change the columns of ``by`` before rows are given out.
     """
     sources: dict[str, list[tuple[str, Aggregate]]] = {}
     for name, leaf in wanted.items():
@@ -215,7 +222,7 @@ def distinct_counts(df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str
                 for i, (_, leaf) in enumerate(lot)]
         columns.append((F.lit(1) if lot[0][1].of is None else as_column(lot[0][1].of)).alias(f"_v{j}"))
         masks.append(F.when(columns[j].isNotNull(), reduce(Column.__add__, bits)).otherwise(0).alias(f"_m{j}"))
-    picked = df.select(*[c.alias(k) for k, c in by.items()], *columns, *masks)
+    picked = numbered(df.select(*[c.alias(k) for k, c in by.items()], *columns, *masks))
     # expressions of one type share a column
     types = list(dict.fromkeys(picked.schema[f"_v{j}"].dataType for j in range(len(lots))))
     given = [
@@ -223,7 +230,18 @@ def distinct_counts(df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str
                  *[(F.col(f"_v{j}") if t == picked.schema[f"_v{j}"].dataType else F.lit(None).cast(t)).alias(f"_t{k}") for k, t in enumerate(types)])
         for j in range(len(lots))
     ]
-    rows = picked.select(*by, F.inline(F.array(*given))).where("_mask <> 0")
+    left = [c for c in picked.columns if c not in {f"_{x}{j}" for x in "vm" for j in range(len(lots))}]
+    return lots, types, picked.select(*left, F.inline(F.array(*given))).where("_mask <> 0")
+
+
+def distinct_counts(df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str, Aggregate]) -> DataFrame:
+    """Distinct values of expressions under conditions, per group: a column per name.
+
+    First every (group, expression, value) gets a mask that tells which conditions it was met
+    under, then set bits are counted per group. A row is given out once per expression, however
+    many conditions count it, and a group of any size is spread by its values.
+    """
+    lots, types, rows = _given_out(df, by, wanted)
     values = rows.groupBy(*by, "_of", *[f"_t{k}" for k in range(len(types))]).agg(F.bit_or("_mask").alias("_mask"))
     counts = [
         F.count_if((F.col("_of") == j) & (F.col("_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0)).alias(name)
@@ -232,6 +250,68 @@ def distinct_counts(df: DataFrame, by: Mapping[str, Column], wanted: Mapping[str
     return values.groupBy(*by).agg(*counts) if by else values.agg(*counts)
 
 
+def distinct_counts_by(df: DataFrame, groupings: Sequence[Mapping[str, Column]], wanted: Mapping[str, Aggregate]) -> list[DataFrame]:
+    """``distinct_counts`` of several groupings of no key or one, in one shuffle of a row per distinct value.
+
+    Groups are numbered, and each value gets masks that tell the groups and conditions it was met
+    in. A grouping of more groups than GROUP_WORDS masks can hold is counted by itself.
+    """
+    keys = [next(iter(by.items()), None) for by in groupings]
+    width = min(MASK_BITS, max(Counter(str(leaf.of) for leaf in wanted.values()).values()))
+    a_word = MASK_BITS // width
+    few = lambda name, c: df.select(c.alias(name)).where(F.col(name).isNotNull()).distinct().limit(GROUP_WORDS * a_word + 1)
+    found = together(*[lambda k=k: few(*k).toArrow() if k else None for k in keys])
+    shared = [i for i, t in enumerate(found) if t is None or t.num_rows <= GROUP_WORDS * a_word]
+    spark, numbers = df.sparkSession, {}
+    for i in shared:
+        if keys[i]:
+            named = df.select(keys[i][1].alias(f"_k{i}")).schema.add(f"_g{i}", T.IntegerType())
+            numbers[i] = spark.createDataFrame(pa.table({f"_k{i}": found[i].column(0), f"_g{i}": pa.array(range(found[i].num_rows), pa.int32())}), named)
+
+    def numbered(picked: DataFrame) -> DataFrame:
+        for i, table in numbers.items():
+            picked = picked.join(F.broadcast(table), f"_k{i}", "left").drop(f"_k{i}")
+        return picked
+
+    lots, types, rows = _given_out(df, {f"_k{i}": keys[i][1] for i in numbers}, wanted, numbered)
+    places = [(i, w) for i in shared for w in range(1 if found[i] is None else -(-found[i].num_rows // a_word))]
+    words = [F.expr(f"case when _g{i} div {a_word} = {w} then shiftleft(_mask, _g{i} % {a_word} * {width}) else 0L end" if keys[i] else "_mask") for i, w in places]
+    values = rows.groupBy("_of", *[f"_t{k}" for k in range(len(types))]).agg(*[F.bit_or(c).alias(f"_w{j}") for j, c in enumerate(words)])
+
+    of_all, word_all = len(lots), len(places)  # all that the tasks need
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((of_all, word_all, MASK_BITS), dtype=np.int64)
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for p in range(word_all):
+                word = batch.column(p + 1).to_numpy()
+                for j in range(of_all):
+                    own = word[(of == j) & (word != 0)]
+                    any_of = int(np.bitwise_or.reduce(own)) if len(own) else 0
+                    for bit in (b for b in range(MASK_BITS) if any_of >> b & 1):
+                        sums[j, p, bit] += np.count_nonzero(own & (1 << bit))
+        at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([*[pa.array(a.astype(np.int32)) for a in at], pa.array(sums[at])], names=["j", "p", "bit", "n"])
+
+    told = values.select("_of", *[f"_w{j}" for j in range(len(places))]).mapInArrow(tally, "j int, p int, bit int, n bigint")
+    counts: dict[int, dict[int, dict[str, int]]] = {i: {} for i in shared}
+    for r in told.groupBy("j", "p", "bit").agg(F.sum("n").alias("n")).collect():  # a row per group and aggregate
+        i, w = places[r["p"]]
+        counts[i].setdefault(w * a_word + r["bit"] // width, {})[lots[r["j"]][r["bit"] % width][0]] = r["n"]
+    out = []
+    for i, by in enumerate(groupings):
+        if i not in counts:
+            out.append(distinct_counts(df.where(keys[i][1].isNotNull()), by, wanted))
+            continue
+        named = df.select(*[c.alias(k) for k, c in by.items()]).schema if by else T.StructType()
+        groups = sorted(counts[i]) if by else [0]
+        columns = {**({keys[i][0]: found[i].column(0).take(pa.array(groups, pa.int64()))} if by else {}),
+                   **{n: pa.array([counts[i].get(g, {}).get(n, 0) for g in groups], pa.int64()) for n in wanted}}
+        out.append(spark.createDataFrame(pa.table(columns), reduce(lambda s, n: s.add(n, T.LongType()), wanted, named)))
+    return out
+
+
 def spec_problems(df: DataFrame, measures: Mapping[str, Measure]) -> dict[str, str]:
     """The measures that ``check`` refuses, each with the reason."""
     found = {}
@@ -243,16 +323,33 @@ def spec_problems(df: DataFrame, measures: Mapping[str, Measure]) -> dict[str, s
     return found
 
 
+def _leaves(measures: Mapping[str, Measure]) -> tuple[dict[str, Aggregate], dict[str, str]]:
+    """The aggregates of measures by their text, each once, and a column name for each."""
+    leaves: dict[str, Aggregate] = {}
+    for measure in measures.values():
+        for leaf in measure.aggregates():
+            leaves.setdefault(leaf.text, leaf)
+    return leaves, {text: f"_a{i}" for i, text in enumerate(leaves)}
+
+
+def distinct_leaves(measures: Mapping[str, Measure]) -> dict[str, Aggregate]:
+    """The distinct counts that measures need, by the names ``evaluate`` has for them."""
+    leaves, names = _leaves(measures)
+    return {names[t]: leaf for t, leaf in leaves.items() if leaf.fn == "COUNT_DISTINCT"}
+
+
 def evaluate(
     df: DataFrame,
     measures: Mapping[str, Measure],
     by: Mapping[str, Column] | None = None,
     where: Column | None = None,
+    distinct: DataFrame | None = None,
 ) -> DataFrame:
     """All measures over one base, per group: one row per group, one double per measure.
 
     Rows without a group value are left out. Distinct counts and medians take a pass of their own
     each, over counted values, as an aggregate would hold every distinct value in one task.
+    ``distinct`` are the distinct counts of ``distinct_leaves``, if they have been made before.
     """
     by = dict(by or {})
     if where is not None:
@@ -260,11 +357,7 @@ def evaluate(
     for key in by.values():
         df = df.where(key.isNotNull())
 
-    leaves: dict[str, Aggregate] = {}
-    for measure in measures.values():
-        for leaf in measure.aggregates():
-            leaves.setdefault(leaf.text, leaf)
-    names = {text: f"_a{i}" for i, text in enumerate(leaves)}
+    leaves, names = _leaves(measures)
     apart = {fn: {t: leaf for t, leaf in leaves.items() if leaf.fn == fn} for fn in ("MEDIAN", "COUNT_DISTINCT")}
     plain = [leaf.column().alias(names[t]) for t, leaf in leaves.items() if leaf.fn not in apart]
 
@@ -274,7 +367,7 @@ def evaluate(
         plain = plain or [F.count(F.lit(1)).alias("_rows")]
         parts.append(df.groupBy(*keys).agg(*plain) if by else df.agg(*plain))
     if apart["COUNT_DISTINCT"]:
-        parts.append(distinct_counts(df, by, {names[t]: leaf for t, leaf in apart["COUNT_DISTINCT"].items()}))
+        parts.append(distinct_counts(df, by, distinct_leaves(measures)) if distinct is None else distinct)
     if apart["MEDIAN"]:
         values = {names[t]: leaf.rows() for t, leaf in apart["MEDIAN"].items()}
         keyed = df.select(*keys, *[v.alias(n) for n, v in values.items()])
@@ -306,6 +399,7 @@ def grouped(
     where: Column | None = None,
     limit: int | None = None,
     totals: bool = False,
+    distinct: DataFrame | None = None,
 ) -> DataFrame:
     """Measures by one dimension: ``(kpi, dimension, value)``, and ``rank`` when limited.
 
@@ -313,7 +407,7 @@ def grouped(
     most ``limit`` rows per task and KPI before the shuffle. ``totals`` adds the number of
     groups and the sum of their absolute values, over all groups and not just those kept.
     """
-    wide = evaluate(df, measures, {"dimension": dimension.cast("string")}, where)
+    wide = evaluate(df, measures, {"dimension": dimension.cast("string")}, where, distinct)
     rows = to_long(wide, ["dimension"], list(measures))
     if limit is None:
         return rows

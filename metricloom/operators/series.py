@@ -62,12 +62,13 @@ def kpi_series(
     seen: TimeRange | None = None,
     by: Mapping[str, Column] | None = None,
     where: Column | None = None,
+    distinct: DataFrame | None = None,
 ) -> DataFrame:
     """``by + (kpi, period, value, partial)`` for all measures in one aggregation."""
     seen = seen or time_range(df, ts)
     grain = grain or seen.grain
     by = dict(by or {})
-    wide = evaluate(df, measures, {**by, "period": period_of(ts, grain)}, where)
+    wide = evaluate(df, measures, {**by, "period": period_of(ts, grain)}, where, distinct)
     last = F.lit(seen.last).cast("timestamp_ntz")
     return to_long(wide, [*by, "period"], list(measures)).withColumn(
         "partial", is_partial(F.col("period"), grain, last)

@@ -15,7 +15,9 @@ from metricloom.operators import audit, clean, insights, joins, pii, quality, ro
 from metricloom.operators.catalog import KpiSpec, catalogue_frame, fallback, instantiate, quoted
 from metricloom.operators.counts import TextCounts
 from metricloom.operators.infer import decisions_frame, infer_with_counts
-from metricloom.operators.measures import SpecError, evaluate, first_dimension, grouped, spec_problems, to_long
+from metricloom.operators.measures import (
+    SpecError, distinct_counts_by, distinct_leaves, evaluate, first_dimension, grouped, spec_problems, to_long,
+)
 from metricloom.operators.profile import duplicate_rows, profile_columns, profile_tables
 from metricloom.session import checkpoint_dir, kept, settle, together
 
@@ -63,15 +65,21 @@ def compute_kpis(
         measures = {s.slug: s.measure for s in group if s.slug not in refused}
         if not measures:
             continue
-        values.append(to_long(evaluate(base, measures), [], list(measures)))
-        date = binding.roles.get("event_date")
+        date, seen, groupings = binding.roles.get("event_date"), None, {"value": {}}
         if date and date.split(".", 1)[0] in names:
             seen = series.time_range(tables[date.split(".", 1)[0]], F.col(f"`{date.split('.', 1)[1]}`"))
-            points.append(series.kpi_series(base, measures, F.col(quoted(date)), seen=seen))
+            groupings["series"] = {"period": series.period_of(F.col(quoted(date)), seen.grain)}
         labels = [d for d, kind in binding.dimensions if kind != "datetime" and d.split(".", 1)[0] in names]
         place = first_dimension(base, [F.col(quoted(d)) for d in labels])
         if place is not None:
-            broken = grouped(base, measures, F.col(quoted(labels[place])), limit=segments, totals=True)
+            groupings["breakdown"] = {"dimension": F.col(quoted(labels[place])).cast("string")}
+        wanted = distinct_leaves(measures)
+        distinct = dict(zip(groupings, distinct_counts_by(base, list(groupings.values()), wanted))) if wanted else {}
+        values.append(to_long(evaluate(base, measures, distinct=distinct.get("value")), [], list(measures)))
+        if seen is not None:
+            points.append(series.kpi_series(base, measures, F.col(quoted(date)), seen=seen, distinct=distinct.get("series")))
+        if place is not None:
+            broken = grouped(base, measures, F.col(quoted(labels[place])), limit=segments, totals=True, distinct=distinct.get("breakdown"))
             parts.append(broken.withColumn("dimension_name", F.lit(labels[place])))
     run = F.lit(run_id).alias("run_id")
     union = lambda frames, schema: reduce(DataFrame.unionByName, frames) if frames else _empty(first, schema)

@@ -153,3 +153,23 @@ def test_medians_of_a_base_share_their_counts(spark):
     assert got["w"] == pytest.approx(np.median([-i * i for i in range(100) if i % 5 and i % 3]))
     by = {r["k"]: r["w"] for r in evaluate(df, asked, {"k": F.col("k")}).collect()}
     assert by[0] is None and by[1] == pytest.approx(np.median([-i * i for i in range(1, 100, 3) if i % 5]))
+
+
+def test_distinct_values_of_all_groupings_take_one_shuffle(spark):
+    """Total, few groups and too many groups for masks: the counts of each grouping by itself, also with nulls."""
+    rows = [(None if i % 17 == 0 else i % 9, None if i % 13 == 0 else f"g{i % 45}", i % 1200, None if i % 7 == 0 else f"v{i % 31}", i % 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "few long, names string, many long, a string, b long")
+    wanted = {"x": Measure.count_distinct("a").parts[0], "y": Measure.count_distinct("a", "b > 40").parts[0],
+              "z": Measure.count_distinct("b", "few = 3").parts[0], "none": Measure.count_distinct("a", "b < 0").parts[0]}
+    groupings = [{}, {"k": F.col("few")}, {"k": F.col("names")}, {"k": F.col("many")}]
+    told = lambda frame: sorted(str(sorted(r.asDict().items(), key=str)) for r in frame.collect() if any(r[n] for n in wanted))
+    found = measures.distinct_counts_by(df, groupings, wanted)
+    for by, got in zip(groupings, found, strict=True):
+        kept = df if not by else df.where(by["k"].isNotNull())
+        own = measures.distinct_counts(kept, by, wanted)
+        assert got.schema["x"].dataType == own.schema["x"].dataType
+        assert told(got) == told(own) != []
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in found]
+    assert ["Aggregate" in p for p in plans] == [False, False, False, True]
+    empty = measures.distinct_counts_by(df.where("false"), groupings, wanted)
+    assert [f.count() for f in empty] == [1, 0, 0, 0] and empty[0].first().asDict() == dict.fromkeys(wanted, 0)
