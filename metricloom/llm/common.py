@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from metricloom.session import settle
+from metricloom import session
 
 __all__ = ["BLOCK", "PUNCTUATION", "Powers", "batch_of", "bit_filter", "blocks", "byte_units", "each_row", "gram_hash", "id_bit", "keyed", "mix", "rowed", "settle", "texts", "unkeyed", "words"]
 
@@ -27,6 +27,11 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Written as the session writes: these operators were measured so."""
+    return session.settle(df, None)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row per document: a null text is empty, a null id the smallest id.
 
