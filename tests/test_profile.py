@@ -110,3 +110,15 @@ def test_pii(spark):
 def test_masking(spark, value, kind, masked):
     df = spark.createDataFrame([(value,)], "v string")
     assert df.select(mask_value(F.col("v"), kind)).first()[0] == masked
+
+
+def test_facts_of_texts_are_not_sorted(spark):
+    """Only padded texts are sorted for the least of them; every other fact merges by column."""
+    df = spark.createDataFrame([(" b",), ("a",), ("a",), ("",), ("x@y.org",), (None,)], "t string")
+    facts, example = profile._text_facts(profile.count_texts(df, ["t"]))
+    assert "SortAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
+    row = facts.first()
+    assert (row.distinct_values, row.whitespace_count, row.empty_count, row.email_share) == (4, 1, 1, 0.2)
+    assert example.first().whitespace_example == " b"
+    whole = profile.profile_columns(df, "t").first()
+    assert (whole.distinct_count, whole.whitespace_example) == (5, " b")
