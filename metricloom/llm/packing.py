@@ -17,6 +17,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ WIDTH, END = 2048, 1
 KNOWN = 400_000
 #: Token ids of a text are written in rows of at most this many, so that no row grows with its text.
 ROW = 1 << 20
+_ID = attrgetter("id")
 _SPACE = re.compile(r"[ \t\n\r]+")
 # what the tokenizer itself splits at, for texts within the Latin blocks
 _LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0101-\u017f"
@@ -58,6 +61,14 @@ class Lookup(dict):
         return value
 
 
+@lru_cache(1)
+def _tokenizer(path: str):
+    """Read once a worker, as reading takes as long as half a megabyte of text does; the words it has seen are a task's own."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit runs, by a bounded lookup of words.
 
@@ -68,20 +79,23 @@ class WordIds:
     """
 
     def __init__(self, path: str, known: int | None = None):
-        known = known or KNOWN
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
+        # a caller that bounds what is remembered has a worker hold no vocabulary either
+        whole = _tokenizer.__wrapped__(path) if known else _tokenizer(path)
+        known = known or KNOWN
         tokenize = whole.model.tokenize
 
-        def piece(text: str) -> bytes:
-            """A piece that is not split further: the model alone, on the characters that stand for its bytes."""
-            shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(_BYTES)
-            return array("I", [t.id for t in tokenize(shown)]).tobytes()
-
-        pieces = Lookup(piece, known)
-        self.latin = Lookup(lambda word: b"".join([pieces[p] for p in _PIECE.findall(word.lower())]), known)
+        def latin(word: str) -> bytes:
+            """The ids of a word's pieces; one that is its own only piece is left to the model alone, as the characters that stand for its bytes."""
+            low = word.lower()
+            # letters only, as most words are, is one piece
+            pieces = [low] if low.isalpha() else _PIECE.findall(low)
+            if pieces != [word]:
+                return b"".join([self.latin[p] for p in pieces])
+            shown = low if low.isascii() and low.isprintable() else low.encode().decode("latin-1").translate(_BYTES)
+            return array("I", map(_ID, tokenize(shown))).tobytes()
+
+        self.latin = Lookup(latin, known)
         self.words = Lookup(lambda word: array("I", whole.encode(word, add_special_tokens=False).ids).tobytes(), known)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -99,7 +113,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, known: int | None = No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        # of this task only: a worker that goes on to other work should not hold it
+        # of this task only: a worker that goes on to other work should not hold the words
         ids_of = WordIds(path, known)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)

@@ -31,6 +31,19 @@ def test_word_lookup_equals_whole_texts(tokenizer, corpus, monkeypatch):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_one_piece_are_kept_once(tokenizer):
+    """A plain word is given to the model once, whatever stands around it; the vocabulary is read once a worker."""
+    ids = packing.WordIds(tokenizer_path())
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids(["abc Abc abc,", "x\xaay \xe9"])] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in ("abc Abc abc,", "x\xaay \xe9")]
+    assert set(ids.latin) == {"abc", "Abc", "abc,", ",", "x\xaay", "\xe9"}
+    read = packing._tokenizer.cache_info().misses
+    packing.WordIds(tokenizer_path())
+    assert packing._tokenizer.cache_info().misses == read
+    packing.WordIds(tokenizer_path(), 50)  # reads its own
+    assert packing._tokenizer.cache_info().misses == read
+
+
 def test_packing_is_whole(spark, documents, corpus, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "ROW", 1000)
     pieces = packing.packed(documents, tokenizer_path(), width=128)
